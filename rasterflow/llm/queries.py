@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterflow.llm import license_scan, line_dedup
+from rasterflow.llm import license_scan, line_dedup, packing, token_files
 from rasterflow.session import read_table
 
 
@@ -18,9 +18,19 @@ def op2_line_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.read_token_files(token_files.write_token_files(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_token_files": op3_token_files,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL = {
