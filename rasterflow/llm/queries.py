@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterflow.llm import language_id, license_scan, line_dedup, packing, token_files
+from rasterflow.llm import language_id, license_scan, line_dedup, near_dup, packing, token_files
 from rasterflow.session import read_table
 
 
@@ -22,6 +22,10 @@ def op3_token_files(spark, sf_dir):
     return token_files.read_token_files(token_files.write_token_files(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_minhash(spark, sf_dir):
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.remainder() == 1)
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
+    "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
