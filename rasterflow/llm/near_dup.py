@@ -7,8 +7,9 @@
 3. Bands with more than one class are candidates. A few star rounds link, in each band, the
    classes that aren't yet in the centre's component with the centre; the centre is the smallest
    id at first and then changes by a keyed hash. A group of near copies so costs its
-   size, not its square. Then every pair of a band that is still in two components, and
-   wasn't compared, is taken. So no candidate pair that could join two components is left out.
+   size, not its square. Then what is left in bands of two or more components is compared
+   in full: small bands by pairs, large ones by pairs of blocks of which each is one task's and
+   only links leave. So no candidate pair that could join two components is left out.
 4. A pair is screened by its packed signatures: exclusive or and bit counts give the
    share of equal low bits, and (share - 1/16) / (1 - 1/16) estimates the similarity.
    Below SCREEN it is dropped, which is more than six standard deviations off for a pair of 0.75.
@@ -40,7 +41,12 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BITS = 4
 SCREEN = 0.5
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: Members of a band up to which its pairs are taken one by one in the end; larger bands go by blocks.
+SMALL_BAND = 32
+BLOCK = 512
+#: Shingles for each slice of a block's matrix.
+MATRIX_COLUMNS = 4096
 #: Words whose hashes a worker keeps, some 50 MB.
 CACHE_WORDS = 400_000
 #: Shingles hashed at once.
@@ -198,6 +204,51 @@ def _common(left, right) -> int:
     return int((right[np.minimum(at, len(right) - 1)] == left).sum())
 
 
+def _links_of_blocks(percent: int):
+    """Compares every node of block i with every one of block j; gives the links that join components."""
+
+    def links(table):
+        import numpy as np
+        import pyarrow as pa
+
+        nodes, start = table["node"].to_pylist(), table["component"].to_pylist()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block = table["block"].to_numpy()
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sets = [shingles(t.as_py()) for t in table["text"]]
+        sizes = np.array([len(s) for s in sets])
+        owner, (words, column, n) = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        held = n[column] > 1  # a shingle of one node alone is common to no two
+        owner, column = owner[held], np.cumsum(n > 1)[column[held]] - 1
+        common = np.zeros((len(rows), len(columns)), np.float32)
+        by_column = np.argsort(column, kind="stable")
+        owner, column = owner[by_column], column[by_column]
+        for low in range(0, int((n > 1).sum()), MATRIX_COLUMNS):
+            part = slice(*np.searchsorted(column, [low, low + MATRIX_COLUMNS]))
+            bits = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+            bits[owner[part], column[part] - low] = 1
+            common += bits[rows] @ bits[columns].T
+        union = sizes[rows][:, None] + sizes[columns][None] - common
+        root = {c: c for c in start}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        u, v = [], []
+        for a, b in zip(*np.nonzero(100.0 * common >= percent * union)):
+            a, b = int(rows[a]), int(columns[b])
+            x, y = find(start[a]), find(start[b])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                u.append(nodes[a])
+                v.append(nodes[b])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return links
+
+
 class _Graph:
     """Candidate bands, what has been compared, and the components so far."""
 
@@ -234,19 +285,37 @@ class _Graph:
         centre = centre.where(F.col("low") < F.col("high")).select("band", F.col("c.node").alias("v"), F.col("c.component").alias("v_component"))
         return members.join(centre, "band").where(F.col("component") != F.col("v_component")).select(F.col("node").alias("u"), "v")
 
-    def rest(self) -> DataFrame:
-        """Pairs of a band in two components: those outside the band's lowest component with all others."""
+    def rest(self) -> tuple[DataFrame, DataFrame]:
+        """What is left in bands with two components.
+
+        Of small bands: the pairs (u, v). Of large ones: the links found in blocks.
+        """
         members = self.placed()
-        span = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
-        split = members.join(span, "band")
-        outside = split.where(F.col("component") != F.col("low")).select("band", F.col("node").alias("u"), F.col("component").alias("u_component"))
-        every = split.select("band", F.col("node").alias("v"), F.col("component").alias("v_component"), F.col("component") == F.col("low"))
-        every = every.toDF("band", "v", "v_component", "lowest")
-        pairs = outside.join(every, "band").where((F.col("u_component") != F.col("v_component")) & (F.col("lowest") | (F.col("u") > F.col("v"))))
-        return pairs.select("u", "v")
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Compares pairs, unless done before, and joins components."""
+        span = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v"), F.count(F.lit(1)).alias("size"))
+        split = materialize(members.join(span.where(F.col("low") < F.col("high")), "band").select("band", "node", "component", "v", "size"), "open")
+        small = split.where(F.col("size") <= SMALL_BAND)
+        u, v = small.select("band", F.col("node").alias("u"), F.col("component").alias("a")), small.select("band", F.col("node").alias("v"), F.col("component").alias("b"))
+        pairs = u.join(v, "band").where((F.col("u") > F.col("v")) & (F.col("a") != F.col("b"))).select("u", "v")
+        return pairs, self.blocks(split.where(F.col("size") > SMALL_BAND))
+
+    def blocks(self, open_members: DataFrame) -> DataFrame:
+        """All links between components among the nodes that large bands join, a few of each.
+
+        Nodes that such bands join directly or in turn are one cluster. Each cluster is cut
+        into blocks of about BLOCK nodes, and each pair of blocks is one task's
+        group: whole shingle sets are compared there and only links leave it.
+        """
+        nodes = open_members.select("node", "component").distinct()
+        cluster = components(open_members.select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "cluster")
+        nodes = nodes.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        count = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+        nodes = nodes.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        nodes = nodes.join(self.texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        dealt = nodes.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "text")
+        return dealt.groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks(self.percent), "u bigint, v bigint")
+
+    def compare(self, pairs: DataFrame, known: DataFrame | None = None) -> None:
+        """Compares pairs, unless done before, and joins components, by links known besides too."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
@@ -257,6 +326,8 @@ class _Graph:
         near = pairs.where("near").select("u", "v")
         near = near.join(self.texts.toDF("u", "u_text"), "u").join(self.texts.toDF("v", "v_text"), "v").select("u", "v", "u_text", "v_text")
         links = near.mapInArrow(_confirm(self.percent), "u bigint, v bigint")
+        if known is not None:
+            links = links.unionAll(known)
         if self.component is not None:
             links = links.unionAll(self.component.toDF("u", "v"))
         self.component = components(links)
@@ -271,7 +342,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, star_rounds: int =
         if graph.open():
             graph.compare(graph.star(turn))
     if graph.open():
-        graph.compare(graph.rest())
+        graph.compare(*graph.rest())
     keys = ["n_shingles", "key_a", "key_b"]
     low = graph.classes.select(*keys, F.col("first.doc_id").alias("node"))
     if graph.component is not None:
