@@ -62,6 +62,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -86,15 +87,9 @@ def needed(threshold: float, size: int) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def _blocks(docs: DataFrame, keys: list[str], near: str) -> DataFrame:
-    """Blocks with their distinct words, of those that hold one of the words in ``near``."""
-    lines = docs.where(F.col("_text").rlike(near)).select(*keys, F.posexplode(F.split("_text", "\n")).alias("block", "line"))
-    return lines.where(F.col("line").rlike(near)).select(*keys, "block", F.array_distinct(_word_array(F.col("line"))).alias("words"))
-
-
-def _any_of(words) -> str:
-    """A pattern that finds every text that holds one of the words, in either case."""
-    return "(?i)(?:" + "|".join(re.escape(w) for w in words) + ")"
+def _template_words(line: Column, words: list[str]) -> Column:
+    """Those of ``words`` that the line holds, in the order of ``words``."""
+    return F.array_intersect(_strings(words), F.split(F.translate(line, UPPER, LOWER), GAP))
 
 
 def word_order(docs: DataFrame, sets) -> list[str]:
@@ -102,9 +97,7 @@ def word_order(docs: DataFrame, sets) -> list[str]:
     vocabulary = sorted({w for _, _, words in sets for w in words})
     if not vocabulary:
         return []
-    held = docs.select(F.explode(F.split("_text", "\n")).alias("line")).select(
-        F.explode(F.array_intersect(_strings(vocabulary), F.split(F.translate("line", UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("word")
-    )
+    held = docs.select(F.explode(F.split("_text", "\n")).alias("line")).select(F.explode(_template_words(F.col("line"), vocabulary)).alias("word"))
     counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}  # at most a row for each template word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -129,9 +122,9 @@ def license_matches(docs: DataFrame, templates=None, threshold: float = THRESHOL
     if not prefix:
         return docs.select(*keys).where(F.lit(False)).select(*keys, F.lit(0).alias("block"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
     fewest = min(p[5] for p in prefix)
-    blocks = _blocks(docs, keys, _any_of(sorted({p[0] for p in prefix})))
-    # array_intersect keeps the first array's order: the block's template words, rarest first
-    blocks = blocks.select(*keys, "block", F.array_intersect(_strings(order), F.col("words")).alias("b_words")).withColumn("b_size", F.size("b_words"))
+    lines = docs.select(*keys, F.posexplode(F.split("_text", "\n")).alias("block", "line"))
+    # the block's template words, rarest first
+    blocks = lines.select(*keys, "block", _template_words(F.col("line"), order).alias("b_words")).withColumn("b_size", F.size("b_words"))
     entries = blocks.where(F.col("b_size") >= fewest).select(*keys, "block", "b_words", "b_size", F.posexplode(F.expr(f"slice(b_words, 1, b_size - {fewest} + 1)")).alias("b_pos", "word"))
     pairs = (
         entries.join(table, "word")
@@ -161,14 +154,13 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, threshold: float
         test = " and ".join(f"_words[i{f' + {k}' if k else ''}] = '{w}'" for k, w in enumerate(words))
         return F.expr(f"filter(sequence(0, size(_words) - {len(words)}), i -> {test})")
 
+    # only texts near a phrase are taken apart into words
     rows = rows.withColumn("_near", F.col("_text").rlike(near))
-    plain = rows.where(~F.col("_near")).select("_id", "_mark", F.regexp_count("_text", F.lit(RAW_WORD)).cast("long").alias("n_words"), *[F.lit(None).cast("array<int>").alias(f"_s{k}") for k in range(len(split))])
-    close = rows.where("_near").withColumn("_words", _word_array(F.col("_text")))
-    close = close.select(
-        "_id", "_mark", F.size("_words").cast("long").alias("n_words"),
+    base = rows.select("_id", "_mark", F.when(F.col("_near"), _word_array(F.col("_text"))).alias("_words"), F.when(~F.col("_near"), F.regexp_count("_text", F.lit(RAW_WORD))).alias("_count"))
+    base = base.select(
+        "_id", "_mark", F.coalesce("_count", F.size("_words")).cast("long").alias("n_words"),
         *[F.when(F.size("_words") >= len(w), starts(w)).alias(f"_s{k}") for k, (w, _) in enumerate(split)],
     )
-    base = plain.unionAll(close)
     places = F.flatten(F.filter(F.array(*[f"_s{k}" for k in range(len(split))]), lambda a: a.isNotNull()))
     named = F.array(*[F.when(F.size(f"_s{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(split)])
     base = base.withColumn("_places", places).withColumn("_base", F.array_distinct(F.array_compact(named)))
