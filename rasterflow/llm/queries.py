@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterflow.llm import language_id, license_scan, line_dedup, near_dup, packing, token_files
+from rasterflow.llm import language_id, license_scan, line_dedup, lm_score, near_dup, packing, token_files, topk
 from rasterflow.session import read_table
 
 
@@ -22,6 +22,11 @@ def op3_token_files(spark, sf_dir):
     return token_files.read_token_files(token_files.write_token_files(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_lm_score(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.lm_scores(docs, language_id.remainder(by=7) != 2)
+
+
 def op6_minhash(spark, sf_dir):
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,16 +41,23 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_top_k(spark, sf_dir):
+    return topk.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
+    "op5_lm_score": op5_lm_score,
     "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op2_line_dedup": line_dedup.oracle_sql("SELECT doc_id, n_dropped::BIGINT AS n_dropped, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM cut"),
+    "op10_top_k": topk.ORACLE_SQL,
 }
