@@ -290,6 +290,7 @@ def _scorer(tokens: int, kinds: int, ends: int):
     def score(docs, answers):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         known, grams, logs = {}, [], []
         for row in answers.to_pylist():
@@ -309,7 +310,7 @@ def _scorer(tokens: int, kinds: int, ends: int):
                 out["n_known"].append(int(np.count_nonzero(each)) + (ends > 0))
                 out["base_score"].append(float(each.sum()) + end - (len(some) + 1) * rest)
         return pa.table({
-            "doc_id": docs["doc_id"], "held_out": pa.compute.invert(docs["train"]), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
+            "doc_id": docs["doc_id"], "held_out": pc.invert(docs["train"]), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
             "train_tokens": pa.array([tokens] * docs.num_rows, pa.int64()), "base_score": pa.array(out["base_score"]), "score": pa.array(np.concatenate(out["score"])),
         })
 

@@ -69,9 +69,10 @@ def _block(k: int, last: bool):
     def run(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         asks = table["asks"].to_numpy(zero_copy_only=False)
-        width = max(1, pa.compute.max(pa.compute.list_value_length(table["vector"])).as_py() or 1)
+        width = max(1, pc.max(pc.list_value_length(table["vector"])).as_py() or 1)
         vectors, ids, keys = _matrix(table["vector"], width), table["vec_id"].to_numpy(), table["key"].to_numpy()
         cutoff = table["cutoff"].to_pylist()
         rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
