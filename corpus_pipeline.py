@@ -1,5 +1,64 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language identification, line dedup, near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes as Parquet and reads
+again as the next one's documents. All but the last give the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterflow.llm import language_id, line_dedup, near_dup, packing
+from rasterflow.llm.common import materialize
+from rasterflow.session import read_table, ship
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (no text, no letter) or between two; sets ``lang`` to the predicted one."""
+    ship(spark)
+    model = language_id.fit(docs.select("text", "lang"))
+    known = language_id.identify(docs, model, ["doc_id", "text", "source", "n_chars"])
+    kept = known.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("ambiguous"))
+    return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops boilerplate lines of each source, and documents of which nothing else is left."""
+    ship(spark)
+    cut = line_dedup.line_dedup(docs.select(*COLUMNS), count_col="_dropped")
+    left = cut.where((F.col("_dropped") == 0) | (F.trim(F.col("text")) != ""))
+    return left.withColumn("n_chars", F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates, in one row."""
+    ship(spark)
+    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs tokenized documents into sequences: a row for each piece."""
+    ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_boilerplate),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack),
+]
+
+#: Language identification and packing can't be said in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
