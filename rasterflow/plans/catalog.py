@@ -1,4 +1,494 @@
-"""Registered queries over the test tables and their SQL equivalents."""
+"""Registered queries over the test tables, each with its SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no images, so queries derive them (all rows are used):
+
+* blocks: embeddings.embedding has 64 components; a block is 255 times them, an image a label;
+* pixels: 119 consecutive events make an image of 7 by 17; an incomplete last image is left out;
+* symbols: the quantities of lineitem, by supplier group; code points of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from rasterflow.functions import tables
+from rasterflow.functions.coding import category, category_bits, hex_of, left_align, stuff
+from rasterflow.functions.color import f32, in_range, normalize_rgb, ycbcr
+from rasterflow.operators import entropy, jpeg, spatial, transform
+from rasterflow.plans.fused import encode_files
+from rasterflow.session import read_table
+from rasterflow.sources import ppm
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WIDTH, HEIGHT = 7, 17
+SIZE = WIDTH * HEIGHT
+MAXIMUM = 255
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# --- inputs -------------------------------------------------------------------------------
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, channel, block_idx, scan_idx, coef): one block for each vector, numbered within its label."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    number = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    coef = F.transform("embedding", lambda x: x * f32(255.0))
+    return vectors.select(F.col("label").alias("image_id"), F.lit(0).alias("channel"), number.cast("bigint").alias("block_idx"), number.cast("bigint").alias("scan_idx"), "vec_id", coef.alias("coef"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, x, y, r, g, b) of whole images."""
+    events = read_table(spark, sf_dir, "events").select("event_id")
+    n = events.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    p = F.col("event_id") % SIZE
+    rows = events.where(F.col("event_id") < n // SIZE * SIZE)
+    rgb = [F.expr(f"cast((event_id * {a} + {b}) % 256 as int)").alias(c) for c, a, b in (("r", 37, 11), ("g", 101, 7), ("b", 13, 200))]
+    return rows.select(F.expr(f"event_id div {SIZE}").alias("image_id"), (p % WIDTH).cast("int").alias("x"), F.expr(f"(event_id % {SIZE}) div {WIDTH}").cast("int").alias("y"), *rgb)
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pixels(spark, sf_dir).select("image_id").distinct()
+    return found.select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(MAXIMUM).alias("max_value"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, channel, x, y, v): whole numbers on padded planes of 16 by 32, so that sums are exact."""
+    padded = spatial.pad(pixels(spark, sf_dir), images(spark, sf_dir), 16, 16)
+    values = F.array(*[F.struct(F.lit(k).alias("channel"), f32(F.col(c)).alias("v")) for k, c in enumerate("rgb")])
+    return padded.select("image_id", "x", "y", F.inline(values))
+
+
+def plane_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images(spark, sf_dir).select("image_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("channel"), F.lit(16).alias("w"))
+
+
+def exploded(df: DataFrame, column: str = "coef") -> DataFrame:
+    return df.select("image_id", "block_idx", F.posexplode(column).alias("pos", "v"))
+
+
+def list_sql(values) -> str:
+    return "[" + ", ".join(map(str, values)) + "]"
+
+
+LUMA_SQL = list_sql(tables.SPECIFICATION_LUMA)
+ZZ_SQL = list_sql(tables.ZIGZAG)
+PIXELS = f"""
+n AS (SELECT count(*) // {SIZE} * {SIZE} AS n FROM events),
+pixels AS (SELECT event_id // {SIZE} AS image_id, ((event_id % {SIZE}) % {WIDTH})::INT AS x, ((event_id % {SIZE}) // {WIDTH})::INT AS y,
+  ((event_id * 37 + 11) % 256)::INT AS r, ((event_id * 101 + 7) % 256)::INT AS g, ((event_id * 13 + 200) % 256)::INT AS b FROM events, n WHERE event_id < n)"""
+PADDED = f"""{PIXELS},
+grid AS (SELECT image_id, x::INT AS x, y::INT AS y FROM (SELECT DISTINCT image_id FROM pixels), range(16) AS xs(x), range(32) AS ys(y)),
+padded AS (SELECT image_id, x, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM grid LEFT JOIN pixels USING (image_id, x, y))"""
+SAMPLES = f"""{PADDED},
+samples AS (SELECT image_id, 0 AS channel, x, y, r::FLOAT AS v FROM padded UNION ALL SELECT image_id, 1, x, y, g::FLOAT FROM padded UNION ALL SELECT image_id, 2, x, y, b::FLOAT FROM padded)"""
+BLOCKS = """
+blocks AS (SELECT label AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS block_idx, embedding AS e FROM embeddings),
+vals AS (SELECT image_id, block_idx, unnest(range(64)) AS pos, unnest(e) * 255::FLOAT AS v FROM blocks)"""
+DCT = f"""{BLOCKS},
+basis AS (SELECT i, k, sqrt(CASE WHEN i = 0 THEN 1 ELSE 2 END / 8.0::DOUBLE) * cos((2 * k + 1) * i * pi() / 16) AS a FROM range(8) AS a(i), range(8) AS b(k)),
+lines AS (SELECT image_id, block_idx, pos // 8 AS y, i AS u, sum(v::DOUBLE * a) AS v FROM vals JOIN basis ON k = pos % 8 GROUP BY ALL),
+dct AS (SELECT image_id, block_idx, i * 8 + u AS pos, sum(v * a) AS v FROM lines JOIN basis ON k = y GROUP BY image_id, block_idx, i, u)"""
+QUANTIZED = f"""{DCT},
+q AS (SELECT image_id, block_idx, pos, round(v / ({LUMA_SQL})[pos + 1])::INT AS v FROM dct)"""
+ZZ = f"""{QUANTIZED},
+places AS (SELECT unnest(range(64)) AS zz_pos, unnest({ZZ_SQL}) AS pos),
+zz AS (SELECT image_id, block_idx, zz_pos, v FROM q JOIN places USING (pos))"""
+DCDIFF = f"""{ZZ},
+dc AS (SELECT image_id, block_idx, v - lag(v, 1, 0) OVER (PARTITION BY image_id ORDER BY block_idx) AS d FROM zz WHERE zz_pos = 0)"""
+CAT = "CASE WHEN {0} = 0 THEN 0 ELSE length(bin(abs({0}))) END"
+BITS = "CASE WHEN {0} >= 0 THEN {0} ELSE {0} + (1 << (CASE WHEN {0} = 0 THEN 0 ELSE length(bin(abs({0}))) END)::INT) - 1 END"
+TOKENS = f"""{DCDIFF},
+nz AS (SELECT image_id, block_idx, zz_pos, v, zz_pos - lag(zz_pos, 1, 0) OVER (PARTITION BY image_id, block_idx ORDER BY zz_pos) - 1 AS run FROM zz WHERE zz_pos > 0 AND v <> 0),
+parts AS (
+  SELECT image_id, block_idx, 0 AS place, 0 AS sub, 0 AS run, {CAT.format("d")} AS len, {BITS.format("d")} AS bits FROM dc
+  UNION ALL SELECT image_id, block_idx, zz_pos, 1, (run % 16), {CAT.format("v")}, {BITS.format("v")} FROM nz
+  UNION ALL SELECT image_id, block_idx, zz_pos, 0, 15, 0, 0 FROM nz, range(4) AS z(z) WHERE z < run // 16
+  UNION ALL SELECT image_id, block_idx, 64, 0, 0, 0, 0 FROM (SELECT image_id, block_idx, max(CASE WHEN v <> 0 THEN zz_pos ELSE 0 END) AS top FROM zz GROUP BY ALL) WHERE top < 63),
+tokens AS (SELECT image_id, block_idx AS scan_idx, row_number() OVER (PARTITION BY image_id, block_idx ORDER BY place, sub) - 1 AS tok_idx, run::INT AS run, len::INT AS len, bits::INT AS bits,
+  (run * 16 + len)::INT AS sym, (CASE WHEN place = 0 THEN 0 ELSE 1 END)::INT AS cls FROM parts)"""
+
+
+# --- dimension tables ---------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('P444', 1, 1, 'skip'), ('P422', 2, 1, 'average'), ('P420', 2, 2, 'average')) AS t(preset, h_rate, v_rate, method)")
+def presets(spark, sf_dir):
+    return tables.presets(spark)
+
+
+_QT = " UNION ALL ".join(f"SELECT '{n}' AS preset, '{kind}' AS kind, unnest(range(64))::INT AS pos, unnest({list_sql(t)})::INT AS q" for n, pair in tables.QUANTIZATION.items() for kind, t in zip(("luma", "chroma"), pair))
+
+
+@query(_QT)
+def qtables(spark, sf_dir):
+    return tables.qtables(spark)
+
+
+@query(f"SELECT unnest(range(64))::INT AS zz_pos, unnest({ZZ_SQL})::INT AS pos")
+def zigzag_order(spark, sf_dir):
+    return tables.zigzag(spark)
+
+
+@query("SELECT i::INT AS i, k::INT AS k, round(sqrt(CASE WHEN i = 0 THEN 1 ELSE 2 END / 8.0::DOUBLE) * cos((2 * k + 1) * i * pi() / 16), 9) AS a FROM range(8) AS x(i), range(8) AS y(k)")
+def cosine_basis(spark, sf_dir):
+    return tables.basis(spark).select("i", "k", F.round("a", 9).alias("a"))
+
+
+# --- colour -------------------------------------------------------------------------------
+
+
+@query(f"WITH {PIXELS} SELECT image_id, x, y, r::FLOAT / 255::FLOAT AS red, g::FLOAT / 255::FLOAT AS green, b::FLOAT / 255::FLOAT AS blue FROM pixels")
+def rgb_normalize(spark, sf_dir):
+    r, g, b = normalize_rgb(F.col("r"), F.col("g"), F.col("b"), F.lit(MAXIMUM))
+    return pixels(spark, sf_dir).select("image_id", "x", "y", r.alias("red"), g.alias("green"), b.alias("blue"))
+
+
+@query(f"WITH {PIXELS} SELECT image_id, x, y FROM pixels WHERE greatest(r, g, b) <= 200")
+def range_check(spark, sf_dir):
+    return pixels(spark, sf_dir).where(in_range(F.col("r"), F.col("g"), F.col("b"), F.lit(200))).select("image_id", "x", "y")
+
+
+def _weigh(w) -> str:
+    r, g, b = (f"{c}::FLOAT / 255::FLOAT" for c in "rgb")
+    return f"(({r}) * {w[0]}::FLOAT + ({g}) * {w[1]}::FLOAT + ({b}) * {w[2]}::FLOAT)"
+
+
+@query(f"""WITH {PIXELS} SELECT image_id, x, y, ({_weigh((0.299, 0.587, 0.114))} - 128::FLOAT / 255::FLOAT) * 255::FLOAT AS luma,
+  {_weigh((-0.1687, -0.3312, 0.5))} * 255::FLOAT AS cb, {_weigh((0.5, -0.4186, -0.0813))} * 255::FLOAT AS cr FROM pixels""")
+def rgb_to_ycbcr(spark, sf_dir):
+    luma, cb, cr = ycbcr(*normalize_rgb(F.col("r"), F.col("g"), F.col("b"), F.lit(MAXIMUM)))
+    return pixels(spark, sf_dir).select("image_id", "x", "y", luma.alias("luma"), cb.alias("cb"), cr.alias("cr"))
+
+
+@query(f"WITH {SAMPLES} SELECT image_id, channel, x, y, v FROM samples")
+def melt_channels(spark, sf_dir):
+    padded = spatial.pad(pixels(spark, sf_dir), images(spark, sf_dir), 16, 16)
+    return spatial.melt_channels(padded.select("image_id", "x", "y", f32(F.col("r")).alias("luma"), f32(F.col("g")).alias("cb"), f32(F.col("b")).alias("cr"))).select("image_id", "channel", "x", "y", "v")
+
+
+# --- space --------------------------------------------------------------------------------
+
+
+@query(f"WITH {PADDED} SELECT image_id, x, y, r, g, b, 16 AS pw, 32 AS ph FROM padded")
+def pad_pixels(spark, sf_dir):
+    return spatial.pad(pixels(spark, sf_dir), images(spark, sf_dir), 16, 16)
+
+
+@query(f"WITH {SAMPLES} SELECT image_id, channel, x // 2 AS x, y // 2 AS y, v FROM samples WHERE x % 2 = 0 AND y % 2 = 0")
+def subsample_skip(spark, sf_dir):
+    return spatial.subsample_skip(samples(spark, sf_dir), 2, 2).select("image_id", "channel", "x", "y", "v")
+
+
+@query(f"WITH {SAMPLES} SELECT image_id, channel, x // 2 AS x, y // 2 AS y, avg(v)::FLOAT AS v FROM samples GROUP BY ALL")
+def subsample_average(spark, sf_dir):
+    return spatial.subsample_average(samples(spark, sf_dir), 2, 2)
+
+
+@query(f"WITH {SAMPLES} SELECT image_id, channel, x, y, v FROM samples WHERE channel = 0 UNION ALL SELECT image_id, channel, x // 2, y, avg(v)::FLOAT FROM samples WHERE channel > 0 GROUP BY image_id, channel, x // 2, y")
+def subsample_preset(spark, sf_dir):
+    return spatial.subsample(samples(spark, sf_dir), "P422")
+
+
+def _reblocked(spark, sf_dir):
+    return spatial.reblock(samples(spark, sf_dir), plane_widths(spark, sf_dir))
+
+
+@query(f"WITH {SAMPLES} SELECT image_id, channel, (y // 8) * 2 + x // 8 AS block_idx, (y % 8) * 8 + x % 8 AS pos, v FROM samples")
+def reblock_8x8(spark, sf_dir):
+    return _reblocked(spark, sf_dir).select("image_id", "channel", "block_idx", F.posexplode("coef").alias("pos", "v"))
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT DISTINCT image_id, channel, y // 8 AS by, x // 8 AS bx FROM samples)
+SELECT image_id, channel, by * 2 + bx AS block_idx, CASE WHEN channel = 0 THEN (by // 2) * 4 + (bx // 2) * 4 + (by % 2) * 2 + bx % 2 ELSE by * 2 + bx END AS scan_idx FROM b""")
+def quad_fold(spark, sf_dir):
+    return spatial.scan_order(_reblocked(spark, sf_dir), "P420").select("image_id", "channel", "block_idx", "scan_idx")
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT DISTINCT image_id, channel, (y // 8) * 2 + x // 8 AS scan_idx FROM samples)
+SELECT image_id, channel, scan_idx, CASE WHEN channel = 0 THEN scan_idx // 2 ELSE scan_idx END AS mcu, CASE WHEN channel = 0 THEN scan_idx % 2 ELSE 1 + channel END AS slot FROM b""")
+def mcu_interleave(spark, sf_dir):
+    return spatial.mcu_order(spatial.scan_order(_reblocked(spark, sf_dir), "P422"), "P422").select("image_id", "channel", "scan_idx", "mcu", "slot")
+
+
+# --- transforms ---------------------------------------------------------------------------
+
+
+def _steps(df: DataFrame) -> DataFrame:
+    """Coefficients in steps of 16, which single and double precision agree on."""
+    return exploded(df).select("image_id", "block_idx", "pos", F.round(F.col("v").cast("double") / 16).cast("int").alias("v"))
+
+
+_DCT_SQL = f"WITH {DCT} SELECT image_id, block_idx, pos, round(v / 16)::INT AS v FROM dct"
+
+
+@query(_DCT_SQL)
+def dct_2d(spark, sf_dir):
+    return _steps(transform.dct_2d(blocks(spark, sf_dir)))
+
+
+@query(_DCT_SQL)
+def dct_2d_matrix(spark, sf_dir):
+    return _steps(transform.dct_2d(blocks(spark, sf_dir), "matrix"))
+
+
+@query(_DCT_SQL)
+def dct_2d_direct(spark, sf_dir):
+    return _steps(transform.dct_2d(blocks(spark, sf_dir), "direct"))
+
+
+@query(f"WITH {DCT} SELECT image_id, block_idx, pos, round(v, 2) + 0.0 AS v FROM dct")
+def dct_2d_relational(spark, sf_dir):
+    """The transform as joins with the cosine basis."""
+    base = F.broadcast(tables.basis(spark))
+    cells = exploded(blocks(spark, sf_dir))
+    lines = cells.join(base, F.col("pos") % 8 == F.col("k")).groupBy("image_id", "block_idx", F.expr("pos div 8").alias("y"), F.col("i").alias("u")).agg(F.sum(F.col("v").cast("double") * F.col("a")).alias("v"))
+    out = lines.join(base, F.col("y") == F.col("k")).groupBy("image_id", "block_idx", "i", "u").agg(F.sum(F.col("v") * F.col("a")).alias("v"))
+    return out.select("image_id", "block_idx", (F.col("i") * 8 + F.col("u")).cast("int").alias("pos"), (F.round("v", 2) + 0.0).alias("v"))
+
+
+@query(f"WITH {BLOCKS} SELECT image_id, block_idx, pos, round(v::DOUBLE / 16)::INT AS v FROM vals")
+def idct_2d(spark, sf_dir):
+    """Transform and inverse: the blocks again."""
+    return _steps(transform.idct_2d(transform.dct_2d(blocks(spark, sf_dir))))
+
+
+def _quantized(spark, sf_dir, table: str = "Specification") -> DataFrame:
+    return transform.quantize(transform.dct_2d(blocks(spark, sf_dir)), table)
+
+
+@query(f"WITH {QUANTIZED} SELECT image_id, block_idx, pos, v FROM q")
+def quantize_block(spark, sf_dir):
+    return exploded(_quantized(spark, sf_dir)).select("image_id", "block_idx", "pos", F.col("v").cast("int").alias("v"))
+
+
+@query(f"WITH {ZZ} SELECT image_id, block_idx, zz_pos, v FROM zz")
+def zigzag_block(spark, sf_dir):
+    ordered = _quantized(spark, sf_dir).withColumn("zz", transform.zigzag_block(F.col("coef")))
+    return exploded(ordered, "zz").select("image_id", "block_idx", F.col("pos").alias("zz_pos"), F.col("v").cast("int").alias("v"))
+
+
+_SWEEP = " UNION ALL ".join(f"SELECT '{n}' AS preset, count(*) FILTER (round(v / ({list_sql(p[0])})[pos + 1]) <> 0) AS nonzero, sum(abs(round(v / ({list_sql(p[0])})[pos + 1])))::BIGINT AS total FROM dct" for n, p in tables.QUANTIZATION.items())
+
+
+@query(f"WITH {DCT} {_SWEEP}")
+def quant_preset_sweep(spark, sf_dir):
+    """Every quantization table over one transform: the transform runs once, the tables are an array column."""
+    every = F.array(*[F.struct(F.lit(n).alias("preset"), F.array(*map(F.lit, luma)).alias("table")) for n, (luma, _) in tables.QUANTIZATION.items()])
+    rows = transform.dct_2d(blocks(spark, sf_dir)).select("coef", F.inline(every))
+    values = F.zip_with("coef", "table", transform.quantized)
+    counted = rows.select("preset", F.size(F.filter(values, lambda x: x != 0)).alias("n"), F.aggregate(values, F.lit(0).cast("bigint"), lambda t, x: t + F.abs(x.cast("bigint"))).alias("t"))
+    return counted.groupBy("preset").agg(F.sum("n").alias("nonzero"), F.sum("t").alias("total"))
+
+
+# --- entropy coding -----------------------------------------------------------------------
+
+
+def _ordered(spark, sf_dir) -> DataFrame:
+    ordered = _quantized(spark, sf_dir).withColumn("zz", transform.zigzag_block(F.col("coef")))
+    return entropy.dc_difference(ordered, F.col("zz")[0])
+
+
+def block_tokens(spark, sf_dir) -> DataFrame:
+    return entropy.tokenize_blocks(_ordered(spark, sf_dir))
+
+
+@query(f"WITH {DCDIFF} SELECT image_id, block_idx, d AS dc_diff FROM dc")
+def dc_difference(spark, sf_dir):
+    return _ordered(spark, sf_dir).select("image_id", "block_idx", "dc_diff")
+
+
+@query(f"WITH v AS (SELECT event_id, (event_id * 7919 % 65535 - 32767)::INT AS v FROM events) SELECT event_id, v, ({CAT.format('v')})::INT AS len, ({BITS.format('v')})::INT AS bits, (({BITS.format('v')}) << (16 - {CAT.format('v')})::INT)::INT AS aligned FROM v")
+def category_encode(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.expr("cast(event_id * 7919 % 65535 - 32767 as int)").alias("v"))
+    v = F.col("v")
+    return rows.select("event_id", "v", category(v).alias("len"), category_bits(v).alias("bits"), left_align(category_bits(v), category(v)).alias("aligned"))
+
+
+@query(f"WITH {TOKENS} SELECT image_id, scan_idx, tok_idx, run, len, bits, sym, cls FROM tokens")
+def ac_run_length(spark, sf_dir):
+    return block_tokens(spark, sf_dir).select("image_id", "scan_idx", "tok_idx", "run", "len", "bits", "sym", "cls")
+
+
+@query(f"WITH {TOKENS} SELECT image_id, cls, sym, count(*) AS freq FROM tokens GROUP BY ALL")
+def symbol_counts(spark, sf_dir):
+    return entropy.symbol_counts(block_tokens(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS} SELECT cls, sym, count(*) AS freq FROM tokens GROUP BY ALL")
+def block_symbol_histogram(spark, sf_dir):
+    return entropy.symbol_counts(block_tokens(spark, sf_dir), ("cls",))
+
+
+def _quantities(spark, sf_dir) -> DataFrame:
+    """(image_id, cls, sym, freq): quantities of line items, by a hundred groups of suppliers."""
+    items = read_table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 100).alias("image_id"), F.lit(0).alias("cls"), F.col("l_quantity").cast("int").alias("sym"))
+    return entropy.symbol_counts(items)
+
+
+# package-merge, level by level: each level as a list of (frequency, kind), 0 a symbol and 1 a package
+_LEVEL = "list_sort(leaves || list_transform(range((len(l) // 2)::BIGINT), lambda i: {'f': l[2 * i + 1].f + l[2 * i + 2].f, 'k': 1}))"
+LENGTHS = f"""
+freqs AS (SELECT l_suppkey % 100 AS image_id, l_quantity::INT AS sym, count(*) AS freq FROM lineitem GROUP BY ALL),
+groups AS (SELECT image_id, list({{'freq': freq, 'sym': sym}} ORDER BY freq, sym) AS s, list({{'f': freq, 'k': 0}} ORDER BY freq, sym) AS leaves FROM freqs GROUP BY image_id),
+l1 AS (SELECT *, leaves AS l FROM groups),
+{", ".join(f"l{n} AS (SELECT * EXCLUDE (l), l AS m{n - 1}, {_LEVEL} AS l FROM l{n - 1})" for n in range(2, 16))},
+t15 AS (SELECT *, len(s) - 1 AS n15, l AS m15 FROM l15),
+{", ".join(f"t{n} AS (SELECT *, len(list_filter(m{n + 1}[1:2 * n{n + 1}], lambda x: x.k = 1)) AS n{n} FROM t{n + 1})" for n in range(14, 0, -1))},
+taken AS (SELECT image_id, s, [{", ".join(f"len(list_filter(m{n}[1:2 * n{n}], lambda x: x.k = 0))" for n in range(1, 16))}] AS t FROM t1),
+lengths AS (SELECT image_id, s[i + 1].sym AS sym, s[i + 1].freq AS freq, i AS rank, len(list_filter(t, lambda x: x > i)) AS len FROM (SELECT *, unnest(range(len(s))) AS i FROM taken)),
+codes AS (SELECT *, coalesce(sum(1 << (16 - len2)::INT) OVER (PARTITION BY image_id ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (16 - len2)::INT AS code
+  FROM (SELECT *, len + CASE WHEN rank = 0 THEN 1 ELSE 0 END AS len2 FROM lengths))"""
+
+
+@query(f"WITH {LENGTHS} SELECT image_id, 0 AS cls, sym, freq, rank, len FROM lengths")
+def code_lengths(spark, sf_dir):
+    return entropy.code_lengths(_quantities(spark, sf_dir))
+
+
+def _codes(spark, sf_dir) -> DataFrame:
+    return entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(_quantities(spark, sf_dir))))
+
+
+@query(f"WITH {LENGTHS} SELECT image_id, sym, len2 AS len, code FROM codes")
+def canonical_codes(spark, sf_dir):
+    return _codes(spark, sf_dir).select("image_id", "sym", "len", "code")
+
+
+@query(f"WITH {LENGTHS} SELECT image_id, n::INT AS len, count(len2) AS n FROM (SELECT DISTINCT image_id FROM codes) CROSS JOIN range(1, 17) AS r(n) LEFT JOIN (SELECT image_id AS im, len2 FROM codes) ON im = image_id AND len2 = n GROUP BY image_id, r.n")
+def code_length_histogram(spark, sf_dir):
+    return entropy.length_histogram(_codes(spark, sf_dir)).select("image_id", "len", "n")
+
+
+@query(f"WITH {LENGTHS} SELECT image_id, max(len2)::INT AS max_len, min(len2)::INT AS min_len, sum(freq * len2)::BIGINT AS bits FROM codes GROUP BY image_id")
+def code_depths(spark, sf_dir):
+    return _codes(spark, sf_dir).groupBy("image_id").agg(F.max("len").alias("max_len"), F.min("len").alias("min_len"), F.sum(F.col("freq") * F.col("len")).alias("bits"))
+
+
+def _symbols(spark, sf_dir) -> DataFrame:
+    """(image_id, cls, idx, sym, nbits, word, offset): each order's items as a fixed code of 6 bits, in a stream by order group."""
+    items = read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("image_id"), "l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("q"))
+    rows = items.select("image_id", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("tok_idx"), F.expr("l_orderkey div 100").alias("order_key"), F.expr("cast(3 + q % 11 as int)").alias("nbits"))
+    words = rows.withColumn("word", F.expr("(tok_idx * 2654435761) % shiftleft(cast(1 as bigint), nbits)"))
+    return entropy.bit_offsets(words)
+
+
+STREAM = """
+items AS (SELECT l_orderkey % 50 AS image_id, l_orderkey * 100 + l_linenumber AS tok_idx, (3 + sum(l_quantity)::INT % 11)::INT AS nbits FROM lineitem GROUP BY l_orderkey, l_linenumber),
+stream AS (SELECT *, ((tok_idx * 2654435761) % (1::BIGINT << nbits))::BIGINT AS word, coalesce(sum(nbits) OVER (PARTITION BY image_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM items)"""
+PACKED = f"""{STREAM},
+parts AS (SELECT image_id, o // 8 + k AS byte_idx, ((word << (40 - o % 8 - nbits)::INT) >> (32 - 8 * k)::INT) & 255 AS b FROM stream, range(5) AS r(k) WHERE k <= (o % 8 + nbits - 1) // 8),
+packed AS (SELECT image_id, byte_idx, bit_or(b)::INT AS b FROM parts GROUP BY ALL),
+ends AS (SELECT image_id, max(o + nbits) AS n FROM stream GROUP BY image_id),
+padded_bytes AS (SELECT image_id, byte_idx, (CASE WHEN byte_idx = (n - 1) // 8 THEN b | ((1 << ((8 - n % 8) % 8)::INT) - 1) ELSE b END)::INT AS b FROM packed JOIN ends USING (image_id))"""
+
+
+@query(f'WITH {STREAM} SELECT image_id, tok_idx, nbits, word, o AS "offset" FROM stream')
+def bit_offsets(spark, sf_dir):
+    return _symbols(spark, sf_dir).select("image_id", "tok_idx", "nbits", "word", "offset")
+
+
+@query(f"WITH {PACKED} SELECT image_id, byte_idx, b FROM padded_bytes")
+def packed_bytes(spark, sf_dir):
+    return entropy.pack_bits(_symbols(spark, sf_dir))
+
+
+@query(f"WITH {PACKED} SELECT image_id, byte_idx, b FROM packed")
+def packed_bytes_zero_padding(spark, sf_dir):
+    return entropy.pack_bits(_symbols(spark, sf_dir), pad_ones=False)
+
+
+@query(f"WITH {PACKED} SELECT image_id, string_agg(CASE WHEN b = 255 THEN 'FF00' ELSE printf('%02X', b) END, '' ORDER BY byte_idx) AS scan FROM padded_bytes GROUP BY image_id")
+def stuffed_bytes(spark, sf_dir):
+    return entropy.byte_arrays(entropy.pack_bits(_symbols(spark, sf_dir))).select("image_id", hex_of(stuff(F.col("bytes"))).alias("scan"))
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    """(image_id, idx, sym): the low seven bits of each character of the documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) > 0")
+    return docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("idx", "c")).where("c <> ''").select("image_id", "idx", (F.ascii("c") % 128).alias("sym"))
+
+
+@query("SELECT doc_id AS image_id, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c) % 128), ',') AS symbols FROM documents WHERE length(text) > 0")
+def huffman_roundtrip(spark, sf_dir):
+    """Each document's characters coded with a code of their own and decoded again."""
+    symbols = _texts(spark, sf_dir)
+    codes = entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(entropy.symbol_counts(symbols, ("image_id",)), keys=("image_id",))), keys=("image_id",))
+    coded = entropy.huffman_encode(symbols, codes).join(symbols.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")), "image_id")
+    return entropy.huffman_decode(coded, codes).select("image_id", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query("SELECT min(v)::BIGINT AS min, max(v)::BIGINT AS max, (sum(v) // count(v))::BIGINT AS average, round(sqrt(((sum(v * v) - 2 * (sum(v) // count(v)) * sum(v) + count(v) * (sum(v) // count(v)) * (sum(v) // count(v))) // count(v))::DOUBLE))::BIGINT AS deviation FROM (SELECT (l_quantity::BIGINT * 1000 + l_linenumber)::BIGINT AS v FROM lineitem)")
+def timing_statistics(spark, sf_dir):
+    return entropy.timing_stats(read_table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("bigint") * 1000 + F.col("l_linenumber")).alias("micros")))
+
+
+@query("SELECT round((((i % 65536) % 3840 + ((i % 65536) // 3840) * 8) % 256)::FLOAT / 255::FLOAT, 6)::DOUBLE AS v, count(*) AS n, sum(i % 3840)::BIGINT AS sum_x, sum(i // 3840)::BIGINT AS sum_y FROM range(3840 * 2160) AS r(i) GROUP BY 1")
+def gradient_plane(spark, sf_dir):
+    """The synthetic plane of the transform's timing harness, by value."""
+    plane = gradient(spark)
+    return plane.groupBy(F.round("v", 6).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+def gradient(spark, width: int = 3840, height: int = 2160) -> DataFrame:
+    """(x, y, v): a repeating gradient over a plane."""
+    i = "(id % 65536)"
+    return spark.range(width * height).select(F.expr(f"cast(id % {width} as int)").alias("x"), F.expr(f"cast(id div {width} as int)").alias("y"), f32(f32(F.expr(f"cast(({i} % {width} + ({i} div {width}) * 8) % 256 as int)")) / f32(255.0)).alias("v"))
+
+
+# --- files --------------------------------------------------------------------------------
+
+
+def ppm_files(spark, sf_dir) -> DataFrame:
+    """(path, content): the images as PPM text, with a comment inside a token."""
+    texts = ppm.to_ppm(pixels(spark, sf_dir), images(spark, sf_dir))
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "^P3", "P#comment\n3 # another\n")
+    return texts.select(F.col("image_id").cast("string").alias("path"), F.encode(text, "ISO-8859-1").alias("content"))
+
+
+@query(f"WITH {PIXELS} SELECT image_id::VARCHAR AS image_id, x, y, r, g, b FROM pixels")
+def ppm_parse(spark, sf_dir):
+    return ppm.pixels_of(ppm.parse(ppm_files(spark, sf_dir)))
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\n]+', ' ', 'g')), ' ') AS w FROM documents)
+SELECT doc_id::VARCHAR AS image_id, CASE WHEN coalesce(w[1], '') = '' THEN 'missing token: header version' WHEN w[1] <> 'P3' THEN 'missing token: P3' END AS error FROM t""")
+def ppm_errors(spark, sf_dir):
+    """Documents are no images: each one's fault."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return ppm.parse(docs).select("image_id", "error")
+
+
+@query()
+def jpeg_files(spark, sf_dir):
+    """Every image as a JPEG file, by the fused plan."""
+    return encode_files(ppm_files(spark, sf_dir)).select("image_id", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"), "error")
+
+
+@query()
+def jpeg_files_relational(spark, sf_dir):
+    """The same files by the relational operators."""
+    files = jpeg.encode(pixels(spark, sf_dir), images(spark, sf_dir))
+    return files.select(F.col("image_id").cast("string").alias("image_id"), F.length("content").alias("n_bytes"), F.md5("content").alias("md5"), F.lit(None).cast("string").alias("error"))
+
+
+@query("SELECT count(*) // 119 AS n_images, 119 * (count(*) // 119) AS n_pixels FROM events")
+def encoded_size(spark, sf_dir):
+    """Images and pixels that reach a file."""
+    done = encode_files(ppm_files(spark, sf_dir)).where("error is null and length(content) > 0")
+    return done.agg(F.count(F.lit(1)).alias("n_images"), (F.count(F.lit(1)) * SIZE).alias("n_pixels"))
