@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from rasterflow.llm.common import materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) pairs of ids, in any order -> (node, component), the smallest id it reaches.
 
@@ -25,15 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") > F.col("v")).distinct()
     e = materialize(e, "links")
-    mark = _mark(e)
-    while mark[0]:
+    while not _stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("low"))
-        large = both.join(low, both["u"] == low["w"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = both.join(low, both["u"] == low["w"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("low"))
         small = large.join(low, large["u"] == low["w"]).where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         e = materialize(small.unionAll(low.select(F.col("w").alias("u"), F.col("low").alias("v"))).distinct(), "links")
-        before, mark = mark, _mark(e)
-        if mark == before:
-            break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Is each node linked with one smaller node, which has none itself?"""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionAll(e.select("v", F.lit(0)))
+    odd = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("low"), F.max("up").alias("high"))
+    return odd.where((F.col("ups") > 1) | (F.col("low") != F.col("high"))).isEmpty()

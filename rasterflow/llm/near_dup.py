@@ -4,11 +4,9 @@
    a 128-bit key of the set, the low four bits of its 128 minima, and 32 band keys, each of four whole
    minima. Two sets of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6.
 2. Documents with equal sets become one class, which its smallest id stands for.
-3. Bands with more than one class are candidates. A few star rounds link, in each band, the
-   classes that aren't yet in the centre's component with the centre; the centre is the smallest
-   id at first and then changes by a keyed hash. A group of near copies so costs its
-   size, not its square. Then what is left in bands of two or more components is compared
-   in full: small bands by pairs, large ones by pairs of blocks of which each is one task's and
+3. Bands with more than one class are candidates. First, the members of each band are compared
+   with its smallest. A group of near copies so costs its size,
+   not its square. Then what is left in bands of two or more components is compared in full: small bands by pairs, large ones by pairs of blocks of which each is one task's and
    only links leave. So no candidate pair that could join two components is left out.
 4. A pair is screened by its packed signatures: exclusive or and bit counts give the
    share of equal low bits, and (share - 1/16) / (1 - 1/16) estimates the similarity.
@@ -41,7 +39,6 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BITS = 4
 SCREEN = 0.5
-STAR_ROUNDS = 2
 #: Members of a band up to which its pairs are taken one by one in the end; larger bands go by blocks.
 SMALL_BAND = 32
 BLOCK = 512
@@ -250,53 +247,34 @@ def _links_of_blocks(percent: int):
 
 
 class _Graph:
-    """Candidate bands, what has been compared, and the components so far."""
+    """Candidate bands of the classes, and the components found so far."""
 
     def __init__(self, signed: DataFrame, docs: DataFrame, percent: int):
-        self.percent = percent
+        self.percent, self.component = percent, None
         full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         self.classes = full.groupBy("n_shingles", "key_a", "key_b").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("first"))
-        first = self.classes.select("first.*").withColumnRenamed("doc_id", "node")
-        bands = first.select("node", F.explode("bands").alias("band"))
+        first = materialize(self.classes.select(F.col("first.doc_id").alias("node"), "first.signature", "first.bands"), "classes")
+        bands = first.select("node", "signature", F.explode("bands").alias("band"))
         shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
         self.members = materialize(bands.join(shared, "band"), "bands")
         nodes = self.members.select("node").distinct()
-        self.signs = materialize(first.join(nodes, "node", "left_semi").select("node", "signature"), "signatures")
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi")
-        self.texts = materialize(texts, "texts")
-        self.component, self.compared = None, None
-
-    def placed(self) -> DataFrame:
-        """(band, node, component) of all members."""
-        if self.component is None:
-            return self.members.withColumn("component", F.col("node"))
-        joined = self.members.join(self.component.withColumnRenamed("component", "low"), "node", "left")
-        return joined.select("band", "node", F.coalesce("low", "node").alias("component"))
-
-    def open(self) -> bool:
-        """Is some band in two components?"""
-        spans = self.placed().groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return not spans.where(F.col("low") < F.col("high")).isEmpty()
-
-    def star(self, turn: int) -> DataFrame:
-        members = self.placed()
-        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        centre = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("component").alias("component"))).alias("c"))
-        centre = centre.where(F.col("low") < F.col("high")).select("band", F.col("c.node").alias("v"), F.col("c.component").alias("v_component"))
-        return members.join(centre, "band").where(F.col("component") != F.col("v_component")).select(F.col("node").alias("u"), "v")
-
-    def rest(self) -> tuple[DataFrame, DataFrame]:
-        """What is left in bands with two components.
-
-        Of small bands: the pairs (u, v). Of large ones: the links found in blocks.
-        """
-        members = self.placed()
-        span = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v"), F.count(F.lit(1)).alias("size"))
-        split = materialize(members.join(span.where(F.col("low") < F.col("high")), "band").select("band", "node", "component", "v", "size"), "open")
+        self.texts = materialize(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi"), "texts")
+
+    def star(self) -> None:
+        """Links the members of each band with its smallest node."""
+        centre = self.members.groupBy("band").agg(F.min(F.struct("node", "signature")).alias("c"))
+        pairs = self.members.join(centre, "band").where(F.col("node") > F.col("c.node"))
+        self.link(pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v"), F.col("signature").alias("u_signature"), F.col("c.signature").alias("v_signature")))
+
+    def rest(self) -> None:
+        """Compares what is left in bands of two components: small bands by pairs, large ones in blocks."""
+        placed = self.members.join(self.component.withColumnRenamed("component", "low"), "node", "left").select("band", "node", "signature", F.coalesce("low", "node").alias("component"))
+        span = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v"), F.count(F.lit(1)).alias("size"))
+        split = materialize(placed.join(span.where(F.col("low") < F.col("high")), "band").select("band", "node", "signature", "component", "v", "size"), "open")
         small = split.where(F.col("size") <= SMALL_BAND)
-        u, v = small.select("band", F.col("node").alias("u"), F.col("component").alias("a")), small.select("band", F.col("node").alias("v"), F.col("component").alias("b"))
-        pairs = u.join(v, "band").where((F.col("u") > F.col("v")) & (F.col("a") != F.col("b"))).select("u", "v")
-        return pairs, self.blocks(split.where(F.col("size") > SMALL_BAND))
+        u, v = (small.select("band", F.col("node").alias(x), F.col("signature").alias(f"{x}_signature"), F.col("component").alias(f"{x}_component")) for x in "uv")
+        pairs = u.join(v, "band").where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")))
+        self.link(pairs.select("u", "v", "u_signature", "v_signature"), self.blocks(split.where(F.col("size") > SMALL_BAND)))
 
     def blocks(self, open_members: DataFrame) -> DataFrame:
         """All links between components among the nodes that large bands join, a few of each.
@@ -305,51 +283,36 @@ class _Graph:
         into blocks of about BLOCK nodes, and each pair of blocks is one task's
         group: whole shingle sets are compared there and only links leave it.
         """
-        nodes = open_members.select("node", "component").distinct()
-        cluster = components(open_members.select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "cluster")
-        nodes = nodes.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        cluster = components(open_members.where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "cluster")
+        nodes = open_members.groupBy("node").agg(F.first("component").alias("component")).join(cluster, "node", "left")
+        nodes = nodes.withColumn("cluster", F.coalesce("cluster", "node"))
         count = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
         nodes = nodes.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         nodes = nodes.join(self.texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         dealt = nodes.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "text")
         return dealt.groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks(self.percent), "u bigint, v bigint")
 
-    def compare(self, pairs: DataFrame, known: DataFrame | None = None) -> None:
-        """Compares pairs, unless done before, and joins components, by links known besides too."""
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
-        u_sign, v_sign = self.signs.toDF("u", "u_signature"), self.signs.toDF("v", "v_signature")
-        pairs = pairs.join(u_sign, "u").join(v_sign, "v").withColumn("near", estimate("u_signature", "v_signature") >= SCREEN).select("u", "v", "near")
-        pairs = materialize(pairs, "pairs")
-        self.compared = pairs.select("u", "v") if self.compared is None else self.compared.unionAll(pairs.select("u", "v"))
-        near = pairs.where("near").select("u", "v")
+    def link(self, pairs: DataFrame, known: DataFrame | None = None) -> None:
+        """Joins the components of the pairs (u, v, signatures) that are confirmed, and of links known."""
+        near = pairs.where(estimate("u_signature", "v_signature") >= SCREEN).select("u", "v").distinct()
         near = near.join(self.texts.toDF("u", "u_text"), "u").join(self.texts.toDF("v", "v_text"), "v").select("u", "v", "u_text", "v_text")
         links = near.mapInArrow(_confirm(self.percent), "u bigint, v bigint")
-        if known is not None:
-            links = links.unionAll(known)
-        if self.component is not None:
-            links = links.unionAll(self.component.toDF("u", "v"))
+        for more in (known, self.component):
+            if more is not None:
+                links = links.unionAll(more.toDF("u", "v"))
         self.component = components(links)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(rows), "signed")
     graph = _Graph(signed, rows, percent)
-    for turn in range(star_rounds):
-        if graph.open():
-            graph.compare(graph.star(turn))
-    if graph.open():
-        graph.compare(*graph.rest())
+    graph.star()
+    graph.rest()
     keys = ["n_shingles", "key_a", "key_b"]
-    low = graph.classes.select(*keys, F.col("first.doc_id").alias("node"))
-    if graph.component is not None:
-        low = low.join(graph.component, "node", "left").select(*keys, F.coalesce("component", "node").alias("low"))
-    else:
-        low = low.withColumnRenamed("node", "low")
-    low = low.select(*[F.col(k).alias(f"c_{k}") for k in keys], "low")
+    low = graph.classes.select(*keys, F.col("first.doc_id").alias("node")).join(graph.component, "node", "left")
+    low = low.select(*[F.col(k).alias(f"c_{k}") for k in keys], F.coalesce("component", "node").alias("low"))
     same = (F.col("doc_id").isNotNull()) & (F.col("key_a") == F.col("c_key_a")) & (F.col("key_b") == F.col("c_key_b")) & (F.col("n_shingles") == F.col("c_n_shingles"))
     found = signed.select("doc_id", *keys).join(low, same, "left")
     component = F.coalesce("low", "doc_id")
