@@ -85,8 +85,8 @@ def _tokenizer(path: str | None, end_id: int, capacity: int):
         encoder, end = tokens.encoder(path), struct.pack("<I", end_id)
         for batch in batches:
             columns = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = memoryview(encoder.encode(text.as_py() or "") + end)
+            for doc_id, blob in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                raw = memoryview(blob + end)
                 for k, (start, length) in enumerate(pieces_of(len(raw) // 4, capacity)):
                     for column, value in zip(columns, (doc_id, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
                         column.append(value)

@@ -35,6 +35,8 @@ SEGMENT_IDS = 1 << 20
 #: UTF-8 bytes of text for each range partition.
 PART_BYTES = 16 << 20
 END_ID = 0
+#: Range partitions up to which their offsets are broadcast.
+BROADCAST_PARTS = 100_000
 
 SEGMENTS = "part int, seq int, first long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 ENTRIES = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint"
@@ -130,8 +132,8 @@ def _writer(path: str | None, end_id: int, segment_ids: int):
             ], ["part", "seq", "first", "n_tokens", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blob = encoder.encode(text.as_py() or "") + end
+            for doc_id, blob in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                blob += end
                 doc_ids.append(doc_id)
                 lengths.append(len(blob) // 4)
                 blobs.append(blob)
@@ -180,5 +182,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
     totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each range partition
     bases = list(zip((p for p, _ in totals), accumulate([0, *(n for _, n in totals)])))
     base = spark.createDataFrame(bases, "part int, base bigint")
+    if len(bases) <= BROADCAST_PARTS:
+        base = F.broadcast(base)
     rows = segments.join(base, "part").select("first", "base", "doc_ids", "lengths", "payload")
     return rows.mapInArrow(_entries, ENTRIES)
