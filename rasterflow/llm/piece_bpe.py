@@ -9,9 +9,11 @@ segmentations on any number of machines, and other seeds or variants give others
 without a piece become UTF-8 bytes; so does a mark that the text itself holds.
 
 No piece goes on after a mark or a line feed once it has another character, so words - with
-the marks before them - are encoded apart and cached. Each occurrence of a word takes one of
-VARIANTS segmentations, chosen by a hash of the seed, the document and its place. Unknown
-words of a batch go through their agendas in step, as arrays; long ones one by one.
+the marks before them - are encoded apart. Each occurrence of a word takes one of
+VARIANTS segmentations, chosen by a hash of the seed, the document and its place. Arrow splits and
+numbers the words of a batch; each different one with its variant is looked up or encoded once, and
+the ids of all are gathered by array operations. Unknown words go through their
+agendas in step, as arrays; long ones one by one.
 
 Decoding joins pieces and bytes, turns marks into spaces and drops the first. It gives
 back every text, at any dropout.
@@ -38,8 +40,12 @@ SEED = 1
 VARIANTS = 4
 #: Words up to this length go through their agendas in step.
 SHORT = 48
-CACHE_WORDS = 150_000
-LEARN_CHARS = 1 << 19
+#: Words kept of each variant.
+CACHE_WORDS = 200_000
+#: Bytes of text whose words are numbered together.
+BATCH_BYTES = 8 << 20
+#: Texts in which this is found are taken apart one by one.
+UNUSUAL = f"^$|^ |  |{MARK}"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean"
@@ -229,79 +235,115 @@ class Encoder:
             ids = full
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str], variant: int) -> dict[str, bytes]:
-        """Ids of those words that aren't kept."""
-        kept = self.known[variant]
-        new = [w for w in words if w not in kept]
-        short = sorted((w for w in new if len(w) <= SHORT), key=len)
-        found = {}
+    def _of(self, words: list[str], variant: int) -> dict[str, bytes]:
+        """Ids of words."""
+        found, short = {"": b""}, sorted((w for w in set(words) if 0 < len(w) <= SHORT), key=len)
         for at in range(0, len(short), 4096):
             some = short[at : at + 4096]
             found.update(zip(some, self.in_step(some, variant)))
-        for w in new:
+        for w in words:
             if len(w) > SHORT:
                 found[w] = self._bytes(w, self.agenda(w, variant))
-        if len(kept) < CACHE_WORDS:
-            kept.update(found)
         return found
 
-    def _units(self, text: str) -> list[str]:
-        """Words with the marks before them; "\\n" for a line feed, and the mark alone twice for one of the text's own."""
-        units, first = [], True
-        for part in text.split(MARK):
-            if not first:
+    def _learn(self, parts: list[str], variant: int) -> list[bytes]:
+        """Ids of parts of a text: a word after a space, or a line feed and what stands after it."""
+        kept = self.known[variant]
+        out = [kept.get(p) for p in parts]
+        new = [k for k, x in enumerate(out) if x is None]
+        words = [parts[k][1:] if parts[k][:1] == "\n" else MARK + parts[k] for k in new]
+        found = self._of(words, variant)
+        for k, word in zip(new, words):
+            out[k] = self.pieces.feed + found[word] if parts[k][:1] == "\n" else found[word]
+            if len(kept) < CACHE_WORDS:
+                kept[parts[k]] = out[k]
+        return out
+
+    def _key(self, document):
+        import numpy as np
+        import xxhash
+
+        return np.uint64(xxhash.xxh64_intdigest(str(document), seed=self.seed & (2**64 - 1)))
+
+    def _choice(self, key, place):
+        """The variant of the occurrence at a place of a document. (arrays)"""
+        import numpy as np
+
+        return _mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)
+
+    def encode_all(self, documents, texts):
+        """The ids of each text of an Arrow string array, in order; ``documents`` are their ids."""
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        sizes, at = pc.binary_length(texts).to_pylist(), 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (size < BATCH_BYTES or end == at):
+                size += sizes[end]
+                end += 1
+            yield from self._encode(documents[at:end], texts.slice(at, end - at))
+            at = end
+
+    def encode(self, text: str, document: int | None = None) -> bytes:
+        import pyarrow as pa
+
+        return next(self.encode_all([document], pa.array([text], pa.string())))
+
+    def _encode(self, documents, texts):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        unusual = pc.match_substring_regex(texts, UNUSUAL)
+        plain, flags = texts.filter(pc.invert(unusual)), unusual.to_pylist()
+        parts = iter(())
+        if len(plain):
+            words = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+            ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+            numbered = words.flatten().dictionary_encode()
+            number, names = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+            keys = np.array([self._key(d) for d, whole in zip(documents, flags) if not whole], np.uint64)
+            sizes = np.diff(ends)
+            place = np.arange(len(number)) - np.repeat(ends[:-1], sizes)
+            unit = number * self.variants + self._choice(np.repeat(keys, sizes), place).astype(np.int64)
+            used = np.zeros(len(names) * self.variants, bool)
+            used[unit] = True
+            blobs = [b""] * len(used)
+            for v in range(self.variants):
+                some = np.flatnonzero(used[v :: self.variants]).tolist()
+                for k, blob in zip(some, self._learn([names[k] for k in some], v)):
+                    blobs[k * self.variants + v] = blob
+            n = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
+            ids, first, each = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(n) - n, n[unit]
+            before = np.concatenate([[0], np.cumsum(each)])
+            at = np.repeat(first[unit] - before[:-1], each)
+            at += np.arange(before[-1])
+            raw, bounds = memoryview(ids[at].tobytes()), 4 * before[ends]
+            parts = (bytes(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        for document, text, whole in zip(documents, texts, flags):
+            yield self._by_units(document, text.as_py()) if whole else next(parts)
+
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """Words with the marks before them; a line feed for itself, an empty string for a mark of the text's own."""
+        units: list[str] = []
+        for n, part in enumerate(text.split(MARK)):
+            if n:
                 units.append("")
             for k, line in enumerate(part.split("\n")):
                 if k:
                     units.append("\n")
-                if first and not k:
-                    line = " " + line
-                if "  " in line or line[-1:] == " " or line == " ":
-                    units += UNIT.findall(line.replace(" ", MARK))
-                elif line:
-                    words = line.split(" ")
-                    if words[0]:
-                        units.append(words[0])
-                    units += [MARK + w for w in words[1:]]
-            first = False
+                units += UNIT.findall((line if n or k else " " + line).replace(" ", MARK))
         return units
 
-    def encode_all(self, documents):
-        """The ids of each (document, text), in order."""
-        held, size = [], 0
-        for document, text in documents:
-            held.append((document, text))
-            size += len(text)
-            if size >= LEARN_CHARS:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def encode(self, text: str, document: int | None = None) -> bytes:
-        return next(self._encode([(document, text)]))
-
-    def _encode(self, documents):
+    def _by_units(self, document, text: str) -> bytes:
+        """The ids of a text with runs of spaces, or with marks of its own."""
         import numpy as np
-        import xxhash
 
-        split, choices = [], []
-        for document, text in documents:
-            units = self._units(text) if text else []
-            key = np.uint64(xxhash.xxh64_intdigest(str(document), seed=self.seed & (2**64 - 1)))
-            split.append(units)
-            choices.append((_mix(key + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).tolist())
-        needed: list[set[str]] = [set() for _ in range(self.variants)]
-        for v in range(self.variants):
-            for units, chosen in zip(split, choices):
-                needed[v].update([u for u, c in zip(units, chosen) if c == v])
-        special = {"\n": self.pieces.feed, "": self.pieces.literal}
-        tables = []
-        for v, words in enumerate(needed):
-            found = self._learn(words - special.keys(), v)
-            kept = self.known[v]
-            tables.append({w: special.get(w) or found.get(w) or kept[w] for w in words})
-        for units, chosen in zip(split, choices):
-            yield b"".join([tables[c][u] for u, c in zip(units, chosen)])
+        units = self._units(text) if text else []
+        chosen = self._choice(self._key(document), np.arange(len(units))).tolist()
+        tables = [self._of([u for u, c in zip(units, chosen) if c == v], v) | {"\n": self.pieces.feed, "": self.pieces.literal} for v in range(self.variants)]
+        return b"".join([tables[c][u] for u, c in zip(units, chosen)])
 
     def decode(self, ids: bytes) -> str:
         import numpy as np
@@ -326,7 +368,7 @@ def encode_documents(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             n, crc, same, blobs = [], [], [], []
-            for text, blob in zip(texts, coder.encode_all((i, t.as_py() or "") for i, t in zip(ids, texts))):
+            for text, blob in zip(texts, coder.encode_all(ids, texts)):
                 n.append(len(blob) // 4)
                 crc.append(zlib.crc32(blob))
                 same.append(coder.decode(blob) == (text.as_py() or ""))
