@@ -126,30 +126,31 @@ def attach_codes(tokens: DataFrame, codes: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def bit_offsets(tokens: DataFrame, stream=("image_id",), block=("order_key",), token="tok_idx") -> DataFrame:
-    """Adds offset: the bits before each token in its stream.
+    """Adds offset, the bits before each token in its stream, and stream_bits, the bits of its stream.
 
     In two steps: blocks of a stream are summed first, so no window has a stream's tokens.
     """
     sums = tokens.groupBy(*stream, *block).agg(F.sum("nbits").alias("_n"))
-    earlier = W.partitionBy(*stream).orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*stream, *block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_block"))
+    all_blocks = W.partitionBy(*stream)
+    earlier = all_blocks.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*stream, *block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_block"), F.sum("_n").over(all_blocks).alias("stream_bits"))
     inside = W.partitionBy(*stream, *block).orderBy(token).rowsBetween(W.unboundedPreceding, -1)
     return tokens.join(sums, [*stream, *block]).withColumn("offset", F.col("_block") + F.coalesce(F.sum("nbits").over(inside), F.lit(0))).drop("_block")
 
 
 def pack_bits(tokens: DataFrame, pad_ones: bool = True, stream=("image_id",)) -> DataFrame:
-    """(stream, byte_idx, b): words of up to 31 bits at their offsets, first bit highest; the last byte is padded."""
-    shifted = F.expr("shiftleft(word, cast(40 - offset % 8 - nbits as int))")
-    last = F.expr("(offset % 8 + nbits - 1) div 8").cast("int")
-    parts = tokens.where("nbits > 0").select(*stream, F.expr("offset div 8").alias("_first"), shifted.alias("_w"), F.explode(F.sequence(F.lit(0), last)).alias("_k"))
+    """(stream, byte_idx, b): words of up to 31 bits at their offsets, first bit highest.
+
+    The last word of a stream takes the padding to a whole byte with it, so tokens are read once.
+    """
+    pad = F.when(F.col("offset") + F.col("nbits") == F.col("stream_bits"), (8 - F.col("stream_bits") % 8) % 8).otherwise(0).cast("int")
+    words = tokens.where("nbits > 0").select(*stream, "offset", "nbits", "word", pad.alias("_pad"))
+    ones = "shiftleft(cast(1 as bigint), _pad) - 1" if pad_ones else "0"
+    padded = words.select(*stream, "offset", F.expr("nbits + _pad").alias("_n"), F.expr(f"shiftleft(word, _pad) + {ones}").alias("_word"))
+    last = F.expr("(offset % 8 + _n - 1) div 8").cast("int")
+    parts = padded.select(*stream, F.expr("offset div 8").alias("_first"), F.expr("shiftleft(_word, cast(40 - offset % 8 - _n as int))").alias("_w"), F.explode(F.sequence(F.lit(0), last)).alias("_k"))
     bytes_ = parts.select(*stream, (F.col("_first") + F.col("_k")).alias("byte_idx"), F.expr("cast(shiftright(_w, 32 - 8 * _k) & 255 as int)").alias("b"))
-    packed = bytes_.groupBy(*stream, "byte_idx").agg(F.bit_or("b").alias("b"))
-    if not pad_ones:
-        return packed
-    ends = tokens.groupBy(*stream).agg(F.max(F.col("offset") + F.col("nbits")).alias("_bits"))
-    ends = ends.select(*stream, F.expr("(_bits - 1) div 8").alias("_last"), F.expr("cast(shiftleft(1, cast((8 - _bits % 8) % 8 as int)) - 1 as int)").alias("_pad"))
-    joined = packed.join(ends, list(stream))
-    return joined.select(*stream, "byte_idx", F.when(F.col("byte_idx") == F.col("_last"), F.col("b").bitwiseOR(F.col("_pad"))).otherwise(F.col("b")).alias("b"))
+    return bytes_.groupBy(*stream, "byte_idx").agg(F.bit_or("b").alias("b"))
 
 
 def byte_arrays(packed: DataFrame, stream=("image_id",)) -> DataFrame:

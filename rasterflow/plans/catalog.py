@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -343,20 +344,28 @@ def _quantities(spark, sf_dir) -> DataFrame:
 
 # package-merge, level by level: each level as a list of (frequency, kind), 0 a symbol and 1 a package
 _LEVEL = "list_sort(leaves || list_transform(range((len(l) // 2)::BIGINT), lambda i: {'f': l[2 * i + 1].f + l[2 * i + 2].f, 'k': 1}))"
-LENGTHS = f"""
-freqs AS (SELECT l_suppkey % 100 AS image_id, l_quantity::INT AS sym, count(*) AS freq FROM lineitem GROUP BY ALL),
-groups AS (SELECT image_id, list({{'freq': freq, 'sym': sym}} ORDER BY freq, sym) AS s, list({{'f': freq, 'k': 0}} ORDER BY freq, sym) AS leaves FROM freqs GROUP BY image_id),
+
+
+def lengths_sql(freqs: str) -> str:
+    """Tables lengths and codes of a query for (image_id, cls, sym, freq)."""
+    return f"""
+freqs AS ({freqs}),
+groups AS (SELECT image_id, cls, list({{'freq': freq, 'sym': sym}} ORDER BY freq, sym) AS s, list({{'f': freq, 'k': 0}} ORDER BY freq, sym) AS leaves FROM freqs GROUP BY image_id, cls),
 l1 AS (SELECT *, leaves AS l FROM groups),
 {", ".join(f"l{n} AS (SELECT * EXCLUDE (l), l AS m{n - 1}, {_LEVEL} AS l FROM l{n - 1})" for n in range(2, 16))},
 t15 AS (SELECT *, len(s) - 1 AS n15, l AS m15 FROM l15),
 {", ".join(f"t{n} AS (SELECT *, len(list_filter(m{n + 1}[1:2 * n{n + 1}], lambda x: x.k = 1)) AS n{n} FROM t{n + 1})" for n in range(14, 0, -1))},
-taken AS (SELECT image_id, s, [{", ".join(f"len(list_filter(m{n}[1:2 * n{n}], lambda x: x.k = 0))" for n in range(1, 16))}] AS t FROM t1),
-lengths AS (SELECT image_id, s[i + 1].sym AS sym, s[i + 1].freq AS freq, i AS rank, len(list_filter(t, lambda x: x > i)) AS len FROM (SELECT *, unnest(range(len(s))) AS i FROM taken)),
-codes AS (SELECT *, coalesce(sum(1 << (16 - len2)::INT) OVER (PARTITION BY image_id ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (16 - len2)::INT AS code
+taken AS (SELECT image_id, cls, s, [{", ".join(f"len(list_filter(m{n}[1:2 * n{n}], lambda x: x.k = 0))" for n in range(1, 16))}] AS t FROM t1),
+lengths AS (SELECT image_id, cls, s[i + 1].sym AS sym, s[i + 1].freq AS freq, i AS rank, len(list_filter(t, lambda x: x > i)) AS len FROM (SELECT *, unnest(range(len(s))) AS i FROM taken)),
+codes AS (SELECT *, coalesce(sum(1 << (16 - len2)::INT) OVER (PARTITION BY image_id, cls ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (16 - len2)::INT AS code
   FROM (SELECT *, len + CASE WHEN rank = 0 THEN 1 ELSE 0 END AS len2 FROM lengths))"""
 
 
-@query(f"WITH {LENGTHS} SELECT image_id, 0 AS cls, sym, freq, rank, len FROM lengths")
+LENGTHS = lengths_sql("SELECT l_suppkey % 100 AS image_id, 0 AS cls, l_quantity::INT AS sym, count(*) AS freq FROM lineitem GROUP BY ALL")
+BLOCK_CODES = f"{TOKENS}, {lengths_sql('SELECT image_id, cls, sym, count(*) AS freq FROM tokens GROUP BY ALL')}"
+
+
+@query(f"WITH {LENGTHS} SELECT image_id, cls, sym, freq, rank, len FROM lengths")
 def code_lengths(spark, sf_dir):
     return entropy.code_lengths(_quantities(spark, sf_dir))
 
@@ -380,6 +389,45 @@ def code_depths(spark, sf_dir):
     return _codes(spark, sf_dir).groupBy("image_id").agg(F.max("len").alias("max_len"), F.min("len").alias("min_len"), F.sum(F.col("freq") * F.col("len")).alias("bits"))
 
 
+@query(f"WITH {BLOCK_CODES} SELECT image_id, cls, sym, len2 AS len, code FROM codes")
+def block_codes(spark, sf_dir):
+    """The code tables of each image of blocks."""
+    return jpeg.image_codes(block_tokens(spark, sf_dir)).select("image_id", "cls", "sym", "len", "code")
+
+
+@query(f"""WITH {BLOCK_CODES},
+words AS (SELECT image_id, scan_idx, tok_idx, len2 + t.len AS nbits, (code << t.len) + bits AS word FROM tokens AS t JOIN codes USING (image_id, cls, sym)),
+stream AS (SELECT *, coalesce(sum(nbits) OVER (PARTITION BY image_id ORDER BY scan_idx, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM words),
+pieces AS (SELECT image_id, o // 8 + k AS byte_idx, ((word::BIGINT << (40 - o % 8 - nbits)::INT) >> (32 - 8 * k)::INT) & 255 AS b FROM stream, range(5) AS r(k) WHERE k <= (o % 8 + nbits - 1) // 8),
+packed AS (SELECT image_id, byte_idx, bit_or(b)::INT AS b FROM pieces GROUP BY ALL),
+ends AS (SELECT image_id, max(o + nbits) AS n FROM stream GROUP BY image_id),
+whole AS (SELECT image_id, byte_idx, CASE WHEN byte_idx = (n - 1) // 8 THEN b | ((1 << ((8 - n % 8) % 8)::INT) - 1) ELSE b END AS b FROM packed JOIN ends USING (image_id))
+SELECT image_id, string_agg(CASE WHEN b = 255 THEN 'FF00' ELSE printf('%02X', b) END, '' ORDER BY byte_idx) AS scan FROM whole GROUP BY image_id""")
+def block_scan(spark, sf_dir):
+    """The whole scan of each image of blocks: tokens, code tables, offsets, packing, stuffing."""
+    tokens = block_tokens(spark, sf_dir).withColumn("order_key", F.col("scan_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+    return jpeg.scan_data(tokens, jpeg.image_codes(tokens))
+
+
+@query(f"""WITH {LENGTHS},
+sizes AS (SELECT image_id, string_agg(printf('%02X', n), '' ORDER BY k) AS counts, sum(n) AS total FROM (SELECT image_id, r.k, count(len2) AS n FROM (SELECT DISTINCT image_id FROM codes) CROSS JOIN range(1, 17) AS r(k) LEFT JOIN (SELECT image_id AS im, len2 FROM codes) ON im = image_id AND len2 = r.k GROUP BY image_id, r.k) GROUP BY image_id),
+syms AS (SELECT image_id, string_agg(printf('%02X', sym), '' ORDER BY rank DESC) AS symbols FROM codes GROUP BY image_id)
+SELECT image_id, 'FFC4' || printf('%04X', (19 + total)::INT) || '00' || counts || symbols AS tables FROM sizes JOIN syms USING (image_id)""")
+def code_table_segments(spark, sf_dir):
+    return jpeg.dht(_codes(spark, sf_dir)).select("image_id", "tables")
+
+
+@query(f"""SELECT image_id, idx, name, content FROM (SELECT DISTINCT event_id // {SIZE} AS image_id FROM events, (SELECT count(*) // {SIZE} * {SIZE} AS n FROM events) WHERE event_id < n),
+(VALUES (1, 'APP0', 'FFE000104A46494600010200004800480000'), (2, 'DQT0', 'FFDB004300{"".join(f"{tables.SPECIFICATION_LUMA[p]:02X}" for p in tables.ZIGZAG)}'), (3, 'DQT1', 'FFDB004301{"".join(f"{tables.SPECIFICATION_CHROMA[p]:02X}" for p in tables.ZIGZAG)}'),
+  (4, 'SOF0', 'FFC00011080011000703012200021101031101'), (6, 'SOS', 'FFDA000C03010102230323003F00')) AS t(idx, name, content)""")
+def header_segments(spark, sf_dir):
+    """The segments of each file but for its code tables and scan."""
+    codes = images(spark, sf_dir).select("image_id", F.lit(0).alias("cls"), F.lit(0).alias("sym"), F.lit(0).alias("rank"), F.lit(1).alias("len"))
+    scans = images(spark, sf_dir).select("image_id", F.lit("").alias("scan"))
+    parts = jpeg.segments(images(spark, sf_dir), codes, scans, "P420", "Spec")
+    return parts.where(F.col("name").isin("APP0", "DQT0", "DQT1", "SOF0", "SOS"))
+
+
 def _symbols(spark, sf_dir) -> DataFrame:
     """(image_id, cls, idx, sym, nbits, word, offset): each order's items as a fixed code of 6 bits, in a stream by order group."""
     items = read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("image_id"), "l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("q"))
