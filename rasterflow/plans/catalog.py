@@ -215,8 +215,8 @@ def reblock_8x8(spark, sf_dir):
     return _reblocked(spark, sf_dir).select("image_id", "channel", "block_idx", F.posexplode("coef").alias("pos", "v"))
 
 
-@query(f"""WITH {SAMPLES}, b AS (SELECT DISTINCT image_id, channel, y // 8 AS by, x // 8 AS bx FROM samples)
-SELECT image_id, channel, by * 2 + bx AS block_idx, CASE WHEN channel = 0 THEN (by // 2) * 4 + (bx // 2) * 4 + (by % 2) * 2 + bx % 2 ELSE by * 2 + bx END AS scan_idx FROM b""")
+@query(f"""WITH {SAMPLES}, b AS (SELECT DISTINCT image_id, channel, y // 8 AS yb, x // 8 AS xb FROM samples)
+SELECT image_id, channel, yb * 2 + xb AS block_idx, CASE WHEN channel = 0 THEN (yb // 2) * 4 + (xb // 2) * 4 + (yb % 2) * 2 + xb % 2 ELSE yb * 2 + xb END AS scan_idx FROM b""")
 def quad_fold(spark, sf_dir):
     return spatial.scan_order(_reblocked(spark, sf_dir), "P420").select("image_id", "channel", "block_idx", "scan_idx")
 
