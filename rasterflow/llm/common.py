@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="rasterflow-")
+        if where != getattr(shared_dir, "own", None):
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         shared_dir.own = where
     return where
 

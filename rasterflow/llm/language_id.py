@@ -70,24 +70,29 @@ def codewords(n: int, seed: int = 0):
 
 
 def _slices(texts):
-    """Parts of about SLICE bytes: (bytes, owner of each run, start of each run); runs of a text overlap by two bytes."""
-    held, owners, starts, size = [], [], [], 0
+    """Parts of about SLICE bytes: (bytes, owner of each run, start of each run, places whose pair is the next run's).
+
+    Runs of a text overlap by two bytes, so that every triple is in one.
+    """
+    held, owners, starts, shared, size = [], [], [], [], 0
     for owner, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass").lower()
         for at in range(0, max(1, len(raw) - 2), SLICE):
             run = raw[at : at + SLICE + 2]
             if size and size + len(run) > SLICE:
-                yield b"".join(held), owners, starts
-                held, owners, starts, size = [], [], [], 0
+                yield b"".join(held), owners, starts, shared
+                held, owners, starts, shared, size = [], [], [], [], 0
             owners.append(owner)
             starts.append(size)
+            if at + SLICE + 2 < len(raw):
+                shared.append(size + SLICE)
             held.append(run + b"\0\0")  # no n-gram joins two texts
             size += len(run) + 2
     if held:
-        yield b"".join(held), owners, starts
+        yield b"".join(held), owners, starts, shared
 
 
-def _features(raw: bytes):
+def _features(raw: bytes, shared):
     """For each place: the pair's and the triple's feature; those with a zero byte are 0."""
     import numpy as np
 
@@ -96,6 +101,7 @@ def _features(raw: bytes):
     triple = ((((pair << np.uint32(8)) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)) + np.uint32(BUCKETS)
     pair[(b[:-2] == 0) | (b[1:-1] == 0)] = 0
     triple[(pair == 0) | (b[2:] == 0)] = 0
+    pair[shared] = 0
     return pair, triple
 
 
@@ -108,8 +114,8 @@ def _count(batches):
         languages, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for language in dict.fromkeys(languages):
             total = counts.setdefault(language, np.zeros(FEATURES, np.int64))
-            for raw, _, _ in _slices([t for k, t in zip(languages, texts) if k == language]):
-                for feature in _features(raw):
+            for raw, _, _, shared in _slices([t for k, t in zip(languages, texts) if k == language]):
+                for feature in _features(raw, shared):
                     total += np.bincount(feature, minlength=FEATURES)
     for language, total in counts.items():
         total[0] = 0
@@ -135,8 +141,8 @@ class Model:
         import numpy as np
 
         sums, n = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts))
-        for raw, owners, starts in _slices(texts):
-            for feature in _features(raw):
+        for raw, owners, starts, shared in _slices(texts):
+            for feature in _features(raw, shared):
                 np.add.at(n, owners, np.add.reduceat((feature != 0).astype(np.int64), starts))
                 for bit, weights in enumerate(self.weights):
                     np.add.at(sums[:, bit], owners, np.add.reduceat(weights[feature], starts, dtype=np.float64))
