@@ -27,8 +27,13 @@ def build_session(cores: int | str = "*", app: str = "rasterflow", **conf) -> Sp
     return spark
 
 
+#: Bytes of rows that reach a Python worker at once, however long they are.
+ARROW_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed on them."""
+    """Let Python workers import this package when it isn't installed on them, and bound what they get at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if str(ROOT) not in paths:
