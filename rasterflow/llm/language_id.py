@@ -41,8 +41,9 @@ MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 SHARPNESS = 8.0
 MIN_GAP = 0.25
-#: Bytes of text taken at once.
-SLICE = 1 << 21
+#: Rows and bytes of text taken at once.
+ROWS = 500
+SLICE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 PREDICTED = "doc_id bigint, lang_pred string, score double, ambiguous boolean"
@@ -105,12 +106,18 @@ def _features(raw: bytes, shared):
     return pair, triple
 
 
+def _parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _count(batches):
     import numpy as np
     import pyarrow as pa
 
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in _parts(batches):
         languages, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for language in dict.fromkeys(languages):
             total = counts.setdefault(language, np.zeros(FEATURES, np.int64))
@@ -177,21 +184,23 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: i
     return Model(languages, counts, seed)
 
 
-def _predictor(shared, min_gap: float) -> Callable:
+def _predictor(shared, min_gap: float, keep: list[str], text_col: str) -> Callable:
     def predict(batches):
         import numpy as np
         import pyarrow as pa
 
         model = shared.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch in _parts(batches):
+            texts = batch.column(0).to_pylist()
             known = [k for k, t in enumerate(texts) if model is not None and t is not None and LETTER.search(t)]
             language, score, unsure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if known:
                 best, score[known], unsure[known] = model.decode(model.margins([texts[k] for k in known]), min_gap)
                 for k, b in zip(known, best):
                     language[k] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(language, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names[2:], "lang_pred", "score", "ambiguous"])
+            others = iter(batch.columns[1:])
+            kept = [batch.column(0) if name == text_col else next(others) for name in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(language, pa.string()), pa.array(score), pa.array(unsure)], [*keep, "lang_pred", "score", "ambiguous"])
 
     return predict
 
@@ -202,9 +211,9 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: st
     The model is broadcast: MAX_LANGUAGES * 10 bits * FEATURES * 4 bytes at the very most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.lit(0).alias("_"), F.col(text_col).alias("_text"), *keep)
+    rows = docs.select(F.col(text_col).alias("_text"), *[name for name in keep if name != text_col])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_predictor(shared, min_gap), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(_predictor(shared, min_gap, keep, text_col), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def remainder(id_col: str = "doc_id", by: int = 3) -> Column:

@@ -44,8 +44,8 @@ SMALL_BAND = 32
 BLOCK = 512
 #: Shingles for each slice of a block's matrix.
 MATRIX_COLUMNS = 4096
-#: Words whose hashes a worker keeps, some 50 MB.
-CACHE_WORDS = 400_000
+#: Words whose hashes a worker keeps, some 15 MB.
+CACHE_WORDS = 100_000
 #: Shingles hashed at once.
 CHUNK = 1 << 16
 
