@@ -12,16 +12,18 @@ shorter ones, and what is excluded depends only on the context escaped from.
 How it is spread out, without a table that all tasks hold:
 
 1. Documents are dealt by a hash of their id to buckets of about BUCKET_BYTES. Each bucket's task
-   counts its n-grams of ORDER + 1 bytes and its words, and sends them as one packed row for each shard.
+   counts its n-grams of ORDER + 1 bytes, packed in one row for each shard, and its words, in rows.
    A shard has all n-grams of a hash of the two bytes before the last, hence all
-   longer contexts of each of its n-grams, and all words of a hash.
-2. Each shard's task sums the counts of all buckets, builds its part of the trie, works out the
-   log probability of each n-gram, and answers each bucket in kind. Contexts of one byte or none are
-   one table of at most 65,536 counts, which is broadcast.
-3. Each bucket meets its answers again and adds up its documents.
+   longer contexts of each of its n-grams; there are MAX_SHARDS at most.
+2. Counts are merged shard by shard, GROUP buckets at a time, then FAN_IN merged parts at a
+   time, until a shard is one row: its part of the trie, which grows with the kinds of n-grams, not with the text.
+   Contexts of one byte or none are one table of at most 65,536 counts, which is broadcast. Each
+   shard's log probabilities are worked out.
+3. A shard's part meets what the buckets ask of it, GROUP buckets at a time; words are summed and joined as rows.
+4. Each bucket meets its answers and adds up its documents.
 
-So what is gathered grows with the corpus, a task holds a bucket or a shard, and both
-have more parts for more text. ``adaptive_bits`` scores one text by a model that learns as it reads.
+So what is gathered grows with the corpus, a task holds a bucket or a part of
+a shard, and there are more of them for more text. ``adaptive_bits`` scores one text by a model that learns as it reads.
 
 Besides, the base: words are runs without ASCII white space, then one end token; a token
 seen c times among N training tokens of V kinds has log10((c + 1) / (N + V + 1)).
@@ -47,7 +49,13 @@ BUCKET_BYTES = 16 << 20
 CHUNK = 2 << 20
 MARK = 255
 
-PACKED = "bucket int, shard int, grams binary, n binary, words binary, word_n binary"
+MAX_SHARDS = 4096
+#: Buckets whose rows of a shard one task takes, and merged parts that the next step takes.
+GROUP, FAN_IN = 4096, 16
+
+COUNTED = "bucket int, shard int, grams binary, n binary, word binary, c bigint"
+MERGED = "shard int, part int, grams binary, n binary"
+ANSWERED = "bucket int, grams binary, logs binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -119,8 +127,6 @@ def _shard_of(grams, shards: int):
 
 
 def _counter(shards: int):
-    import zlib
-
     def count(table):
         import numpy as np
         import pyarrow as pa
@@ -142,19 +148,39 @@ def _counter(shards: int):
                         words.update(dict.fromkeys(t.split(), 0))
         g, n = _merged(np.concatenate(grams), np.concatenate(counts))
         shard = _shard_of(g, shards)
-        by_shard = [[] for _ in range(shards)]
-        for w in words:
-            by_shard[zlib.crc32(w) % shards].append(w)
-        rows = {"bucket": [], "shard": [], "grams": [], "n": [], "words": [], "word_n": []}
-        for s in range(shards):
-            at = shard == s
-            for name, value in (("bucket", bucket), ("shard", s), ("grams", _pack_sorted(g[at])), ("n", _pack(n[at])), ("words", _pack(b"\n".join(by_shard[s]))), ("word_n", _pack(np.array([words[w] for w in by_shard[s]], np.int64)))):
-                rows[name].append(value)
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), (pa.int32(), pa.int32(), *[pa.binary()] * 4))})
+        order = np.argsort(shard, kind="stable")
+        g, n, shard = g[order], n[order], shard[order]
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        parts = list(zip(first.tolist(), [*first[1:].tolist(), len(g)]))
+        rows, kinds = len(parts), len(words)
+        column = lambda values, empty, kind: pa.array([*values, *[None] * empty], kind)
+        return pa.table({
+            "bucket": pa.array([bucket] * (rows + kinds), pa.int32()),
+            "shard": column(shard[first].tolist(), kinds, pa.int32()),
+            "grams": column([_pack_sorted(g[a:b]) for a, b in parts], kinds, pa.binary()),
+            "n": column([_pack(n[a:b]) for a, b in parts], kinds, pa.binary()),
+            "word": pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array(list(words), pa.binary())]),
+            "c": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(list(words.values()), pa.int64())]),
+        })
 
     return count
 
 
+def _merge(table):
+    """One row of a shard's rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    g, n = _merged(np.concatenate([_grams(x) for x in table["grams"]]), np.concatenate([_unpack(x.as_py(), np.int64) for x in table["n"]]))
+    return pa.table({"shard": table["shard"][:1], "part": table["part"][:1], "grams": pa.array([_pack_sorted(g)], pa.binary()), "n": pa.array([_pack(n)], pa.binary())})
+
+
+def _grams(packed):
+    import numpy as np
+
+    return np.cumsum(_unpack(packed.as_py(), np.uint64), dtype=np.uint64)
+
+
 def _pairs(batches):
     """The training counts of (last byte, byte), from packed rows."""
     import numpy as np
@@ -163,7 +189,7 @@ def _pairs(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for grams, n in zip(batch.column(0), batch.column(1)):
-            g, n = np.cumsum(_unpack(grams.as_py(), np.uint64), dtype=np.uint64), _unpack(n.as_py(), np.int64)
+            g, n = _grams(grams), _unpack(n.as_py(), np.int64)
             np.add.at(total, (g & np.uint64(0xFFFF)).astype(np.int64), n)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["pair", "n"])
@@ -232,32 +258,29 @@ class Trie:
 
 
 def _resolver(shared):
-    def resolve(table):
+    def resolve(batches):
         import numpy as np
         import pyarrow as pa
 
-        grams = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in table["grams"]]
-        counts = [_unpack(x.as_py(), np.int64) for x in table["n"]]
-        words = [_unpack(x.as_py()) for x in table["words"]]
-        all_grams, all_counts = _merged(np.concatenate(grams), np.concatenate(counts))
-        logs = Trie(all_grams, all_counts, shared.value).log10(all_grams)
-        total: dict[bytes, int] = defaultdict(int)
-        for some, n in zip(words, table["word_n"]):
-            for w, c in zip(some.split(b"\n"), _unpack(n.as_py(), np.int64).tolist()):
-                total[w] += c
-        kinds, tokens = sum(c > 0 for c in total.values()), sum(total.values())
-        rows = table.num_rows
-        return pa.table({
-            "bucket": table["bucket"], "shard": table["shard"], "grams": table["grams"],
-            "n": pa.array([_pack(logs[np.searchsorted(all_grams, g)].astype(np.float32)) for g in grams], pa.binary()),
-            "words": table["words"],
-            "word_n": pa.array([_pack(np.array([total[w] for w in some.split(b"\n")] if some else [], np.int64)) for some in words], pa.binary()),
-            "kinds": pa.array([kinds] + [0] * (rows - 1), pa.int64()), "tokens": pa.array([tokens] + [0] * (rows - 1), pa.int64()),
-        })
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g = _grams(batch.column(1)[k])
+                logs = Trie(g, _unpack(batch.column(2)[k].as_py(), np.int64), shared.value).log10(g).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([_pack(logs)], pa.binary())], ["shard", "grams", "logs"])
 
     return resolve
 
 
+def _answer(asked, model):
+    """The log probabilities of each bucket's n-grams in a shard."""
+    import numpy as np
+    import pyarrow as pa
+
+    every, logs = _grams(model["grams"][0]), _unpack(model["logs"][0].as_py(), np.float32)
+    found = [_pack(logs[np.searchsorted(every, _grams(x))]) for x in asked["grams"]]
+    return pa.table({"bucket": asked["bucket"], "grams": asked["grams"], "logs": pa.array(found, pa.binary())})
+
+
 class _Look:
     """A hash table of n-grams in arrays; the few that share a slot are searched for."""
 
@@ -292,12 +315,10 @@ def _scorer(tokens: int, kinds: int, ends: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known, grams, logs = {}, [], []
-        for row in answers.to_pylist():
-            grams.append(np.cumsum(_unpack(row["grams"], np.uint64), dtype=np.uint64))
-            logs.append(_unpack(row["n"], np.float32))
-            if some := _unpack(row["words"]):
-                known.update(zip(some.split(b"\n"), np.log10(_unpack(row["word_n"], np.int64) + 1.0).tolist()))
+        packed = answers.filter(pc.is_valid(answers["grams"]))
+        grams, logs = [_grams(x) for x in packed["grams"]], [_unpack(x.as_py(), np.float32) for x in packed["logs"]]
+        words = answers.filter(pc.is_valid(answers["word"]))
+        known = dict(zip(words["word"].to_pylist(), np.log10(words["c"].to_numpy() + 1.0).tolist()))
         look, rest, end = _Look(np.concatenate(grams), np.concatenate(logs)), math.log10(tokens + kinds + 1), math.log10(ends + 1)
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for _, texts in _chunks(docs["text"]):
@@ -326,16 +347,30 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     parts = max(1, math.ceil(text_bytes(rows, "text") / bucket_bytes))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     ends = rows.where("train").count()
-    packed = materialize(rows.groupBy("bucket").applyInArrow(_counter(parts), PACKED), "counts")
-    found = packed.select("grams", "n").mapInArrow(_pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    shards, groups = min(parts, MAX_SHARDS), math.ceil(parts / GROUP)
+    counted = materialize(rows.groupBy("bucket").applyInArrow(_counter(shards), COUNTED), "counts")
+    part = F.expr(f"bucket div {GROUP}").cast("int").alias("part")
+    asked = counted.where("shard is not null").select("bucket", "shard", part, "grams", "n")
+    merged = materialize(asked.groupBy("shard", "part").applyInArrow(_merge, MERGED), "merged")
+    left = groups
+    while left > 1:
+        merged = materialize(merged.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("shard", "part").applyInArrow(_merge, MERGED), "merged")
+        left = math.ceil(left / FAN_IN)
+    found = merged.select("grams", "n").mapInArrow(_pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(1 << 16, np.int64)  # at most so many rows
     pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
     shared = spark.sparkContext.broadcast(pairs)
-    answers = materialize(packed.groupBy("shard").applyInArrow(_resolver(shared), PACKED + ", kinds bigint, tokens bigint"), "answers")
-    total = answers.agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).first()
+    model = merged.select("shard", "grams", "n").mapInArrow(_resolver(shared), "shard int, grams binary, logs binary")
+    model = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    answers = asked.drop("n").groupBy("shard", "part").cogroup(model.groupBy("shard", "part")).applyInArrow(_answer, ANSWERED)
+    words = counted.where("word is not null").select("bucket", "word", "c")
+    totals = materialize(words.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    total = totals.agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
     tokens, kinds = (total["tokens"] or 0) + ends, (total["kinds"] or 0) + (ends > 0)
-    answers = answers.drop("kinds", "tokens")
-    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scorer(tokens, kinds, ends), SCORED)
+    no = F.lit(None)
+    by_word = words.select("bucket", "word").join(totals, "word").select("bucket", no.cast("binary").alias("grams"), no.cast("binary").alias("logs"), "word", "c")
+    by_gram = answers.select("bucket", "grams", "logs", no.cast("binary").alias("word"), no.cast("bigint").alias("c"))
+    return rows.groupBy("bucket").cogroup(by_gram.unionAll(by_word).groupBy("bucket")).applyInArrow(_scorer(tokens, kinds, ends), SCORED)
 
 
 def adaptive_bits(text: str, order: int = ORDER) -> float:

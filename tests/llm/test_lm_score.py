@@ -57,8 +57,11 @@ def corpus():
     return rows + [(k, words(rng, rng.randint(1, 80)) + rng.choice(["", " ÉTÉ", "\n\tend"])) for k in range(100, 160)]
 
 
-@pytest.mark.parametrize("bucket", [1 << 24, 4000])
-def test_against_brute_force(spark, bucket):
+@pytest.mark.parametrize(("bucket", "group"), [(1 << 24, 4096), (4000, 4096), (4000, 1)])
+def test_against_brute_force(spark, monkeypatch, bucket, group):
+    monkeypatch.setattr(L, "GROUP", group)
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    monkeypatch.setattr(L, "MAX_SHARDS", 3)
     rows = corpus()
     train = language_id.remainder(by=7) != 2
     found = L.lm_scores(documents(spark, rows), train, bucket_bytes=bucket).collect()
