@@ -1,7 +1,8 @@
 """Bounded-space online best-fit packing of tokenized documents into sequences.
 
 A document is its ids and an end id. One longer than a sequence is cut into full-length
-pieces, of which the first takes what is left over. Pieces arrive one by one; each goes
+pieces, of which the first takes what is left over. Pieces arrive in order of a hash, LOOKAHEAD at
+once, and are placed one by one, the longest of those at hand first; each goes
 to the open sequence with the least sufficient free space, found in a bitset with a bit for
 each amount of free space that some open sequence has. At most ``open_bins`` are open: when a
 new one would exceed that, the fullest is closed.
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-OPEN_BINS = 1024
+OPEN_BINS = 8192
+#: Pieces that a packer takes at once, the longest first.
+LOOKAHEAD = 8192
 END_ID = 2
 PACKER_DOCS = 200_000
 
@@ -96,24 +99,38 @@ def _tokenizer(path: str | None, end_id: int, capacity: int):
     return cut
 
 
-def _packer(capacity: int, open_bins: int):
+def _packer(capacity: int, open_bins: int, lookahead: int):
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
+
+        def place(held):
+            table = pa.Table.from_batches(held).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            placed = [fit.place(n) for n in table["length"].to_pylist()]
+            table = table.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64())).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+            return table.combine_chunks().to_batches()
+
+        held, n = [], 0
         for batch in batches:
-            placed = [fit.place(n) for n in batch.column(3).to_pylist()]
-            more = [pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "sequence_id", "offset"])
+            for at in range(0, batch.num_rows, lookahead):
+                part = batch.slice(at, lookahead)
+                if n + part.num_rows > lookahead:
+                    yield from place(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield from place(held)
 
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID, packer_docs: int = PACKER_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID, packer_docs: int = PACKER_DOCS, lookahead: int = LOOKAHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     packers = max(1, math.ceil(rows.count() / packer_docs))
     pieces = rows.mapInArrow(_tokenizer(tokenizer, end_id, capacity), PIECES)
     dealt = pieces.repartition(packers, F.xxhash64("doc_id", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(_packer(capacity, open_bins), PLACED)
+    return dealt.mapInArrow(_packer(capacity, open_bins, lookahead), PLACED)

@@ -134,4 +134,4 @@ def test_pack_documents(spark):
     placed = P.pack_documents(documents(spark, rows)).collect()
     total = sum(r.length for r in placed)
     assert check_packing(placed, rows) <= 1.1 * total / P.CAPACITY + 1
-    check_packing(P.pack_documents(documents(spark, rows), packer_docs=20, open_bins=2).collect(), rows)
+    check_packing(P.pack_documents(documents(spark, rows), packer_docs=20, open_bins=2, lookahead=3).collect(), rows)
