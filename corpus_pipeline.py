@@ -26,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops boilerplate lines of each source, and documents of which nothing else is left."""
+    """Drops boilerplate lines of each source, and documents of which nothing else is left; copies of a page count once."""
     ship(spark)
-    cut = line_dedup.line_dedup(docs.select(*COLUMNS), count_col="_dropped")
+    cut = line_dedup.line_dedup(docs.select(*COLUMNS), count_col="_dropped", copies_once=True)
     left = cut.where((F.col("_dropped") == 0) | (F.trim(F.col("text")) != ""))
     return left.withColumn("n_chars", F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 

@@ -12,7 +12,8 @@ skewed; the rules are broadcast only when their counted number is at most BROADC
 
 Defined cases: a null host is a host of its own; a null text stays null and counts as a
 page without lines; an empty text stays empty; empty lines are never rules and stay;
-repeated rows count as pages each; other columns pass through unchanged.
+repeated rows count as pages each, or with ``copies_once`` pages of one host with the same text
+count as one, so only lines that different pages share are rules; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -31,20 +32,27 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", copies_once: bool = False) -> DataFrame:
     """(host, a, b, n_pages, host_pages): the lines over the ratio, by their hashes."""
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x != ""))).alias("line"))
-    lines = lines.select("host", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
+    distinct = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    if copies_once:
+        # lines as hashes, so no text is shuffled; copies collapse before the shuffle
+        pages = pages.select("host", _key(F.col("text")).alias("page"), F.transform(distinct, _key).alias("keys"))
+        totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+        lines = pages.groupBy("host", "page").agg(F.first("keys").alias("keys")).select("host", F.explode("keys").alias("key")).select("host", "key.a", "key.b")
+    else:
+        totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+        lines = pages.select("host", F.explode(distinct).alias("line"))
+        lines = lines.select("host", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
     counts = lines.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     totals = totals.withColumnRenamed("host", "total_host")
     return counts.join(totals, F.col("host").eqNullSafe(F.col("total_host"))).where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages")).drop("total_host")
 
 
-def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", count_col: str | None = None, copies_once: bool = False) -> DataFrame:
     """``docs`` without boilerplate lines; ``count_col`` adds the number of lines dropped."""
-    rules = materialize(boilerplate(docs, ratio, min_pages, host_col, text_col), "line-rules")
+    rules = materialize(boilerplate(docs, ratio, min_pages, host_col, text_col, copies_once), "line-rules")
     by_host = rules.groupBy(F.col("host").alias("_rule_host")).agg(F.collect_list(F.struct("a", "b")).alias("_rules"))
     if rules.count() <= BROADCAST_ROWS:
         by_host = F.broadcast(by_host)

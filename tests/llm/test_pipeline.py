@@ -37,5 +37,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     check_packing(P.run(spark, str(tmp_path)).collect(), unique)
 
 
+def test_large_group_of_copies_keeps_one(spark, tmp_path):
+    rng = random.Random(12)
+    whole = f"{words(rng, 30)}\n{words(rng, 30)}"
+    rows = [(k, f"menu of the site\n{words(rng, 40)}", "aa", "s") for k in range(20)] + [(100 + k, whole, "aa", "s") for k in range(10)]
+    rows += [(200 + k, words(rng, 40), "aa", "t") for k in range(35)] + [(300 + k, whole + " x", "aa", "t") for k in range(4)]
+    cut_rows = P.drop_boilerplate(spark, documents(spark, rows).select(*P.COLUMNS), str(tmp_path))
+    got = {r.doc_id: r.text for r in cut_rows.collect()}
+    assert got == {i: t.removeprefix("menu of the site\n") for i, t, _, _ in rows}
+    kept = [r.text for r in P.drop_near_duplicates(spark, cut_rows, str(tmp_path)).collect()]
+    assert sum(t.startswith(whole) for t in kept) == 1
+
+
 def test_stages_are_named():
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "minhash_near_dedup", "best_fit_packing"] and P.ORACLE_SQL is None
