@@ -7,10 +7,10 @@ each filter's value is quantized to two Gray-coded bits, and all bits of a
 place make one 32-bit integer.
 
 Recordings align where their integers agree: equal integers of a query and another recording vote
-for an offset; each of the offsets with the most votes is checked by the share of unequal bits over the whole
-overlap. ``align`` takes a stated set of queries against all recordings. Equal fingerprints are
+for an offset; each offset with enough votes is checked by the share of unequal bits over the whole
+overlap, and of those that pass the one with the most votes is kept. ``align`` takes a stated set of queries against all recordings. Equal fingerprints are
 one class, represented by its smallest id with the number of its rows, so
-copies aren't expanded; integers that very many classes share make skewed joins, which
+copies aren't expanded; a class aligns with itself at offset 0, without voting; integers that very many classes share make skewed joins, which
 adaptive execution splits, and votes are summed before they are shuffled.
 
 Defined cases: null audio, or too short for one integer, has an empty fingerprint and aligns with
@@ -146,14 +146,19 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_e
     asked_keys = materialize(asked.select("key").distinct().join(classes, "key").select("key", "codes"), "asked")
     q = asked_keys.select(F.col("key").alias("q"), F.posexplode("codes").alias("q_at", "code"))
     r = classes.select(F.col("key").alias("r"), F.posexplode("codes").alias("r_at", "code"))
-    votes = q.join(r, "code").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "r", "b.votes", "b.offset")
-    checked = best.join(asked_keys.select(F.col("key").alias("q"), F.col("codes").alias("q_codes")), "q").join(classes.select(F.col("key").alias("r"), F.col("codes").alias("r_codes"), "low", "n_rows"), "r")
-    checked = checked.withColumn("bit_error", bit_error(F.col("q_codes"), F.col("r_codes"), F.col("offset"))).where(F.col("bit_error") <= max_error)
+    votes = q.join(r, "code").where(F.col("q") != F.col("r")).groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
+    votes = votes.groupBy("q", "r").agg(F.collect_list(F.struct("votes", "offset")).alias("votes"))
+    paired = votes.join(asked_keys.select(F.col("key").alias("q"), F.col("codes").alias("q_codes")), "q").join(classes.select(F.col("key").alias("r"), F.col("codes").alias("r_codes"), "low", "n_rows"), "r")
+    tried = F.transform("votes", lambda v: F.struct(v["votes"].alias("votes"), (-F.abs(v["offset"])).alias("near"), v["offset"].alias("offset"), bit_error(F.col("q_codes"), F.col("r_codes"), v["offset"]).alias("bit_error")))
+    checked = paired.withColumn("b", F.array_max(F.filter(tried, lambda t: t["bit_error"] <= max_error))).where(F.col("b").isNotNull())
+    checked = checked.select("q", "r", "low", "n_rows", "b.offset", "b.votes", "b.bit_error")
+    same = asked_keys.select("key").join(classes, "key").where(F.col("n_rows") > 1)
+    same = same.select(F.col("key").alias("q"), F.col("key").alias("r"), "low", "n_rows", F.lit(0).alias("offset"), F.size("codes").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    checked = checked.unionByName(same)
     matched = checked.select("q", "r", "low", "n_rows", "offset", "votes", "bit_error").join(asked.select(F.col("key").alias("q"), F.col("id").alias("query_id")), "q")
     own = F.col("q") == F.col("r")
     second = rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("n") == 2).select(F.col("key").alias("r"), F.col("id").alias("next"))
-    matched = matched.join(second, "r", "left").where(~own | (F.col("n_rows") > 1))
+    matched = matched.join(second, "r", "left")
     return matched.select(
         "query_id",
         F.when(F.col("low") == F.col("query_id"), F.col("next")).otherwise(F.col("low")).alias("match_id"),

@@ -91,6 +91,22 @@ def test_align(spark):
     assert got[2, 100].offset == 10 and got[2, 100].n_rows == 1 and got[2, 100].bit_error < 0.2
 
 
+def test_align_checks_every_offset_with_votes(spark):
+    rng = np.random.default_rng(8)
+    body, own, other = (rng.integers(0, 2**32, n).tolist() for n in (60, 40, 40))
+    noisy, held = [x if k % 6 == 0 else x ^ 0b111 for k, x in enumerate(body)], rng.integers(0, 2**32, 20).tolist()
+    # the held integers vote most for an offset where little else agrees; the bodies agree at another
+    prints = spark.createDataFrame([(0, own + held + body), (1, noisy + held + other)], "id long, codes array<long>")
+    got = {(r.query_id, r.match_id): r for r in M.align(prints, F.col("id") == 0).collect()}
+    assert set(got) == {(0, 1)} and (got[0, 1].offset, got[0, 1].votes) == (-60, 10) and got[0, 1].bit_error < 0.1
+
+
+def test_align_short_copies_without_votes(spark):
+    prints = spark.createDataFrame([(2, [1, 2]), (3, [1, 2]), (4, [5]), (5, [6])], "id long, codes array<long>")
+    got = sorted(map(tuple, M.align(prints, F.lit(True)).collect()))
+    assert got == [(2, 3, 1, 0, 2, 0.0), (3, 2, 1, 0, 2, 0.0)]
+
+
 def test_align_empty(spark):
     df = spark.createDataFrame([], "k long, audio binary")
     assert M.align(M.fingerprints(df, "k", "audio"), F.lit(True)).count() == 0
