@@ -47,13 +47,13 @@ def op8_best_fit_packing(spark, sf_dir):
 
 
 def op9_chroma_fingerprints(spark, sf_dir):
-    """A row for each recording: its fingerprint's size and md5; of a query, also its alignments."""
+    """A row for each recording: its fingerprint's size and md5; of a query, also its alignments and the best of them."""
     audio = media.recordings(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     prints = materialize(media.fingerprints(audio, "id", "audio"), "fingerprints")
     found = media.align(prints, F.col("id") % 50 == 0)
     best = F.max(F.struct(-F.col("bit_error"), "votes", -F.col("match_id"), "offset"))
-    found = found.groupBy(F.col("query_id").alias("q")).agg(F.count(F.lit(1)).alias("n_matches"), best.alias("b"))
-    found = found.select("q", "n_matches", (-F.col("b.col3")).alias("best_match"), F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"), (-F.col("b.col1")).alias("bit_error"))
+    found = found.groupBy(F.col("query_id").alias("q")).agg(F.sort_array(F.collect_set(F.struct("match_id", "n_rows", "offset", "votes", "bit_error"))).alias("alignments"), best.alias("b"))
+    found = found.select("q", F.size("alignments").cast("long").alias("n_matches"), (-F.col("b.col3")).alias("best_match"), F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"), (-F.col("b.col1")).alias("bit_error"), "alignments")
     rows = prints.select("id", F.size("codes").alias("n_codes"), F.md5(F.array_join("codes", ",")).alias("codes_md5"))
     return rows.join(found, rows["id"] == found["q"], "left").drop("q").withColumnRenamed("id", "vec_id")
 
