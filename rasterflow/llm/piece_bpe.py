@@ -3,17 +3,19 @@
 A text's spaces become the mark U+2581, one more stands before it, and each character is a
 symbol. An agenda holds the pairs of neighbours whose joined string is a piece, best
 score first, then leftmost; the next candidate is popped and merged, which brings up new ones. With
-dropout, a popped candidate is skipped when a keyed hash of the seed, the word, its
-variant and the candidate's place falls below the dropout rate. Equal seeds so give equal
-segmentations on any number of machines, and other seeds or variants give others. Characters
+dropout, a candidate is skipped when a keyed hash of the seed, the document, the place of the
+word's occurrence in it and the candidate's place in the word falls below the dropout rate. Equal seeds so give equal
+segmentations on any number of machines, and other seeds, documents or places give others. Characters
 without a piece become UTF-8 bytes; so does a mark that the text itself holds.
 
 No piece goes on after a mark or a line feed once it has another character, so words - with
-the marks before them - are encoded apart. Each occurrence of a word takes one of
-VARIANTS segmentations, chosen by a hash of the seed, the document and its place. Arrow splits and
-numbers the words of a batch; each different one with its variant is looked up or encoded once, and
-the ids of all are gathered by array operations. Unknown words go through their
-agendas in step, as arrays; long ones one by one.
+the marks before them - are encoded apart. Arrow splits and numbers the words of a batch. A
+word's agenda depends on an occurrence only by which of its candidates are skipped, so runs of a
+word are kept as nodes, each with the skips it was made under, all candidates it met and its ids.
+An occurrence starts at the node without skips and goes on to the node of the skips that its own
+hashes give among the candidates met, until they are the node's: then that run is its own. Each
+move makes at least one more candidate right, so it ends. New nodes go through their agendas in
+step, as arrays; long words one by one for each occurrence.
 
 Decoding joins pieces and bytes, turns marks into spaces and drops the first. It gives
 back every text, at any dropout.
@@ -36,12 +38,14 @@ from pyspark.sql import functions as F
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 1
-#: Segmentations that the occurrences of a word are dealt out to.
-VARIANTS = 4
 #: Words up to this length go through their agendas in step.
 SHORT = 48
-#: Words kept of each variant.
+#: Nodes are kept up to four times this number, for all words together.
 CACHE_WORDS = 200_000
+#: Candidates of a node at most; a word with more goes one by one.
+MOST_CANDIDATES = 52
+#: Occurrences that move between nodes at once.
+OCCURRENCES = 1 << 17
 #: Bytes of text whose words are numbered together.
 BATCH_BYTES = 8 << 20
 #: Texts in which this is found are taken apart one by one.
@@ -111,16 +115,32 @@ class Encoder:
 
     def __init__(self, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces, self.dropout, self.seed = Pieces(path), dropout, seed
-        self.variants = VARIANTS if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self._forget()
 
-    def _word_key(self, word: str, variant: int) -> int:
-        import xxhash
+    def _forget(self) -> None:
+        """No nodes: those without skips by word, those by (node, skips among its candidates), and what each holds."""
+        import numpy as np
+
+        self.roots: dict[str, int] = {}
+        self.moves: dict[tuple[int, int], int] = {}
+        self.words: list[str] = []
+        self.skips = np.zeros(0, np.int64)
+        self.met, self.met_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.id_ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _occurrence(self, key, place):
+        """The keys of the occurrences at places of documents. (arrays)"""
+        import numpy as np
+
+        return _mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _variant(self, variant: int):
+        import numpy as np
 
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + variant) & (2**64 - 1))
+        return self._occurrence(np.array([self._key(None)]), np.array([variant]))
 
     def skipped(self, key, start, middle, end):
-        """Is the candidate of [start, middle) and [middle, end) skipped in the word of this key? (arrays)"""
+        """Is the candidate of [start, middle) and [middle, end) skipped in the occurrence of this key? (arrays)"""
         import numpy as np
 
         if not self.dropout:
@@ -128,11 +148,11 @@ class Encoder:
         place = (start.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | end.astype(np.uint64)
         return (_mix(key + place * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) < self.dropout * 2.0**53
 
-    def agenda(self, word: str, variant: int = 0) -> list[int]:
-        """The pieces' ids of one word, by the agenda; unknown characters as the unknown id."""
+    def agenda(self, word: str, variant: int = 0, key=None) -> list[int]:
+        """The pieces' ids of one occurrence of a word, by the agenda; unknown characters as the unknown id."""
         import numpy as np
 
-        p, key = self.pieces, np.array([self._word_key(word, variant)], np.uint64)
+        p, key = self.pieces, self._variant(variant) if key is None else key
         symbols = [int(p.character[ord(c)]) for c in word]
         n = len(symbols)
         before, after, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
@@ -160,9 +180,14 @@ class Encoder:
         return [s for s in symbols if s >= 0]
 
     def in_step(self, words: list[str], variant: int) -> list[bytes]:
+        key = self._variant(variant)
+        return self._in_step(words, lambda rows, start, middle, end: self.skipped(key, start, middle, end))
+
+    def _in_step(self, words: list[str], skipped) -> list[bytes]:
         """``agenda`` of many short words at once: each step pops every word's best candidate.
 
-        A candidate is one integer: rank, then place (8 bits), then piece (20 bits).
+        A candidate is one integer: rank, then place (8 bits), then piece (20 bits). ``skipped`` gets
+        candidates as arrays - the numbers of their words, starts, middles, ends - and says which to skip.
         """
         import numpy as np
 
@@ -173,7 +198,6 @@ class Encoder:
         symbols[np.arange(width + 1)[None] < sizes[:, None]] = p.character[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
         odd = (symbols == p.unknown).any(axis=1)
         starts = np.minimum(np.arange(width + 2)[None], sizes[:, None]).astype(np.int16)
-        key = np.array([self._word_key(w, variant) for w in words], np.uint64)
         no_place = ~np.int64(0xFF << 20)
 
         def look(rows, at):
@@ -183,13 +207,15 @@ class Encoder:
             if len(fits):
                 rows, at = rows[fits], at[fits]
                 piece = p.merged(left[fits], right[fits])
-                skip = (piece < 0) | self.skipped(key[rows], starts[rows, at], starts[rows, at + 1], starts[rows, at + 2])
+                real = np.flatnonzero(piece >= 0)
+                fits, rows, at, piece = fits[real], rows[real], at[real], piece[real]
+                skip = skipped(number[rows], starts[rows, at], starts[rows, at + 1], starts[rows, at + 2])
                 out[fits] = np.where(skip, none, (p.rank[piece] << 28) | (at << 20) | piece)
             return out
 
+        number, columns = np.arange(len(words)), np.arange(width + 2)
         order = look(np.repeat(np.arange(len(words)), width), np.tile(np.arange(width), len(words))).reshape(len(words), width)
         out: list[bytes] = [b""] * len(words)
-        number, columns = np.arange(len(words)), np.arange(width + 2)
         while len(number):
             best = order.argmin(axis=1)
             top = order[np.arange(len(number)), best]
@@ -200,7 +226,7 @@ class Encoder:
                 for k, (word, size) in enumerate(zip(number[done].tolist(), ends.tolist())):
                     out[word] = raw[k * stride : k * stride + size]
                 more = np.flatnonzero(top != none)
-                number, symbols, starts, key, order, top, best = (x[more] for x in (number, symbols, starts, key, order, top, best))
+                number, symbols, starts, order, top, best = (x[more] for x in (number, symbols, starts, order, top, best))
             if not len(number):
                 break
             symbols[np.arange(len(number)), best] = top & 0xFFFFF
@@ -235,41 +261,136 @@ class Encoder:
             ids = full
         return np.array(ids, "<u4").tobytes()
 
-    def _of(self, words: list[str], variant: int) -> dict[str, bytes]:
-        """Ids of words."""
-        found, short = {"": b""}, sorted((w for w in set(words) if 0 < len(w) <= SHORT), key=len)
+    def _add(self, keys: list[str], row=(), skip=()) -> list[int]:
+        """New nodes of words; -1 for a word that goes one by one.
+
+        A key is a word, with a line feed before it where one stands there; an empty one is a mark of the text's own.
+        Arrays ``row``, in order, and ``skip``: the number of a key, and a candidate that its node skips.
+        """
+        import numpy as np
+
+        out, p = [-1] * len(keys), self.pieces
+        row, skip = np.asarray(row, np.int64), np.asarray(skip, np.int64)
+        made = [k for k, w in enumerate(keys) if w in ("", "\n")]
+        blobs = [p.literal if keys[k] == "" else p.feed for k in made]
+        met, n_met, own = [np.zeros(0, np.uint32)], [np.zeros(len(made), np.int64)], [np.zeros(len(made), np.int64)]
+        words = [w.removeprefix("\n") for w in keys]
+        short = sorted((k for k, w in enumerate(words) if 0 < len(w) <= SHORT), key=lambda k: len(words[k]))
+        number = np.full(len(keys), -1, np.int64)
         for at in range(0, len(short), 4096):
-            some = short[at : at + 4096]
-            found.update(zip(some, self.in_step(some, variant)))
-        for w in words:
-            if len(w) > SHORT:
-                found[w] = self._bytes(w, self.agenda(w, variant))
-        return found
-
-    def _learn(self, parts: list[str], variant: int) -> list[bytes]:
-        """Ids of parts of a text: a word after a space, or a line feed and what stands after it."""
-        kept = self.known[variant]
-        out = [kept.get(p) for p in parts]
-        new = [k for k, x in enumerate(out) if x is None]
-        words = [parts[k][1:] if parts[k][:1] == "\n" else MARK + parts[k] for k in new]
-        found = self._of(words, variant)
-        for k, word in zip(new, words):
-            out[k] = self.pieces.feed + found[word] if parts[k][:1] == "\n" else found[word]
-            if len(kept) < CACHE_WORDS:
-                kept[parts[k]] = out[k]
+            some, seen = short[at : at + 4096], []
+            number[some] = np.arange(len(some))
+            mine = number[row] if len(row) else row
+            given = np.sort((mine << 18 | skip)[mine >= 0])
+            number[some] = -1
+
+            def skipped(rows, start, middle, end, given=given, seen=seen):
+                code = (rows << 18) | (start.astype(np.int64) << 12) | (middle.astype(np.int64) << 6) | end
+                seen.append(code)
+                if not len(given):
+                    return np.zeros(len(code), bool)
+                return given[np.minimum(np.searchsorted(given, code), len(given) - 1)] == code
+
+            found = self._in_step([words[k] for k in some], skipped)
+            codes = np.sort(np.concatenate([np.zeros(0, np.int64), *seen]))
+            codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]]
+            of = codes >> 18
+            n = np.bincount(of, minlength=len(some))
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+            fits = n <= MOST_CANDIDATES
+            bit = np.isin(codes, given) & fits[of]
+            mask = np.bincount(of[bit], 2.0 ** place[bit], len(some)).astype(np.int64)
+            met.append((codes[fits[of]] & 0x3FFFF).astype(np.uint32))
+            n_met.append(n[fits])
+            own.append(mask[fits])
+            for k, blob, fit in zip(some, found, fits.tolist()):
+                if fit:
+                    made.append(k)
+                    blobs.append(p.feed + blob if keys[k][:1] == "\n" else blob)
+        for node, k in enumerate(made, len(self.words)):
+            out[k] = node
+        self.words += [keys[k] for k in made]
+        self.skips = np.concatenate([self.skips, *own])
+        self.met = np.concatenate([self.met, *met])
+        self.met_ends = np.concatenate([self.met_ends, self.met_ends[-1] + np.cumsum(np.concatenate(n_met))])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), "<u4")])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2)])
         return out
 
-    def _key(self, document):
+    def _roots(self, keys: list[str]):
+        """The nodes without skips of words."""
         import numpy as np
-        import xxhash
 
-        return np.uint64(xxhash.xxh64_intdigest(str(document), seed=self.seed & (2**64 - 1)))
+        new = list(dict.fromkeys(w for w in keys if w not in self.roots))
+        if new:
+            self.roots.update(zip(new, self._add(new)))
+        return np.array([self.roots[w] for w in keys], np.int64)
 
-    def _choice(self, key, place):
-        """The variant of the occurrence at a place of a document. (arrays)"""
+    def _moved(self, node, occurrence):
+        """The nodes of occurrences that start at ``node``; -1 for those that go one by one."""
+        import numpy as np
+
+        node, active = node.copy(), np.flatnonzero(node >= 0)
+        while len(active):
+            at = node[active]
+            first, n = self.met_ends[at], self.met_ends[at + 1] - self.met_ends[at]
+            row = np.repeat(np.arange(len(at)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            met = self.met[first[row] + place]
+            hit = np.flatnonzero(self.skipped(occurrence[active][row], met >> 12, (met >> 6) & 63, met & 63))
+            mask = np.bincount(row[hit], 2.0 ** place[hit], len(at)).astype(np.int64)
+            more = np.flatnonzero(mask != self.skips[at])
+            if not len(more):
+                break
+            active, at, mask = active[more], at[more], mask[more]
+            order = np.lexsort((mask, at))
+            at, mask = at[order], mask[order]
+            head = np.concatenate([[True], (at[1:] != at[:-1]) | (mask[1:] != mask[:-1])])
+            pairs = list(zip(at[head].tolist(), mask[head].tolist()))
+            new = [x for x in pairs if x not in self.moves]
+            if new:
+                a, m = np.array(new, np.int64).T
+                first, n = self.met_ends[a], self.met_ends[a + 1] - self.met_ends[a]
+                row = np.repeat(np.arange(len(a)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                hit = np.flatnonzero((m[row] >> place) & 1)
+                self.moves.update(zip(new, self._add([self.words[x] for x in a.tolist()], row[hit], self.met[first[row[hit]] + place[hit]])))
+            target = np.array([self.moves[x] for x in pairs], np.int64)[np.cumsum(head) - 1]
+            node[active[order]] = target
+            active = active[order][target >= 0]
+        return node
+
+    def _encoded(self, keys: list[str], number, occurrence):
+        """(ids of all occurrences in order, number of ids of each); an occurrence has the number of its word's key."""
         import numpy as np
 
-        return _mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)
+        if max(len(self.words), len(self.roots)) > 4 * CACHE_WORDS:
+            self._forget()
+        roots, sizes, parts = self._roots(keys), [], []
+        for at in range(0, len(number), OCCURRENCES):
+            some, keyed = number[at : at + OCCURRENCES], occurrence[at : at + OCCURRENCES]
+            node = self._moved(roots[some], keyed) if self.dropout else roots[some]
+            single = np.flatnonzero(node < 0)
+            ids, ends, alone = self.ids, self.id_ends, []
+            if len(single):
+                for k in single.tolist():
+                    key = keys[some[k]]
+                    word = key.removeprefix("\n")
+                    blob = self._bytes(word, self.agenda(word, key=keyed[k : k + 1]))
+                    alone.append(np.frombuffer(self.pieces.feed + blob if key[:1] == "\n" else blob, "<u4"))
+                ids = np.concatenate([ids, *alone])
+                ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in alone], dtype=np.int64)])
+                node[single] = len(self.words) + np.arange(len(single))
+            n = ends[node + 1] - ends[node]
+            parts.append(ids[np.repeat(ends[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            sizes.append(n)
+        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _key(self, document):
+        import numpy as np
+        import xxhash
+
+        return np.uint64(xxhash.xxh64_intdigest(str(document), seed=self.seed & (2**64 - 1)))
 
     def encode_all(self, documents, texts):
         """The ids of each text of an Arrow string array, in order; ``documents`` are their ids."""
@@ -305,20 +426,10 @@ class Encoder:
             keys = np.array([self._key(d) for d, whole in zip(documents, flags) if not whole], np.uint64)
             sizes = np.diff(ends)
             place = np.arange(len(number)) - np.repeat(ends[:-1], sizes)
-            unit = number * self.variants + self._choice(np.repeat(keys, sizes), place).astype(np.int64)
-            used = np.zeros(len(names) * self.variants, bool)
-            used[unit] = True
-            blobs = [b""] * len(used)
-            for v in range(self.variants):
-                some = np.flatnonzero(used[v :: self.variants]).tolist()
-                for k, blob in zip(some, self._learn([names[k] for k in some], v)):
-                    blobs[k * self.variants + v] = blob
-            n = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
-            ids, first, each = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(n) - n, n[unit]
+            names = [w if w[:1] == "\n" else MARK + w for w in names]
+            ids, each = self._encoded(names, number, self._occurrence(np.repeat(keys, sizes), place))
             before = np.concatenate([[0], np.cumsum(each)])
-            at = np.repeat(first[unit] - before[:-1], each)
-            at += np.arange(before[-1])
-            raw, bounds = memoryview(ids[at].tobytes()), 4 * before[ends]
+            raw, bounds = memoryview(ids.tobytes()), 4 * before[ends]
             parts = (bytes(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         for document, text, whole in zip(documents, texts, flags):
             yield self._by_units(document, text.as_py()) if whole else next(parts)
@@ -341,9 +452,10 @@ class Encoder:
         import numpy as np
 
         units = self._units(text) if text else []
-        chosen = self._choice(self._key(document), np.arange(len(units))).tolist()
-        tables = [self._of([u for u, c in zip(units, chosen) if c == v], v) | {"\n": self.pieces.feed, "": self.pieces.literal} for v in range(self.variants)]
-        return b"".join([tables[c][u] for u, c in zip(units, chosen)])
+        names = list(dict.fromkeys(units))
+        numbers = {u: k for k, u in enumerate(names)}
+        keys = self._occurrence(np.array([self._key(document)]), np.arange(len(units)))
+        return self._encoded(names, np.array([numbers[u] for u in units], np.int64), keys)[0].tobytes()
 
     def decode(self, ids: bytes) -> str:
         import numpy as np

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 from helpers import documents, odd_rows, words
 from hypothesis import given, settings
@@ -48,6 +49,33 @@ def test_seeds_and_occurrences_vary():
     assert len({DROPPED.encode("international", k) for k in range(50)}) > 1
 
 
+def by_occurrence(coder, text, document):
+    """Each word by an agenda of its own."""
+    out, key = b"", np.array([coder._key(document)])
+    for k, part in enumerate(text.replace("\n", " \n").split(" ")):
+        word = part[1:] if part[:1] == "\n" else B.MARK + part
+        blob = coder._bytes(word, coder.agenda(word, key=coder._occurrence(key, np.array([k])))) if word else b""
+        out += coder.pieces.feed + blob if part[:1] == "\n" else blob
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.3, 0.6])
+def test_every_occurrence_has_skips_of_its_own(dropout):
+    coder = B.Encoder(dropout=dropout, seed=9)
+    rng = random.Random(4)
+    pool = ["international", "understanding", "the", "étude", "日本", "x" * 40, "information" * 3, "word" * 20]
+    texts = [" ".join(rng.choice(pool) + rng.choice(["", "", "\n", "\nof"]) for _ in range(60)) for _ in range(8)]
+    got = list(coder.encode_all(list(range(8)), pa.array(texts)))
+    assert got == [by_occurrence(coder, t, k) for k, t in enumerate(texts)]
+    assert [coder.decode(b) for b in got] == texts
+
+
+def test_a_word_has_more_than_four_segmentations():
+    word, coder = "international", B.Encoder(dropout=0.3, seed=9)
+    assert len({coder.encode(word, k) for k in range(500)}) > 20
+    assert len({coder.encode(f"{word} " * 200, k) for k in range(5)}) == 5
+
+
 def test_batches_do_not_matter(monkeypatch):
     texts = [words(random.Random(k), 50) for k in range(20)] + ["a  b", "", None]
     whole = list(DROPPED.encode_all(list(range(23)), pa.array(texts)))
