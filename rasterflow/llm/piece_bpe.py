@@ -9,13 +9,11 @@ segmentations on any number of machines, and other seeds, documents or places gi
 without a piece become UTF-8 bytes; so does a mark that the text itself holds.
 
 No piece goes on after a mark or a line feed once it has another character, so words - with
-the marks before them - are encoded apart. Arrow splits and numbers the words of a batch. A
-word's agenda depends on an occurrence only by which of its candidates are skipped, so runs of a
-word are kept as nodes, each with the skips it was made under, all candidates it met and its ids.
-An occurrence starts at the node without skips and goes on to the node of the skips that its own
-hashes give among the candidates met, until they are the node's: then that run is its own. Each
-move makes at least one more candidate right, so it ends. New nodes go through their agendas in
-step, as arrays; long words one by one for each occurrence.
+the marks before them - are encoded apart. Arrow splits and numbers the words of a batch. Each
+word goes through its agenda once without skips, and is kept with its ids and all candidates that it met.
+An occurrence whose own hashes skip none of these has the same ids; every other goes through
+an agenda of its own. Agendas go in step, as arrays. Long words are first cut where no
+piece can span, as no piece of two characters and no part of three of a piece is there.
 
 Decoding joins pieces and bytes, turns marks into spaces and drops the first. It gives
 back every text, at any dropout.
@@ -38,16 +36,21 @@ from pyspark.sql import functions as F
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 1
-#: Words up to this length go through their agendas in step.
+#: Words up to this length are kept with the candidates that they meet; longer ones are taken in parts.
 SHORT = 48
-#: Nodes are kept up to four times this number, for all words together.
-CACHE_WORDS = 200_000
-#: Candidates of a node at most; a word with more goes one by one.
-MOST_CANDIDATES = 52
-#: Occurrences that move between nodes at once.
+#: Parts up to this length go through their agendas in step, longer ones by a heap.
+LONG = 512
+#: Words that a worker keeps, up to a batch's more.
+CACHE_WORDS = 400_000
+#: Occurrences that are gone through at once.
 OCCURRENCES = 1 << 17
+#: Cells of a matrix whose words go in step.
+CELLS = 1 << 17
 #: Bytes of text whose words are numbered together.
 BATCH_BYTES = 8 << 20
+TABLE_BITS = 19
+#: Stands for a mark that the text itself holds: a lone surrogate, which no text of Arrow has.
+OWN_MARK = 0xDFFF
 #: Texts in which this is found are taken apart one by one.
 UNUSUAL = f"^$|^ |  |{MARK}"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -64,6 +67,18 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def _codes(words: list[str]):
+    """(the characters of all words, the length of each)."""
+    import numpy as np
+
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def _offsets(codes, first):
+    """The place of a word's first character: a line feed stands before the others."""
+    return -(codes[first] == 10).astype("int64")
+
+
 class Pieces:
     """The vocabulary of a model file: merges by pair, ids of characters and bytes."""
 
@@ -79,35 +94,76 @@ class Pieces:
         self.size = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(self.size)]
         plain = {n: i for i, n in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-        self.byte = {int(names[i][3:5], 16): i for i in range(self.size) if model.is_byte(i)}
+        self.byte = np.zeros(256, np.int32)
+        for i in range(self.size):
+            if model.is_byte(i):
+                self.byte[int(names[i][3:5], 16)] = i
         self.raw = [n.replace(MARK, " ").encode() for n in names]
-        for b, i in self.byte.items():
+        for b, i in enumerate(self.byte.tolist()):
             self.raw[i] = bytes([b])
         self.unknown = model.unk_id()
         self.character = np.full(0x110000, self.unknown, np.int32)
         for n, i in plain.items():
             if len(n) == 1:
                 self.character[ord(n)] = i
-        self.rank = np.zeros(self.size, np.int64)
-        pairs = {}
+        self.rank = np.zeros(self.size, np.int32)
+        self.pairs: dict[int, int] = {}
+        threes = set()
         for n, i in plain.items():
             self.rank[i] = round(-model.get_score(i))
+            threes.update(n[k : k + 3] for k in range(len(n) - 2))
             for k in range(1, len(n)):
                 if n[:k] in plain and n[k:] in plain:
-                    pairs[plain[n[:k]] * self.size + plain[n[k:]]] = i
-        keys = np.array(sorted(pairs), np.int64)
-        self.pair_keys, self.pair_piece = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
-        self.pairs = pairs
-        self.feed = np.array([self.byte[10]], "<u4").tobytes()
-        self.literal = np.array([self.byte[b] for b in MARK.encode()], "<u4").tobytes()
+                    self.pairs[plain[n[:k]] * self.size + plain[n[k:]]] = i
+        self.table, self.pair_piece = self._table(self.pairs)
+        code = lambda part: functools.reduce(lambda x, c: (x << 21) | ord(c), part, 0)
+        self.joined = np.array(sorted({code(n) for n in plain if len(n) == 2} | {code(n) for n in threes}), np.int64)
+
+    @staticmethod
+    def _slot(key):
+        import numpy as np
+
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def _table(self, pairs: dict[int, int]):
+        """An open hash table of the pairs: keys (-1: free), and their pieces."""
+        import numpy as np
+
+        keys, pieces = np.full((1 << TABLE_BITS) + len(pairs), -1, np.int64), np.zeros((1 << TABLE_BITS) + len(pairs), np.int32)
+        for key, slot in zip(pairs, self._slot(np.array(list(pairs), np.int64)).tolist()):
+            while keys[slot] >= 0:
+                slot += 1
+            keys[slot], pieces[slot] = key, pairs[key]
+        return keys, pieces
 
     def merged(self, left, right):
-        """The piece of each pair, or -1."""
+        """The piece of each pair, or -1. (arrays)"""
         import numpy as np
 
         key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_piece[at], -1)
+        slot = self._slot(key)
+        seen = self.table[slot]
+        out = np.where(seen == key, self.pair_piece[slot], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            slot[open_] += 1
+            seen = self.table[slot[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.pair_piece[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+    def closed(self, codes):
+        """Places (1 .. n - 1) that no piece found in the word can span: no piece of two, no part of three of a piece."""
+        import numpy as np
+
+        held = lambda x: self.joined[np.minimum(np.searchsorted(self.joined, x), len(self.joined) - 1)] == x
+        codes = codes.astype(np.int64)
+        two = (codes[:-1] << 21) | codes[1:]
+        spanned, three = held(two), held((two[:-1] << 21) | codes[2:])
+        spanned[:-1] |= three
+        spanned[1:] |= three
+        return np.flatnonzero(~spanned) + 1
 
 
 class Encoder:
@@ -118,13 +174,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """No nodes: those without skips by word, those by (node, skips among its candidates), and what each holds."""
+        """No words: the number of each, and by it all candidates that its agenda meets if none is skipped, and its ids then."""
         import numpy as np
 
-        self.roots: dict[str, int] = {}
-        self.moves: dict[tuple[int, int], int] = {}
-        self.words: list[str] = []
-        self.skips = np.zeros(0, np.int64)
+        self.words: dict[str, int] = {}
         self.met, self.met_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.ids, self.id_ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
@@ -150,18 +203,20 @@ class Encoder:
 
     def agenda(self, word: str, variant: int = 0, key=None) -> list[int]:
         """The pieces' ids of one occurrence of a word, by the agenda; unknown characters as the unknown id."""
-        import numpy as np
+        key = self._variant(variant) if key is None else key
+        return [s for s in self._agenda([int(self.pieces.character[ord(c)]) for c in word], int(key[0]), 0) if s >= 0]
 
-        p, key = self.pieces, self._variant(variant) if key is None else key
-        symbols = [int(p.character[ord(c)]) for c in word]
-        n = len(symbols)
+    def _agenda(self, symbols: list[int], key: int, offset: int) -> list[int]:
+        """The piece that begins at each place, or -1."""
+        p, n, most, whole = self.pieces, len(symbols), self.dropout * 2.0**53, (1 << 64) - 1
+        rank, pairs, size = p.rank, p.pairs, p.size
         before, after, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if j < n and (piece := p.pairs.get(symbols[i] * p.size + symbols[j])) is not None:
-                heapq.heappush(heap, (int(p.rank[piece]), i, j, end[j]))
+            if j < n and (piece := pairs.get(symbols[i] * size + symbols[j])) is not None:
+                heapq.heappush(heap, (int(rank[piece]), i, j, end[j]))
 
         for i in range(n - 1):
             offer(i)
@@ -169,81 +224,134 @@ class Encoder:
             _, i, j, stop = heapq.heappop(heap)
             if symbols[i] < 0 or after[i] != j or symbols[j] < 0 or end[j] != stop:
                 continue
-            if self.skipped(key, *(np.array([x]) for x in (i, j, stop)))[0]:
+            place = ((i + offset) << 42) | ((j + offset) << 21) | (stop + offset)
+            x = (key + place * 0x9E3779B97F4A7C15) & whole
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+            if ((x ^ (x >> 31)) >> 11) < most:
                 continue
-            symbols[i], symbols[j] = p.pairs[symbols[i] * p.size + symbols[j]], -1
+            symbols[i], symbols[j] = pairs[symbols[i] * size + symbols[j]], -1
             end[i], after[i] = stop, after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        return [s for s in symbols if s >= 0]
+        return symbols
 
     def in_step(self, words: list[str], variant: int) -> list[bytes]:
-        key = self._variant(variant)
-        return self._in_step(words, lambda rows, start, middle, end: self.skipped(key, start, middle, end))
+        import numpy as np
+
+        codes, sizes = _codes(words)
+        ids, n, _ = self._in_step(codes, sizes, np.repeat(self._variant(variant), len(words)), np.zeros(len(words), np.int64))
+        ends = np.concatenate([[0], np.cumsum(n)]).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
-    def _in_step(self, words: list[str], skipped) -> list[bytes]:
-        """``agenda`` of many short words at once: each step pops every word's best candidate.
+    def _in_step(self, codes, sizes, key, offset):
+        """``agenda`` of many words at once: each step pops every word's best candidate.
 
-        A candidate is one integer: rank, then place (8 bits), then piece (20 bits). ``skipped`` gets
-        candidates as arrays - the numbers of their words, starts, middles, ends - and says which to skip.
+        ``codes`` holds the characters of all words in order, ``sizes`` their numbers, ``key`` the occurrences'
+        keys - None: nothing is skipped, and all candidates met are given - and ``offset`` the place of each word's first
+        character. Gives (ids, number of ids of each word, met: (word, start, middle, end) packed in order of words).
         """
         import numpy as np
 
-        p, none = self.pieces, np.int64(1) << 62
-        sizes = np.array([len(w) for w in words])
-        width = int(sizes.max())
-        symbols = np.full((len(words), width + 1), -1, np.int32)
-        symbols[np.arange(width + 1)[None] < sizes[:, None]] = p.character[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
-        odd = (symbols == p.unknown).any(axis=1)
-        starts = np.minimum(np.arange(width + 2)[None], sizes[:, None]).astype(np.int16)
-        no_place = ~np.int64(0xFF << 20)
-
-        def look(rows, at):
-            left, right = symbols[rows, at], symbols[rows, at + 1]
-            out = np.full(len(left), none)
-            fits = np.flatnonzero(right >= 0)
+        first = np.cumsum(sizes) - sizes
+        order, counts, parts, met = np.argsort(sizes, kind="stable"), np.zeros(len(sizes), np.int64), [], []
+        sorted_sizes, at = sizes[order], 0
+        while at < len(order):
+            end = at + 1 + int(np.searchsorted(sorted_sizes[at + 1 :] * np.arange(2, len(order) - at + 1), CELLS, "right"))
+            some = order[at:end]
+            ids, counts[some], seen = self._step(codes, first[some], sizes[some], None if key is None else key[some], offset[some])
+            parts.append(ids)
+            if key is None:
+                met.append((some[seen[0]], seen[1]))
+            at = end
+        ids = np.concatenate([np.zeros(0, "<u4"), *parts])
+        n = counts[order]
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(n) - n
+        ids = ids[np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))]
+        if key is not None:
+            return ids, counts, None
+        word, code = (np.concatenate([np.zeros(0, kind), *(m[k] for m in met)]) for k, kind in ((0, np.int64), (1, np.uint32)))
+        by_word = np.argsort(word, kind="stable")
+        return ids, counts, (np.bincount(word, minlength=len(sizes)), code[by_word])
+
+    def _step(self, codes, first, sizes, key, offset):
+        """``_in_step`` of words of like sizes, as matrices with a row for each word and a column for each place."""
+        import numpy as np
+
+        p, none, rows, width = self.pieces, np.int32(2**31 - 1), len(sizes), int(sizes.max())
+        step, columns = width + 1, np.arange(width + 1)
+        inside = columns[None] < sizes[:, None]
+        text = codes[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        symbols = np.full((rows, step), -1, np.int32)
+        symbols[inside] = p.character[text]
+        symbols = symbols.reshape(-1)
+        ends = np.tile((columns + 1).astype(np.int32), rows)  # of the symbol that begins at a place
+        starts = np.tile((columns - 1).astype(np.int32), rows)  # of the symbol that ends at a place
+        rank, piece = np.full(rows * step, none, np.int32), np.zeros(rows * step, np.int32)
+        seen: list = [[], []]
+
+        def look(row, at):
+            base = row * step
+            here = base + at
+            middle = ends[here]
+            right = symbols[base + middle]
+            made = p.merged(symbols[here], right)
+            made[right < 0] = -1
+            fits = np.flatnonzero(made >= 0)
+            rank[here] = none
             if len(fits):
-                rows, at = rows[fits], at[fits]
-                piece = p.merged(left[fits], right[fits])
-                real = np.flatnonzero(piece >= 0)
-                fits, rows, at, piece = fits[real], rows[real], at[real], piece[real]
-                skip = skipped(number[rows], starts[rows, at], starts[rows, at + 1], starts[rows, at + 2])
-                out[fits] = np.where(skip, none, (p.rank[piece] << 28) | (at << 20) | piece)
-            return out
-
-        number, columns = np.arange(len(words)), np.arange(width + 2)
-        order = look(np.repeat(np.arange(len(words)), width), np.tile(np.arange(width), len(words))).reshape(len(words), width)
-        out: list[bytes] = [b""] * len(words)
-        while len(number):
-            best = order.argmin(axis=1)
-            top = order[np.arange(len(number)), best]
-            done = np.flatnonzero(top == none)
-            if len(done):
-                ended = symbols[done]
-                raw, stride, ends = ended.astype("<u4").tobytes(), 4 * ended.shape[1], 4 * (ended >= 0).sum(axis=1)
-                for k, (word, size) in enumerate(zip(number[done].tolist(), ends.tolist())):
-                    out[word] = raw[k * stride : k * stride + size]
-                more = np.flatnonzero(top != none)
-                number, symbols, starts, order, top, best = (x[more] for x in (number, symbols, starts, order, top, best))
-            if not len(number):
+                row, at, here, middle, made = row[fits], at[fits], here[fits], middle[fits], made[fits]
+                stop, off = ends[base[fits] + middle], offset[row]
+                if key is None:
+                    seen[0].append(row)
+                    seen[1].append((((at + off) << 12) | ((middle + off) << 6) | (stop + off)).astype(np.uint32))
+                elif self.dropout:
+                    kept = ~self.skipped(key[row], at + off, middle + off, stop + off)
+                    here, made = here[kept], made[kept]
+                rank[here], piece[here] = p.rank[made], made
+
+        row, at = np.nonzero(inside)
+        look(row, at)
+        live = np.arange(rows)
+        grid = rank.reshape(rows, step)
+        while len(live):
+            best = (grid if len(live) == rows else grid[live]).argmin(axis=1)
+            base = live * step
+            more = np.flatnonzero(rank[base + best] < none)
+            if not len(more):
                 break
-            symbols[np.arange(len(number)), best] = top & 0xFFFFF
-            after = columns[None] + (columns[None] > best[:, None])
-            symbols = np.take_along_axis(symbols, np.minimum(after[:, : width + 1], width), axis=1)
-            symbols[:, width] = -1
-            starts = np.take_along_axis(starts, np.minimum(after, width + 1), axis=1)
-            order = np.take_along_axis(order, np.minimum(after[:, :width], width - 1), axis=1)
-            order[:, width - 1] = none
-            order = np.where(order < none, (order & no_place) | (columns[None, :width] << 20), none)
-            row = np.flatnonzero(best > 0)
-            order[row, best[row] - 1] = look(row, best[row] - 1)
-            row = np.arange(len(number))
-            order[row, best] = look(row, best)
-        for k in np.flatnonzero(odd):
-            out[k] = self._bytes(words[k], np.frombuffer(out[k], "<u4").tolist())
-        return out
+            live, at, base = live[more], best[more], base[more]
+            here = base + at
+            middle = base + ends[here]
+            stop = ends[middle]
+            symbols[here], symbols[middle], rank[middle] = piece[here], -1, none
+            ends[here], starts[base + stop] = stop, at
+            look(live, at)
+            later = np.flatnonzero(at > 0)
+            look(live[later], starts[here[later]])
+        found = symbols >= 0
+        ids, n = symbols[found], found.reshape(rows, step).sum(axis=1)
+        odd = np.flatnonzero(ids == p.unknown)
+        if len(odd):  # characters without a piece become bytes
+            place = np.flatnonzero(found)[odd]
+            row = place // step
+            code = codes[first[row] + place - row * step].astype(np.int64)
+            code[code == OWN_MARK] = ord(MARK)
+            size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+            times = np.ones(len(ids), np.int64)
+            times[odd] = size
+            n = n + np.bincount(row, size - 1, rows).astype(np.int64)
+            ids = np.repeat(ids, times)
+            head = np.repeat(np.cumsum(times)[odd] - size, size)
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            code, size = np.repeat(code, size), np.repeat(size, size)
+            byte = np.where(nth == 0, np.where(size == 1, code, (0xF00 >> size & 0xFF) | code >> 6 * (size - 1)), 0x80 | code >> 6 * (size - 1 - nth) & 0x3F)
+            ids[head + nth] = p.byte[byte]
+        row = np.concatenate([np.zeros(0, np.int64), *seen[0]])
+        return ids.astype("<u4"), n, (row, np.concatenate([np.zeros(0, np.uint32), *seen[1]]))
 
     def _bytes(self, word: str, ids: list[int]) -> bytes:
         import numpy as np
@@ -253,7 +361,7 @@ class Encoder:
             given, full, at = iter(ids), [], 0
             for i in given:
                 if i == p.unknown:
-                    full += [p.byte[b] for b in word[at].encode("utf-8", "surrogatepass")]
+                    full += [int(p.byte[b]) for b in word[at].encode("utf-8", "surrogatepass")]
                     at += 1
                 else:
                     full.append(i)
@@ -261,131 +369,81 @@ class Encoder:
             ids = full
         return np.array(ids, "<u4").tobytes()
 
-    def _add(self, keys: list[str], row=(), skip=()) -> list[int]:
-        """New nodes of words; -1 for a word that goes one by one.
-
-        A key is a word, with a line feed before it where one stands there; an empty one is a mark of the text's own.
-        Arrays ``row``, in order, and ``skip``: the number of a key, and a candidate that its node skips.
-        """
+    def _known(self, words: list[str], codes, sizes):
+        """The numbers of words among those kept; -1 for long ones."""
         import numpy as np
 
-        out, p = [-1] * len(keys), self.pieces
-        row, skip = np.asarray(row, np.int64), np.asarray(skip, np.int64)
-        made = [k for k, w in enumerate(keys) if w in ("", "\n")]
-        blobs = [p.literal if keys[k] == "" else p.feed for k in made]
-        met, n_met, own = [np.zeros(0, np.uint32)], [np.zeros(len(made), np.int64)], [np.zeros(len(made), np.int64)]
-        words = [w.removeprefix("\n") for w in keys]
-        short = sorted((k for k, w in enumerate(words) if 0 < len(w) <= SHORT), key=lambda k: len(words[k]))
-        number = np.full(len(keys), -1, np.int64)
-        for at in range(0, len(short), 4096):
-            some, seen = short[at : at + 4096], []
-            number[some] = np.arange(len(some))
-            mine = number[row] if len(row) else row
-            given = np.sort((mine << 18 | skip)[mine >= 0])
-            number[some] = -1
-
-            def skipped(rows, start, middle, end, given=given, seen=seen):
-                code = (rows << 18) | (start.astype(np.int64) << 12) | (middle.astype(np.int64) << 6) | end
-                seen.append(code)
-                if not len(given):
-                    return np.zeros(len(code), bool)
-                return given[np.minimum(np.searchsorted(given, code), len(given) - 1)] == code
-
-            found = self._in_step([words[k] for k in some], skipped)
-            codes = np.sort(np.concatenate([np.zeros(0, np.int64), *seen]))
-            codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]]
-            of = codes >> 18
-            n = np.bincount(of, minlength=len(some))
-            place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
-            fits = n <= MOST_CANDIDATES
-            bit = np.isin(codes, given) & fits[of]
-            mask = np.bincount(of[bit], 2.0 ** place[bit], len(some)).astype(np.int64)
-            met.append((codes[fits[of]] & 0x3FFFF).astype(np.uint32))
-            n_met.append(n[fits])
-            own.append(mask[fits])
-            for k, blob, fit in zip(some, found, fits.tolist()):
-                if fit:
-                    made.append(k)
-                    blobs.append(p.feed + blob if keys[k][:1] == "\n" else blob)
-        for node, k in enumerate(made, len(self.words)):
-            out[k] = node
-        self.words += [keys[k] for k in made]
-        self.skips = np.concatenate([self.skips, *own])
-        self.met = np.concatenate([self.met, *met])
-        self.met_ends = np.concatenate([self.met_ends, self.met_ends[-1] + np.cumsum(np.concatenate(n_met))])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), "<u4")])
-        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2)])
-        return out
-
-    def _roots(self, keys: list[str]):
-        """The nodes without skips of words."""
-        import numpy as np
-
-        new = list(dict.fromkeys(w for w in keys if w not in self.roots))
+        if len(self.words) > CACHE_WORDS:
+            self._forget()
+        new = [k for k, w in enumerate(words) if sizes[k] <= SHORT and w not in self.words]
         if new:
-            self.roots.update(zip(new, self._add(new)))
-        return np.array([self.roots[w] for w in keys], np.int64)
-
-    def _moved(self, node, occurrence):
-        """The nodes of occurrences that start at ``node``; -1 for those that go one by one."""
+            first, pick = np.cumsum(sizes) - sizes, np.array(new)
+            n = sizes[pick]
+            ids, each, (n_met, met) = self._in_step(codes[np.repeat(first[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, None, _offsets(codes, first[pick]))
+            self.words.update(zip([words[k] for k in new], range(len(self.words), len(self.words) + len(new))))
+            self.met, self.met_ends = np.concatenate([self.met, met]), np.concatenate([self.met_ends, self.met_ends[-1] + np.cumsum(n_met)])
+            self.ids, self.id_ends = np.concatenate([self.ids, ids]), np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(each)])
+        return np.array([self.words.get(w, -1) for w in words], np.int64)
+
+    def _encoded(self, words: list[str], number, occurrence):
+        """(ids of all occurrences in order, number of ids of each); an occurrence has the number of its word."""
         import numpy as np
 
-        node, active = node.copy(), np.flatnonzero(node >= 0)
-        while len(active):
-            at = node[active]
-            first, n = self.met_ends[at], self.met_ends[at + 1] - self.met_ends[at]
-            row = np.repeat(np.arange(len(at)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            met = self.met[first[row] + place]
-            hit = np.flatnonzero(self.skipped(occurrence[active][row], met >> 12, (met >> 6) & 63, met & 63))
-            mask = np.bincount(row[hit], 2.0 ** place[hit], len(at)).astype(np.int64)
-            more = np.flatnonzero(mask != self.skips[at])
-            if not len(more):
-                break
-            active, at, mask = active[more], at[more], mask[more]
-            order = np.lexsort((mask, at))
-            at, mask = at[order], mask[order]
-            head = np.concatenate([[True], (at[1:] != at[:-1]) | (mask[1:] != mask[:-1])])
-            pairs = list(zip(at[head].tolist(), mask[head].tolist()))
-            new = [x for x in pairs if x not in self.moves]
-            if new:
-                a, m = np.array(new, np.int64).T
-                first, n = self.met_ends[a], self.met_ends[a + 1] - self.met_ends[a]
-                row = np.repeat(np.arange(len(a)), n)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                hit = np.flatnonzero((m[row] >> place) & 1)
-                self.moves.update(zip(new, self._add([self.words[x] for x in a.tolist()], row[hit], self.met[first[row[hit]] + place[hit]])))
-            target = np.array([self.moves[x] for x in pairs], np.int64)[np.cumsum(head) - 1]
-            node[active[order]] = target
-            active = active[order][target >= 0]
-        return node
-
-    def _encoded(self, keys: list[str], number, occurrence):
-        """(ids of all occurrences in order, number of ids of each); an occurrence has the number of its word's key."""
-        import numpy as np
-
-        if max(len(self.words), len(self.roots)) > 4 * CACHE_WORDS:
-            self._forget()
-        roots, sizes, parts = self._roots(keys), [], []
+        codes, lengths = _codes(words)
+        first, known = np.cumsum(lengths) - lengths, self._known(words, codes, lengths)
+        sizes, parts = [], []
         for at in range(0, len(number), OCCURRENCES):
-            some, keyed = number[at : at + OCCURRENCES], occurrence[at : at + OCCURRENCES]
-            node = self._moved(roots[some], keyed) if self.dropout else roots[some]
-            single = np.flatnonzero(node < 0)
-            ids, ends, alone = self.ids, self.id_ends, []
-            if len(single):
-                for k in single.tolist():
-                    key = keys[some[k]]
-                    word = key.removeprefix("\n")
-                    blob = self._bytes(word, self.agenda(word, key=keyed[k : k + 1]))
-                    alone.append(np.frombuffer(self.pieces.feed + blob if key[:1] == "\n" else blob, "<u4"))
-                ids = np.concatenate([ids, *alone])
-                ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in alone], dtype=np.int64)])
-                node[single] = len(self.words) + np.arange(len(single))
+            word, keyed = number[at : at + OCCURRENCES], occurrence[at : at + OCCURRENCES]
+            node = known[word]
+            own = node < 0
+            if self.dropout:
+                some = np.flatnonzero(~own)
+                begin, n = self.met_ends[node[some]], self.met_ends[node[some] + 1] - self.met_ends[node[some]]
+                row = np.repeat(some, n)
+                met = self.met[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(row))]
+                own[row[self.skipped(keyed[row], met >> 12, (met >> 6) & 63, met & 63)]] = True
+            again = np.flatnonzero(own)
+            ids, each = self._apart(codes, first[word[again]], lengths[word[again]], keyed[again])
+            node[again] = len(self.id_ends) - 1 + np.arange(len(again))
+            ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(each)])
             n = ends[node + 1] - ends[node]
-            parts.append(ids[np.repeat(ends[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            parts.append(np.concatenate([self.ids, ids])[np.repeat(ends[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
             sizes.append(n)
         return np.concatenate([np.zeros(0, "<u4"), *parts]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
+    def _apart(self, codes, first, sizes, key):
+        """(ids, number of ids of each) of occurrences, each by a run of its own; long words in parts that no piece joins."""
+        import numpy as np
+
+        offset = _offsets(codes, first) if len(first) else first
+        owner, begin, size = [np.flatnonzero(sizes <= SHORT)], [], []
+        begin.append(first[owner[0]])
+        size.append(sizes[owner[0]])
+        for k in np.flatnonzero(sizes > SHORT).tolist():
+            cuts = np.concatenate([[0], self.pieces.closed(codes[first[k] : first[k] + sizes[k]]), [sizes[k]]])
+            owner.append(np.full(len(cuts) - 1, k))
+            begin.append(first[k] + cuts[:-1])
+            size.append(np.diff(cuts))
+        owner, begin, size = (np.concatenate(x) for x in (owner, begin, size))
+        order = np.lexsort((begin, owner))
+        owner, begin, size = owner[order], begin[order], size[order]
+        ahead, long = offset[owner] + begin - first[owner], np.flatnonzero(size > LONG)
+        text = codes[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        if not len(long):
+            ids, each, _ = self._in_step(text, size, key[owner], ahead)
+            return ids, np.bincount(owner, each, len(first)).astype(np.int64)
+        short = np.flatnonzero(size <= LONG)
+        ids, n, _ = self._in_step(text[np.repeat(size <= LONG, size)], size[short], key[owner[short]], ahead[short])
+        ends, each = np.concatenate([[0], np.cumsum(n)]), np.zeros(len(size), np.int64)
+        each[short] = n
+        blobs: dict[int, object] = dict(zip(short.tolist(), (ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist()))))
+        for k in long.tolist():
+            part = codes[begin[k] : begin[k] + size[k]]
+            found = [s for s in self._agenda(self.pieces.character[part].tolist(), int(key[owner[k]]), int(ahead[k])) if s >= 0]
+            blobs[k] = np.frombuffer(self._bytes("".join(map(chr, part.tolist())).replace(chr(OWN_MARK), MARK), found), "<u4")
+            each[k] = len(blobs[k])
+        return np.concatenate([blobs[k] for k in range(len(size))]), np.bincount(owner, each, len(first)).astype(np.int64)
+
     def _key(self, document):
         import numpy as np
         import xxhash
@@ -416,47 +474,42 @@ class Encoder:
         import pyarrow.compute as pc
 
         unusual = pc.match_substring_regex(texts, UNUSUAL)
-        plain, flags = texts.filter(pc.invert(unusual)), unusual.to_pylist()
-        parts = iter(())
-        if len(plain):
-            words = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
-            ends = words.offsets.to_numpy() - words.offsets[0].as_py()
-            numbered = words.flatten().dictionary_encode()
-            number, names = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
-            keys = np.array([self._key(d) for d, whole in zip(documents, flags) if not whole], np.uint64)
-            sizes = np.diff(ends)
-            place = np.arange(len(number)) - np.repeat(ends[:-1], sizes)
-            names = [w if w[:1] == "\n" else MARK + w for w in names]
-            ids, each = self._encoded(names, number, self._occurrence(np.repeat(keys, sizes), place))
-            before = np.concatenate([[0], np.cumsum(each)])
-            raw, bounds = memoryview(ids.tobytes()), 4 * before[ends]
-            parts = (bytes(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-        for document, text, whole in zip(documents, texts, flags):
-            yield self._by_units(document, text.as_py()) if whole else next(parts)
+        plain, flags = texts.filter(pc.invert(unusual)), unusual.to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~flags] = np.diff(split.offsets.to_numpy())
+        numbered = split.flatten().dictionary_encode()
+        words = [w if w[:1] == "\n" else MARK + w for w in numbered.dictionary.to_pylist()]
+        number, order = [numbered.indices.to_numpy().astype(np.int64)], np.concatenate([np.flatnonzero(~flags), np.flatnonzero(flags)])
+        names: dict[str, int] = {}
+        for k in np.flatnonzero(flags).tolist():
+            text = texts[k].as_py()
+            units = self._units(text) if text else []
+            sizes[k] = len(units)
+            number.append(np.fromiter((names.setdefault(u, len(words) + len(names)) for u in units), np.int64, len(units)))
+        sizes = sizes[order]
+        keys = np.array([self._key(documents[k]) for k in order.tolist()], np.uint64)
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids, each = self._encoded(words + list(names), np.concatenate(number), self._occurrence(np.repeat(keys, sizes), place))
+        raw, before = memoryview(ids.tobytes()), 4 * np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
+        out = [b""] * len(texts)
+        for k, a, b in zip(order.tolist(), before.tolist(), before[1:].tolist()):
+            out[k] = bytes(raw[a:b])
+        yield from out
 
     @staticmethod
     def _units(text: str) -> list[str]:
-        """Words with the marks before them; a line feed for itself, an empty string for a mark of the text's own."""
+        """Words with the marks before them; a line feed, and a mark of the text's own, for itself."""
         units: list[str] = []
         for n, part in enumerate(text.split(MARK)):
             if n:
-                units.append("")
+                units.append(chr(OWN_MARK))
             for k, line in enumerate(part.split("\n")):
                 if k:
                     units.append("\n")
                 units += UNIT.findall((line if n or k else " " + line).replace(" ", MARK))
         return units
 
-    def _by_units(self, document, text: str) -> bytes:
-        """The ids of a text with runs of spaces, or with marks of its own."""
-        import numpy as np
-
-        units = self._units(text) if text else []
-        names = list(dict.fromkeys(units))
-        numbers = {u: k for k, u in enumerate(names)}
-        keys = self._occurrence(np.array([self._key(document)]), np.arange(len(units)))
-        return self._encoded(names, np.array([numbers[u] for u in units], np.int64), keys)[0].tobytes()
-
     def decode(self, ids: bytes) -> str:
         import numpy as np
 

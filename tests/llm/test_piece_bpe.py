@@ -51,11 +51,11 @@ def test_seeds_and_occurrences_vary():
 
 def by_occurrence(coder, text, document):
     """Each word by an agenda of its own."""
-    out, key = b"", np.array([coder._key(document)])
+    out, key, feed = b"", np.array([coder._key(document)]), np.array([coder.pieces.byte[10]], "<u4").tobytes()
     for k, part in enumerate(text.replace("\n", " \n").split(" ")):
         word = part[1:] if part[:1] == "\n" else B.MARK + part
         blob = coder._bytes(word, coder.agenda(word, key=coder._occurrence(key, np.array([k])))) if word else b""
-        out += coder.pieces.feed + blob if part[:1] == "\n" else blob
+        out += feed + blob if part[:1] == "\n" else blob
     return out
 
 
@@ -70,6 +70,23 @@ def test_every_occurrence_has_skips_of_its_own(dropout):
     assert [coder.decode(b) for b in got] == texts
 
 
+@pytest.mark.parametrize("short, long", [(48, 512), (4, 512), (4, 6), (1, 2)])
+def test_long_words_in_parts_equal_one_agenda(monkeypatch, short, long):
+    monkeypatch.setattr(B, "SHORT", short)
+    monkeypatch.setattr(B, "LONG", long)
+    coder, rng = B.Encoder(dropout=0.2, seed=3), random.Random(7)
+    texts = ["".join(rng.choice(["the", "und", "日本", "q", "ing", "é", "🙂", "x" * 5, "information", "\x00"]) for _ in range(n)) for n in (3, 30, 400)]
+    texts += [t + "\n" + t for t in texts] + [f"{texts[1]} of {texts[1]}"]
+    assert list(coder.encode_all(list(range(len(texts))), pa.array(texts))) == [by_occurrence(coder, t, k) for k, t in enumerate(texts)]
+    whole = B.Encoder(dropout=0)
+    assert ids(whole.encode(texts[1])) == MODEL.encode(texts[1])
+
+
+def test_own_marks_and_runs_of_spaces():
+    for text in ("▁", "a▁b  ▁▁ c", " x▁\n▁ y", "  🙂▁\n\n"):
+        assert DROPPED.decode(DROPPED.encode(text, 2)) == PLAIN.decode(PLAIN.encode(text)) == text
+
+
 def test_a_word_has_more_than_four_segmentations():
     word, coder = "international", B.Encoder(dropout=0.3, seed=9)
     assert len({coder.encode(word, k) for k in range(500)}) > 20
