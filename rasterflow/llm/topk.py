@@ -1,24 +1,26 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A vector's dimensions are split over SITES; each site's list holds, for a query, the
-partial score of every candidate, and a score is the sum over sites.
-
-1. Each block of candidates sends the heads of its lists: for each query and site the k best by
-   partial score, with their scores. The k-th best score over all blocks is a
-   cutoff that no answer is below.
-2. The cutoff goes to all blocks with the queries. A candidate that reaches it has, in some site, a
-   partial score of at least cutoff / SITES; only such entries are collected.
-3. Their scores are resolved exactly; those that reach the cutoff, k for each query and block, are ranked.
-
-Queries meet candidates in blocks of fixed size, so a task holds one block of each and a matrix of
-partial scores for QUERY_SLICE queries at once. The cutoffs travel as a column of the queries;
-nothing is broadcast.
-
-Defined cases: vectors that are null or hold a null or a component that isn't finite take no part; shorter
-vectors end in zeros; rows with the same id and vector are one; rows with the query's
-id aren't its candidates; ties go to the smaller id; an empty table gives an empty result.
-Products are exact: in floating point while sums stay under 2^53, else in Python integers,
-kept within 64 bits.
+A vector's dimensions are dealt over SITES sites: a site's table has, for each vector, its part of the
+dimensions, and a site's list, for a query, the partial score of every candidate. A score is the sum over sites.
+
+1. Every task sends its local lists: for each query and site the k best by partial score. The k
+   best of each site are resolved, and the k-th best score so found is a cutoff that no answer is below.
+2. The cutoffs go to all tasks with the queries. A candidate that reaches a query's cutoff has, at some
+   site, a partial score of at least cutoff / SITES; such entries are collected, but for those
+   that the lengths of the other parts rule out: no score is over the partial one plus
+   the product of the two other parts' lengths.
+3. Entries are summed by query and candidate. With cutoff / SITES for each site that
+   sent none, the sum bounds the score; where the bound is below the cutoff, the candidate is dropped. Sums of all sites
+   are exact already; the scores of the others are resolved from the whole vectors.
+
+Queries are broadcast with their cutoffs in chunks of at most QUERY_BYTES, one chunk after the other; all
+else is rows. A task holds a chunk, a batch of parts and SLICE cells of partial scores.
+
+Defined cases: vectors that are null or hold a null or a component that isn't finite take no part, nor do rows
+without an id; shorter vectors end in zeros; repeated rows are candidates each, and as queries have answers
+each; rows with the query's id aren't its candidates; ties go to the smaller id; other columns are ignored; an
+empty table gives an empty result. Products are exact: in floating point while sums stay under 2^53, else in
+Python integers. Components or scores beyond 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -34,73 +36,168 @@ from rasterflow.llm.common import materialize
 K = 5
 SCALE = 256
 SITES = 4
-ROW_BLOCK, QUERY_BLOCK, QUERY_SLICE = 8192, 1024, 64
+#: Bytes of the queries that are broadcast at once, and partial scores that a task holds at once.
+QUERY_BYTES = 16 << 20
+SLICE = 1 << 21
 
-HEADS = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
-
-
-def _exact(limit) -> type:
-    return object if limit >= 2**53 else float
+ENTRIES = "query int, row bigint, vec_id bigint, partial bigint"
+MOST = 2**63 - 1
 
 
 def _matrix(column, width: int):
+    """An Arrow array of lists of integers as a matrix, short rows ended by zeros."""
     import numpy as np
 
-    flat, sizes = column.combine_chunks().flatten().to_numpy(), np.diff(column.combine_chunks().offsets.to_numpy())
+    sizes = np.diff(column.offsets.to_numpy())
     out = np.zeros((len(sizes), width), np.int64)
-    out[np.arange(width)[None] < sizes[:, None]] = flat
+    out[np.arange(width)[None] < sizes[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _top(matrix) -> int:
+    return max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)))
+
+
+def _product(a, b):
+    """a @ b.T, exact: floats where sums stay below 2^53, else Python integers."""
+    kind = object if a.shape[1] * _top(a) * _top(b) >= 2**53 else float
+    out = a.astype(kind) @ b.astype(kind).T
+    if kind is object and out.size and max(map(abs, out.ravel())) > MOST:
+        raise ValueError("a score is beyond 64 bits")
     return out
 
 
-def _partials(queries, rows):
-    """Partial scores [site][query, row]."""
+def _whole(values) -> list[int]:
+    return [int(x) for x in values]
+
+
+def edges(width: int) -> list[int]:
+    return [round(k * width / SITES) for k in range(SITES + 1)]
+
+
+def _lengths(matrix):
+    """Lengths of the rows, rounded up."""
     import numpy as np
 
-    width = queries.shape[1]
-    top = lambda m: max(map(int, (m.max(initial=0), -m.min(initial=0))))
-    kind = _exact(width * top(queries) * top(rows))
-    edges = [round(k * width / SITES) for k in range(SITES + 1)]
-    return [queries[:, a:b].astype(kind) @ rows[:, a:b].astype(kind).T for a, b in zip(edges, edges[1:])]
+    return np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+
+
+class _Chunk:
+    """Queries that go to all tasks: their ids, vectors, and cutoffs once these are known."""
+
+    def __init__(self, ids, vectors, cutoffs=None):
+        self.ids, self.vectors, self.cutoffs = ids, vectors, cutoffs
+
+    def parts(self, site: int):
+        at = edges(self.vectors.shape[1])
+        return self.vectors[:, at[site] : at[site + 1]]
+
+    def rest(self, site: int):
+        import numpy as np
+
+        at = edges(self.vectors.shape[1])
+        return _lengths(np.delete(self.vectors, np.s_[at[site] : at[site + 1]], axis=1))
+
+
+def _heads(shared, k: int):
+    """Phase 1: the k best of every query in a task's list of each site."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        chunk, best = shared.value, {}
+        for batch in batches:
+            sites = batch.column(0).to_numpy()
+            for site in np.unique(sites).tolist():
+                some = batch.filter(pa.array(sites == site))
+                queries = chunk.parts(site)
+                ids, rows, parts = some.column(1).to_numpy(), some.column(2).to_numpy(), _matrix(some.column(3), queries.shape[1])
+                step = max(1, SLICE // len(chunk.ids))
+                for at in range(0, len(rows), step):
+                    scores = _product(queries, parts[at : at + step])
+                    scores = np.where(chunk.ids[:, None] == ids[None, at : at + step], -np.inf, scores)
+                    number = np.broadcast_to(np.arange(at, min(at + step, len(rows))), scores.shape)
+                    held = best.get(site)
+                    score, row, vec = scores, rows[number], ids[number]
+                    if held is not None:
+                        score, row, vec = (np.concatenate(x, axis=1) for x in ((held[0], score), (held[1], row), (held[2], vec)))
+                    if score.shape[1] > k:
+                        pick = np.argsort(-score, axis=1, kind="stable")[:, :k] if score.dtype == object else np.argpartition(-score, k - 1, axis=1)[:, :k]
+                        score, row, vec = (np.take_along_axis(x, pick, axis=1) for x in (score, row, vec))
+                    best[site] = score, row, vec
+        for site, (score, row, vec) in best.items():
+            query, column = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([site] * len(query), pa.int32()), pa.array(query, pa.int32()), pa.array(row[query, column]), pa.array(vec[query, column]), pa.array(_whole(score[query, column]), pa.int64())], ["site", "query", "row", "vec_id", "partial"])
+
+    return run
+
+
+def _sufficient(shared):
+    """Phase 2: entries of a site that may reach the cutoff."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        chunk = shared.value
+        cutoff = np.array([-np.inf if c is None else c for c in chunk.cutoffs], object if any(c is not None and abs(c) >= 2**53 for c in chunk.cutoffs) else float)[:, None]
+        # far above the rounding of the lengths' product, and of the sum
+        slack = 1 + 1e-9 * np.array([0 if c is None else abs(float(c)) for c in chunk.cutoffs])[:, None]
+        for batch in batches:
+            sites = batch.column(0).to_numpy()
+            for site in np.unique(sites).tolist():
+                some = batch.filter(pa.array(sites == site))
+                queries, others = chunk.parts(site), chunk.rest(site)[:, None]
+                ids, rows, parts, rest = some.column(1).to_numpy(), some.column(2).to_numpy(), _matrix(some.column(3), queries.shape[1]), some.column(4).to_numpy()
+                step = max(1, SLICE // len(chunk.ids))
+                for at in range(0, len(rows), step):
+                    scores = _product(queries, parts[at : at + step])
+                    fits = (chunk.ids[:, None] != ids[None, at : at + step]) & (scores * SITES >= cutoff)
+                    fits &= (scores.astype(np.float64) + others * rest[None, at : at + step]) * (1 + 1e-9) + slack >= cutoff.astype(np.float64)
+                    query, column = np.nonzero(fits)
+                    if len(query):
+                        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(rows[at + column]), pa.array(ids[at + column]), pa.array(_whole(scores[query, column]) if scores.dtype == object else scores[query, column].astype(np.int64))], ["query", "row", "vec_id", "partial"])
+
+    return run
+
+
+def _resolve(shared):
+    """Whole scores of rows (query, row, vec_id, vector)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        chunk = shared.value
+        for batch in batches:
+            query = batch.column(0).to_numpy()
+            a, b = chunk.vectors[query], _matrix(batch.column(3), chunk.vectors.shape[1])
+            kind = object if a.shape[1] * _top(a) * _top(b) >= 2**53 else float
+            score = (a.astype(kind) * b.astype(kind)).sum(axis=1)
+            if kind is object and len(score) and max(map(abs, score)) > MOST:
+                raise ValueError("a score is beyond 64 bits")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(_whole(score), pa.int64())], ["query", "row", "vec_id", "score"])
 
-def _block(k: int, last: bool):
-    """Phase 1, or phases 2 and 3, for one block of candidates and one of queries."""
+    return run
+
+
+def _apart(width: int):
+    """A row for each vector and site: its part, and the length of its other parts."""
+    at = edges(width)
 
-    def run(table):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        asks = table["asks"].to_numpy(zero_copy_only=False)
-        width = max(1, pc.max(pc.list_value_length(table["vector"])).as_py() or 1)
-        vectors, ids, keys = _matrix(table["vector"], width), table["vec_id"].to_numpy(), table["key"].to_numpy()
-        cutoff = table["cutoff"].to_pylist()
-        rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out = [[], [], [], []]
-        for at in range(0, len(queries), QUERY_SLICE) if len(rows) else ():
-            some = queries[at : at + QUERY_SLICE]
-            parts = _partials(vectors[some], vectors[rows])
-            for n, q in enumerate(some):
-                other = ids[rows] != ids[q]
-                mine = [p[n] for p in parts]
-                if not last:
-                    fits = np.flatnonzero(other)
-                    pick = np.unique(np.concatenate([fits[np.argsort(-p[fits], kind="stable")[:k]] if p.dtype == object else fits[np.argpartition(-p[fits], k)[:k]] if len(fits) > k else fits for p in mine]))
-                elif cutoff[q] is None:  # fewer than k candidates in all
-                    pick = np.flatnonzero(other)
-                else:
-                    enough = mine[0] * SITES >= cutoff[q]
-                    for p in mine[1:]:
-                        enough |= p * SITES >= cutoff[q]
-                    pick = np.flatnonzero(enough & other)
-                score = [int(x) for x in sum(p[pick] for p in mine)]
-                best = sorted(zip((-s for s in score), ids[rows[pick]].tolist()))
-                if last and cutoff[q] is not None:
-                    best = [b for b in best if -b[0] >= cutoff[q]]
-                for s, i in best[:k]:
-                    for column, value in zip(out, (int(ids[q]), int(keys[q]), i, max(-(2**63), min(2**63 - 1, -s)))):
-                        column.append(value)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_key", "vec_id", "score"), out)})
+
+        for batch in batches:
+            whole, n = _matrix(batch.column(2), width), batch.num_rows
+            for site in range(SITES):
+                part = np.ascontiguousarray(whole[:, at[site] : at[site + 1]])
+                offsets = pa.array(np.arange(n + 1) * part.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1)))
+                rest = _lengths(np.delete(whole, np.s_[at[site] : at[site + 1]], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([site] * n, pa.int32()), batch.column(1), batch.column(0), lists, pa.array(rest)], ["site", "vec_id", "row", "part", "rest"])
 
     return run
 
@@ -109,34 +206,69 @@ def whole_components(vector: Column) -> Column:
     """floor(SCALE * x) of each component, or null unless all are finite."""
     real = F.transform(vector, lambda x: x.cast("double"))
     fine = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(fine, F.transform(real, lambda x: F.floor(x * SCALE)))
+    large = F.raise_error(F.lit("a component is beyond 64 bits")).cast("bigint")
+    return F.when(fine, F.transform(real, lambda x: F.when(F.abs(x) < 2.0**63 / SCALE, F.floor(x * SCALE)).otherwise(large)))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), whole_components(F.col(vector_col)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).withColumn("key", F.xxhash64("vector"))
-    rows = materialize(rows.dropDuplicates(["vec_id", "vector"]), "vectors")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    r_blocks, q_blocks = max(1, math.ceil(counts["n"] / ROW_BLOCK)), max(1, math.ceil(counts["q"] / QUERY_BLOCK))
-    some = F.xxhash64("vec_id", "key")
-    candidates = rows.select("vec_id", "vector", "key", F.lit(False).alias("asks"), F.pmod(some, F.lit(r_blocks)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), F.lit(None).cast("bigint").alias("cutoff"))
-    queries = rows.where("asks").select("vec_id", "vector", "key", "asks", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("r"), F.pmod(some, F.lit(q_blocks)).alias("q"))
+    rows = materialize(rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    facts = rows.agg(F.count_if("asks").alias("q"), F.max(F.size("vector")).alias("width")).first()
+    width = max(1, facts["width"] or 0)
+    most = max(1, QUERY_BYTES // (8 * width))  # queries of a chunk
+    found = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    sites = materialize(rows.select("row", "vec_id", "vector").mapInArrow(_apart(width), "site int, vec_id bigint, row bigint, part array<bigint>, rest double"), "sites") if facts["q"] else None
+    whole = rows.select(F.col("row").alias("_row"), "vector")
+    low = None
+    for _ in range(math.ceil((facts["q"] or 0) / most)):
+        asking = rows.where("asks") if low is None else rows.where(F.col("asks") & (F.col("row") > low))
+        some = asking.select("row", "vec_id", "vector").orderBy("row").limit(most).toArrow().combine_chunks()
+        low = some["row"][-1].as_py()
+        ids, matrix = some["vec_id"].to_numpy(), _matrix(some["vector"].combine_chunks() if some["vector"].num_chunks != 1 else some["vector"].chunk(0), width)
+        found = found.unionAll(_of_chunk(rows, sites, whole, ids, matrix, k))
+    return found
+
+
+def _of_chunk(rows: DataFrame, sites: DataFrame, whole: DataFrame, ids, matrix, k: int) -> DataFrame:
+    """The answers of one chunk of queries."""
+    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
+    shared = context.broadcast(_Chunk(ids, matrix))
+    resolved = "query int, row bigint, vec_id bigint, score bigint"
 
-    def by_blocks(asked: DataFrame, last: bool) -> DataFrame:
-        return candidates.unionByName(asked).groupBy("r", "q").applyInArrow(_block(k, last), HEADS)
+    def resolve(entries: DataFrame) -> DataFrame:
+        return entries.join(whole, F.col("row") == F.col("_row")).select("query", "row", "vec_id", "vector").mapInArrow(_resolve(shared), resolved)
 
-    order = W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    heads = by_blocks(queries.withColumn("cutoff", F.lit(None).cast("bigint")), False)
-    cutoffs = heads.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), F.col("score").alias("cutoff"))
-    found = by_blocks(queries.join(materialize(cutoffs, "cutoffs"), ["vec_id", "key"], "left").select("vec_id", "vector", "key", "asks", "r", "q", "cutoff"), True)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    table = sites.select("site", "vec_id", "row", "part", "rest")
+    of_site = W.partitionBy("query", "site").orderBy(F.desc("partial"), "vec_id", "row")
+    lists = table.mapInArrow(_heads(shared, k), "site int, " + ENTRIES).withColumn("rank", F.row_number().over(of_site)).where(F.col("rank") <= k)
+    some = lists.select("query", "row", "vec_id").distinct()
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    heads = resolve(some).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    cutoffs = [None] * len(ids)
+    for r in heads.where(F.col("rank") == k).select("query", "score").collect():  # one row for each query of the chunk
+        cutoffs[r["query"]] = r["score"]
+    bounded = context.broadcast(_Chunk(ids, matrix, cutoffs))
+    entries = table.mapInArrow(_sufficient(bounded), ENTRIES)
+    summed = entries.groupBy("query", "row", "vec_id").agg(F.sum(F.col("partial").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame([(n, int(i), c) for n, (i, c) in enumerate(zip(ids, cutoffs))], "_query int, query_id bigint, cutoff bigint")
+    summed = summed.join(F.broadcast(known), F.col("query") == F.col("_query"))
+    # a site that sent nothing holds less than cutoff / SITES, or was ruled out by lengths with the whole candidate
+    bound = F.col("sum") * SITES + (SITES - F.col("n")) * F.col("cutoff").cast("decimal(38,0)")
+    left = materialize(summed.where(F.col("cutoff").isNull() | (bound >= F.col("cutoff").cast("decimal(38,0)") * SITES)).select("query", "row", "vec_id", "sum", "n"), "entries")
+    done = left.where(F.col("n") == SITES).select("query", "row", "vec_id", F.col("sum").cast("bigint").alias("score"))
+    final = done.unionAll(resolve(left.where(F.col("n") < SITES)))
+    ranked = final.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return materialize(ranked.join(F.broadcast(known), F.col("query") == F.col("_query")).select("query_id", "rank", "vec_id", "score"), "answers")
 
 
 ORACLE_SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+wide AS (SELECT max(len(e)) AS w FROM v),
+p AS (SELECT r, vec_id, e || list_transform(range(w - len(e)), lambda x: 0.0::DOUBLE) AS e FROM v, wide),
+s AS (SELECT q.r, q.vec_id AS query_id, p.vec_id, list_inner_product(q.e, p.e)::BIGINT AS score FROM p AS q JOIN p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}
 """

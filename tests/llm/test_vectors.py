@@ -20,11 +20,12 @@ def corpus(n=260, width=8):
     rng = random.Random(3)
     rows = [(k, [rng.choice((-1.5, -0.25, 0.0, 0.5, 1.0)) for _ in range(width)]) for k in range(n)]
     rows += [(1000 + k, [0.25] * width) for k in range(20)]  # ties
-    return rows + [(2000, None), (2001, [None] + [1.0] * (width - 1)), (2050, [float("nan")] * width), (2100, [float("inf")] * width), (2002, [2.0] * (width - 3)), (2150, [0.0] * width), (5, rows[5][1]), (None, [1.0] * width)]
+    return rows + [(2000, None), (2001, [None] + [1.0] * (width - 1)), (2050, [float("nan")] * width), (2100, [float("inf")] * width), (2002, [2.0] * (width - 3)), (2150, [0.0] * width), (5, rows[5][1]), (1, [-3.0] * width), (50, rows[50][1]), (50, [1.5] * width), (None, [1.0] * width)]
 
 
 def brute(rows, k=K.K):
-    clean = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """By rows: repeated ones are candidates and queries each."""
+    clean = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in clean:
         if i % 50 == 0:
@@ -33,12 +34,19 @@ def brute(rows, k=K.K):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("rows", "queries"), [(K.ROW_BLOCK, K.QUERY_BLOCK), (40, 3)])
-def test_top_k(spark, monkeypatch, rows, queries):
-    monkeypatch.setattr(K, "ROW_BLOCK", rows)
-    monkeypatch.setattr(K, "QUERY_BLOCK", queries)
-    got = K.top_k(vectors(spark, corpus()), F.col("vec_id") % 50 == 0).collect()
-    assert sorted(map(tuple, got)) == brute(corpus())
+@pytest.mark.parametrize(("of_chunk", "cells"), [(K.QUERY_BYTES, K.SLICE), (64 * 3, 40)])
+def test_top_k(spark, monkeypatch, of_chunk, cells):
+    rows = corpus(width=8 if cells > 40 else 5)
+    monkeypatch.setattr(K, "QUERY_BYTES", of_chunk)
+    monkeypatch.setattr(K, "SLICE", cells)
+    got = K.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_top_k_narrow_vectors(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.uniform(-2, 2) for _ in range(rng.randint(0, 3))]) for k in range(120)]
+    assert sorted(map(tuple, K.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect())) == brute([(i, np.array(v, np.float32).tolist()) for i, v in rows])
 
 
 def test_top_k_small_tables(spark):
@@ -55,10 +63,19 @@ def test_top_k_large_components(spark):
     assert sorted(got) == brute(big)
 
 
+def test_top_k_beyond_64_bits(spark):
+    for rows in ([(50, [1e9]), (1, [1e9])], [(50, [1e18]), (1, [1.0])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            K.top_k(df, F.col("vec_id") == 50).collect()
+    df = spark.createDataFrame([(50, [1e4]), (1, [1e10 + 2]), (2, [1e10 + 1]), (3, [1e10])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in K.top_k(df, F.col("vec_id") == 50).orderBy("rank").collect()] == [1, 2, 3]
+
+
 def test_top_k_sql():
     con = duckdb.connect()
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
-    rows = [r for r in corpus() if r[0] not in (5, None, 2002)]
+    rows = corpus()
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
     assert sorted(con.execute(K.ORACLE_SQL).fetchall()) == brute(rows)
 
