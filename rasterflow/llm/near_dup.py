@@ -6,8 +6,9 @@
 2. Documents with equal sets become one class, which its smallest id stands for.
 3. Bands with more than one class are candidates. First, the members of each band are compared
    with its smallest. A group of near copies so costs its size,
-   not its square. Then what is left in bands of two or more components is compared in full: small bands by pairs, large ones by pairs of blocks of which each is one task's and
-   only links leave. So no candidate pair that could join two components is left out.
+   not its square. Then what is left in bands of two or more components is compared in full: small bands by pairs, large ones by pairs of blocks, each one task's:
+   first by signatures alone, which gives the members that have a possible partner outside their component; these are dealt again with their texts, and only links leave.
+   So no candidate pair that could join two components is left out.
 4. A pair is screened by its packed signatures: exclusive or and bit counts give the
    share of equal low bits, and (share - 1/16) / (1 - 1/16) estimates the similarity.
    Below SCREEN it is dropped, which is more than six standard deviations off for a pair of 0.75.
@@ -16,10 +17,12 @@
 
 Shingles are compared by 64-bit hashes of their words.
 
+6. Classes that hold texts of one id are linked too: a document is its id. ``row_component`` leaves these links out.
+
 Defined cases: a null or empty text, or one of white space, has no shingle and is linked with
-nothing; fewer than five words are one shingle; documents with the same id are one node; a row
-with a null id isn't linked, has a null component and is kept; other columns are ignored;
-an empty table gives an empty result.
+nothing; fewer than five words are one shingle; rows with the same id are one node, whatever their texts; a row
+with a null id isn't linked, has a null component and is kept; repeated rows have a row each; very long texts are
+read whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +52,12 @@ CACHE_WORDS = 100_000
 #: Shingles hashed at once.
 CHUNK = 1 << 16
 
-SIGNED = "doc_id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature array<bigint>, bands array<bigint>"
+#: At most this number of classes are joined by broadcast, those of the most rows, so that no task of a join has more than 1 / LARGE_CLASSES of all rows' share.
+LARGE_CLASSES = 10_000
+#: Rows of a table of components up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+SIGNED = "doc_id bigint, text_mark bigint, n_shingles bigint, key_a bigint, key_b bigint, signature array<bigint>, bands array<bigint>"
+KEYS = ["n_shingles", "key_a", "key_b"]
 
 
 class _Hashes(dict):
@@ -133,7 +141,7 @@ def _sign(batches):
     import pyarrow as pa
 
     for batch in batches:
-        ids, at, texts = batch.column(0), 0, batch.column(1)
+        ids, at, texts, marks = batch.column(0), 0, batch.column(1), batch.column(2)
         while at < len(texts):
             sets, size, begin = [], 0, at
             while at < len(texts) and (size < CHUNK or not sets):
@@ -151,12 +159,17 @@ def _sign(batches):
                 for row, salt in enumerate((0x5BF03635, 0x27D4EB2F)):
                     keys[row, full] = np.add.reduceat(_mix(every, salt << 8), starts)
             as_lists = lambda v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths * v.shape[1])]), pa.int32()), pa.array(np.ascontiguousarray(v).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), pa.array(n), *(pa.array(k.view(np.int64)) for k in keys), as_lists(signature), as_lists(bands)], ["doc_id", "n_shingles", "key_a", "key_b", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), marks.slice(begin, at - begin), pa.array(n), *(pa.array(k.view(np.int64)) for k in keys), as_lists(signature), as_lists(bands)], ["doc_id", "text_mark", *KEYS, "signature", "bands"])
+
+
+def text_mark(text: str) -> Column:
+    """A 64-bit hash that tells texts of one id apart."""
+    return F.xxhash64(text)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text), as in SIGNED."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_mark("text").alias("mark")).mapInArrow(_sign, SIGNED)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -246,14 +259,37 @@ def _links_of_blocks(percent: int):
     return links
 
 
+def _possible(table):
+    """Compares block i's signatures with block j's: the nodes with a possible partner in another component."""
+    import numpy as np
+    import pyarrow as pa
+
+    nodes, start = table["node"].to_numpy(), table["component"].to_numpy()
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    block = table["block"].to_numpy()
+    lanes = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+    rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    unequal = np.zeros((len(rows), len(columns)), np.int32)
+    for lane in lanes.T:
+        x = lane[rows][:, None] ^ lane[columns][None]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        unequal += np.bitwise_count(x & np.uint64(0x1111111111111111))
+    share = 1 - unequal / HASHES
+    fits = ((share - 1 / 2**BITS) / (1 - 1 / 2**BITS) >= SCREEN) & (start[rows][:, None] != start[columns][None])
+    found = np.unique(np.concatenate([nodes[rows[fits.any(axis=1)]], nodes[columns[fits.any(axis=0)]]]))
+    return pa.table({"node": pa.array(found, pa.int64())})
+
+
 class _Graph:
     """Candidate bands of the classes, and the components found so far."""
 
     def __init__(self, signed: DataFrame, docs: DataFrame, percent: int):
         self.percent, self.component = percent, None
         full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        self.classes = full.groupBy("n_shingles", "key_a", "key_b").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("first"))
-        first = materialize(self.classes.select(F.col("first.doc_id").alias("node"), "first.signature", "first.bands"), "classes")
+        classes = full.groupBy(*KEYS).agg(F.min(F.struct("doc_id", "signature", "bands")).alias("first"), F.count(F.lit(1)).alias("n_rows"))
+        first = materialize(classes.select(*KEYS, "n_rows", F.col("first.doc_id").alias("node"), "first.signature", "first.bands"), "classes")
+        self.classes = first.select(*KEYS, "n_rows", "node")
         bands = first.select("node", "signature", F.explode("bands").alias("band"))
         shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
         self.members = materialize(bands.join(shared, "band"), "bands")
@@ -284,13 +320,19 @@ class _Graph:
         group: whole shingle sets are compared there and only links leave it.
         """
         cluster = components(open_members.where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "cluster")
-        nodes = open_members.groupBy("node").agg(F.first("component").alias("component")).join(cluster, "node", "left")
-        nodes = nodes.withColumn("cluster", F.coalesce("cluster", "node"))
+        nodes = open_members.groupBy("node").agg(F.first("component").alias("component"), F.first("signature").alias("signature")).join(cluster, "node", "left")
+        nodes = materialize(nodes.withColumn("cluster", F.coalesce("cluster", "node")), "clusters")
+        possible = self.dealt(nodes).groupBy("cluster", "i", "j").applyInArrow(_possible, "node bigint").distinct()
+        left = nodes.drop("signature").join(materialize(possible, "possible"), "node", "left_semi").join(self.texts, "node")
+        return self.dealt(left).groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks(self.percent), "u bigint, v bigint")
+
+    @staticmethod
+    def dealt(nodes: DataFrame) -> DataFrame:
+        """The nodes of each cluster for each pair of its blocks (i, j) that they belong to."""
         count = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-        nodes = nodes.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        nodes = nodes.join(self.texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt = nodes.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "text")
-        return dealt.groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks(self.percent), "u bigint, v bigint")
+        blocks = nodes.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        return blocks.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("k", "other")
 
     def link(self, pairs: DataFrame, known: DataFrame | None = None) -> None:
         """Joins the components of the pairs (u, v, signatures) that are confirmed, and of links known."""
@@ -303,17 +345,42 @@ class _Graph:
         self.component = components(links)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, kept.
+
+    ``by_row`` adds text_mark, which with doc_id tells rows apart, and row_component: the smallest id that the row's
+    text reaches by links between texts, where an id with several texts doesn't join them.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(rows), "signed")
     graph = _Graph(signed, rows, percent)
     graph.star()
     graph.rest()
-    keys = ["n_shingles", "key_a", "key_b"]
-    low = graph.classes.select(*keys, F.col("first.doc_id").alias("node")).join(graph.component, "node", "left")
-    low = low.select(*[F.col(k).alias(f"c_{k}") for k in keys], F.coalesce("component", "node").alias("low"))
-    same = (F.col("doc_id").isNotNull()) & (F.col("key_a") == F.col("c_key_a")) & (F.col("key_b") == F.col("c_key_b")) & (F.col("n_shingles") == F.col("c_n_shingles"))
-    found = signed.select("doc_id", *keys).join(low, same, "left")
-    component = F.coalesce("low", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    low = graph.classes.join(graph.component, "node", "left").select(*KEYS, "n_rows", F.coalesce("component", "node").alias("low"))
+    low = materialize(low, "class-components")
+    known = ["doc_id", "text_mark", "n_shingles"]
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    # classes of very many rows - at most LARGE_CLASSES of them - meet their rows by broadcast, so no task has a whole class
+    share = max(1, signed.count() // LARGE_CLASSES)
+    large = low.where(F.col("n_rows") > share)
+    placed = signed.where(linked).select("doc_id", "text_mark", *KEYS)
+    near = placed.join(F.broadcast(large.drop("n_rows")), KEYS).select(*known, "low")
+    if not large.isEmpty():
+        placed = placed.join(F.broadcast(large.select(*KEYS)), KEYS, "left_anti")
+    near = near.unionAll(placed.join(low.where(F.col("n_rows") <= share).drop("n_rows"), KEYS).select(*known, "low"))
+    alone = signed.where(~linked).select(*known, F.col("doc_id").alias("low"))
+    found = materialize(near.unionAll(alone), "rows")
+    # ids in several components: these are one
+    several = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("low").alias("least"), F.max("low").alias("most")).where(F.col("least") < F.col("most"))
+    several = materialize(several.select("doc_id"), "ids")
+    if several.isEmpty():
+        found = found.withColumn("component_id", F.col("low"))
+    else:
+        ties = found.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+        joined = materialize(components(ties), "joined")
+        of_low, of_id = joined.select(F.col("node").alias("low"), F.col("component").alias("_low")), joined.select(F.col("node").alias("doc_id"), F.col("component").alias("_id"))
+        few = F.broadcast if joined.count() <= BROADCAST_ROWS else (lambda df: df)
+        found = found.join(few(of_low), "low", "left").join(few(of_id), "doc_id", "left").withColumn("component_id", F.coalesce("_low", "_id", "low"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    more = ["text_mark", F.col("low").alias("row_component")] if by_row else []
+    return found.select("doc_id", "n_shingles", "component_id", kept, *more)

@@ -61,6 +61,30 @@ def test_against_brute_force(spark, monkeypatch, small, block):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
 
 
+def several_texts():
+    """Ids with two texts: these join what their texts are linked with."""
+    rng = random.Random(13)
+    a, b, c = (words(rng, 40, 10**6) for _ in range(3))
+    return [(3, a), (5, a), (5, b), (7, b), (20, c), (21, c), (21, ""), (21, None), (30, ""), (31, ""), (30, b + " x"), (None, a), (None, a), (40, "q r"), (40, "s t"), (2, "s  T")]
+
+
+def test_ids_with_several_texts(spark):
+    rows = several_texts()
+    got = N.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+    assert {r.doc_id: r.component_id for r in got} == {3: 3, 5: 3, 7: 3, 30: 3, 20: 20, 21: 20, 31: 31, None: None, 40: 2, 2: 2}
+    by_row = N.near_duplicates(documents(spark, rows), by_row=True).collect()
+    assert {(r.doc_id, r.row_component) for r in by_row if r.doc_id in (3, 5, 7)} == {(3, 3), (5, 3), (5, 5), (7, 5)}
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_large_classes_meet_their_rows_by_broadcast(spark, monkeypatch, classes):
+    monkeypatch.setattr(N, "LARGE_CLASSES", classes)
+    rows = corpus(6) + [(9100 + k, "one two three four five six") for k in range(80)] + several_texts()
+    got = N.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+
+
 def test_exact_threshold(spark):
     """Sets of 8 shingles of which 6 are common: 6 of 8 is linked, 6 of 9 isn't."""
     a = "a b c d e f g h i j k l"
