@@ -49,5 +49,43 @@ def test_large_group_of_copies_keeps_one(spark, tmp_path):
     assert sum(t.startswith(whole) for t in kept) == 1
 
 
+def test_unlabelled_corpus_is_kept(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(k, text(rng, "aa", 30), None, "s") for k in range(20)] + [(30, "12", None, "s"), (31, None, "aa", "s")]
+    kept = P.identify_language(spark, documents(spark, rows), str(tmp_path))
+    assert kept.columns == P.COLUMNS and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows)
+
+
+def test_ids_with_several_texts_null_ids_and_repeated_rows(spark, tmp_path):
+    rng = random.Random(15)
+    a, b, c = (words(rng, 40, 10**6) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, a), (None, a), (None, c), (8, ""), (8, None), (9, ""), (9, ""), (10, c), (10, c), (10, c + " x"), (11, "")]
+    docs = documents(spark, rows)
+    got = P.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == P.COLUMNS
+    found = sorted(map(str, ((r.doc_id, r.text) for r in got.collect())))
+    one = [(10, t) for t in (c, c + " x")]  # one of these two
+    rest = [(3, a), (5, b), (None, a), (None, c), (8, ""), (8, None), (9, ""), (11, "")]
+    assert found in [sorted(map(str, [*rest, o])) for o in one]
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = documents(spark, []).select(*P.COLUMNS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_are_left_out(spark, tmp_path):
+    rng = random.Random(16)
+    rows = [(k, text(rng, lang, 30), lang, "s") for k in range(20) for lang in ("aa", "bb")]
+    docs = documents(spark, rows)
+    docs = docs.withColumn("_mark", docs["part"] * 2).withColumn("_alone", docs["part"])
+    docs = docs.withColumn("_rules", docs["part"]).withColumn("_none", docs["part"])
+    for name, stage in P.STAGES[:3]:
+        assert stage(spark, docs, str(tmp_path)).columns == P.COLUMNS, name
+
+
 def test_stages_are_named():
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "minhash_near_dedup", "best_fit_packing"] and P.ORACLE_SQL is None
