@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = Path(__file__).resolve().parent.parent
+PACKAGE = Path(__file__).resolve().parent
+ROOT = PACKAGE.parent
 
 
 def build_session(cores: int | str = "*", app: str = "rasterflow", **conf) -> SparkSession:
@@ -32,12 +38,22 @@ ARROW_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed on them, and bound what they get at once."""
+    """Send this package to Python workers, which may be on machines without it, and bound what they get at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if str(ROOT) not in paths:
-        env["PYTHONPATH"] = ":".join([str(ROOT), *paths])
+    context = spark.sparkContext
+    if re.match(r"local(\[|$)", context.master):
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(":") if p]
+        if str(ROOT) not in paths:  # one machine: workers read the driver's folder
+            context.environment["PYTHONPATH"] = ":".join([str(ROOT), *paths])
+    elif not getattr(context, "_rasterflow_sent", False):
+        folder = tempfile.mkdtemp(prefix="rasterflow-")  # of the driver, whose file server gives the archive to executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/rasterflow.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(PACKAGE.rglob("*.py")):
+                z.write(source, source.relative_to(ROOT).as_posix())
+        context.addPyFile(archive)
+        context._rasterflow_sent = True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
