@@ -1,7 +1,10 @@
 r"""License scans: exact containment join of text blocks with license templates.
 
-A block is a line of a document; blocks and templates are sets of words. A block
-matches a template T when it holds at least ``ceil(threshold * |T|)`` of T's words.
+A block is a run of consecutive words of a document, over line ends: for a template of m words, one of
+``window(m)`` words, half as many again, so a notice may be wrapped and have some words more, but words scattered over a
+long text are none. Blocks and templates are sets of words. A block
+matches a template T when it holds at least ``needed(threshold, |T|)`` of T's words: the share ``threshold``, but
+all words of a template of up to WHOLE words, as there any one of them may tell licenses apart.
 The join is the prefix-filtering one for sets whose elements are ordered by global
 frequency, rarest first:
 
@@ -11,15 +14,18 @@ frequency, rarest first:
 * positional: a first common word at places i of T and j of B leaves room for at
   most ``1 + min(|T| - i - 1, |B| - j - 1)`` common words.
 
-Words that no template holds cannot add to an overlap, so B keeps template words
-only; their frequencies are counted over all blocks. No filter loses a match.
+Words that no template holds cannot add to an overlap, so only template words are kept, with their places; their
+frequencies are counted over all documents. Documents without a template's prefix word are left out first.
+The join's blocks are stretches of twice the longest window, each beginning half-way in the one before, so every window
+is in one of them; pairs that pass the filters are checked window by window. No filter loses a match.
 
 Besides, phrases are searched as consecutive words of the whole document.
 
-Everything is DataFrame expressions. The only broadcast table has a row for each
-template prefix word; templates and phrases are parameters written in code, not data.
+Everything is DataFrame expressions. The broadcast tables have a row for each
+template word; templates and phrases are parameters written in code, not data.
 
-Defined cases: a null or empty text has no words, no label and score 0; repeated rows
+Defined cases: a null or empty text has no words, no label and score 0; very long texts and lines are read whole;
+templates that match equally well all give their labels; repeated rows
 each get their own row; other columns of the input are ignored; an empty table gives
 an empty result.
 """
@@ -56,6 +62,8 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.8
+#: Templates of up to this number of distinct words match with all of them only.
+WHOLE = 8
 #: Rows of the template table up to which it is broadcast; beyond, Spark picks the join.
 BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +71,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters of words of lower-cased text, and their complement's, inside brackets.
+INSIDE = r"^\x00-\x2F\x3A-\x60\x7B-\x7F"
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -78,64 +88,74 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def template_sets(templates) -> list[tuple[int, str, list[str]]]:
-    found = [(number, label, sorted(set(words_of(text)))) for number, (label, text) in enumerate(templates)]
+def template_sets(templates) -> list[tuple[int, str, list[str], int]]:
+    """(number, label, distinct words, words of a window) of each template."""
+    found = [(number, label, sorted(set(words_of(text))), window(len(words_of(text)))) for number, (label, text) in enumerate(templates)]
     return [t for t in found if t[2]]
 
 
-def needed(threshold: float, size: int) -> int:
-    return max(1, math.ceil(threshold * size - 1e-9))
+def window(n_words: int) -> int:
+    """The words in a row in which a template's words must stand."""
+    return n_words + n_words // 2
 
 
-def _template_words(line: Column, words: list[str]) -> Column:
-    """Those of ``words`` that the line holds, in the order of ``words``."""
-    return F.array_intersect(_strings(words), F.split(F.translate(line, UPPER, LOWER), GAP))
+def needed(threshold: float, size: int) -> int:
+    return size if size <= WHOLE else max(1, math.ceil(threshold * size - 1e-9))
 
 
 def word_order(docs: DataFrame, sets) -> list[str]:
-    """The templates' words, rarest first by the number of blocks that hold them."""
-    vocabulary = sorted({w for _, _, words in sets for w in words})
+    """The templates' words, rarest first by the number of documents that hold them."""
+    vocabulary = sorted({w for _, _, words, _ in sets for w in words})
     if not vocabulary:
         return []
-    held = docs.select(F.explode(F.split("_text", "\n")).alias("line")).select(F.explode(_template_words(F.col("line"), vocabulary)).alias("word"))
+    held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), F.split(F.translate("_text", UPPER, LOWER), GAP))).alias("word"))
     counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}  # at most a row for each template word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
 def license_matches(docs: DataFrame, templates=None, threshold: float = THRESHOLD, keys=("_id", "_mark")) -> DataFrame:
-    """(keys, block, template, label, containment): every block and template over the threshold.
+    """(keys, block, template, label, containment): stretches and templates of which a window is over the threshold.
 
-    ``docs`` has the key columns and ``_text``.
+    ``docs`` has the key columns, which tell texts apart, and ``_text``. containment is that of the best window.
     """
     keys, spark = list(keys), docs.sparkSession
     sets = template_sets(TEMPLATES if templates is None else templates)
-    order = word_order(docs, sets)
+    if not sets:
+        return docs.select(*keys).where(F.lit(False)).select(*keys, F.lit(0).alias("block"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
+    order, half = word_order(docs, sets), max(t[3] for t in sets)
     rank = {w: k for k, w in enumerate(order)}
     prefix = []
-    for number, label, words in sets:
-        words = sorted(words, key=rank.__getitem__)
-        least = needed(threshold, len(words))
-        prefix += [(words[k], number, label, words, len(words), least, k) for k in range(len(words) - least + 1)]
-    table = spark.createDataFrame(prefix, "word string, template int, label string, t_words array<string>, t_size int, least int, t_pos int")
-    if len(prefix) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    if not prefix:
-        return docs.select(*keys).where(F.lit(False)).select(*keys, F.lit(0).alias("block"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
+    for number, label, words, width in sets:
+        ranks = sorted(rank[w] for w in words)
+        least = needed(threshold, len(ranks))
+        prefix += [(ranks[k], number, label, ranks, len(ranks), least, k, width) for k in range(len(ranks) - least + 1)]
+    table = spark.createDataFrame(prefix, "rank int, template int, label string, t_words array<int>, t_size int, least int, t_pos int, width int")
+    vocabulary = spark.createDataFrame(list(rank.items()), "word string, rank int")
+    if len(prefix) + len(rank) <= BROADCAST_ROWS:
+        table, vocabulary = F.broadcast(table), F.broadcast(vocabulary)
     fewest = min(p[5] for p in prefix)
-    lines = docs.select(*keys, F.posexplode(F.split("_text", "\n")).alias("block", "line"))
-    # the block's template words, rarest first
-    blocks = lines.select(*keys, "block", _template_words(F.col("line"), order).alias("b_words")).withColumn("b_size", F.size("b_words"))
-    entries = blocks.where(F.col("b_size") >= fewest).select(*keys, "block", "b_words", "b_size", F.posexplode(F.expr(f"slice(b_words, 1, b_size - {fewest} + 1)")).alias("b_pos", "word"))
+    rare = "|".join(re.escape(order[r]) for r in sorted({p[0] for p in prefix}))
+    near = docs.where(F.translate("_text", UPPER, LOWER).rlike(f"(?<![{INSIDE}])(?:{rare})(?![{INSIDE}])"))
+    words = near.select(*keys, F.posexplode(_word_array(F.col("_text"))).alias("place", "word")).join(vocabulary, "word")
+    dealt = words.withColumn("block", F.explode(F.expr(f"sequence(greatest(place div {half} - 1, 0), place div {half})")))
+    # a stretch has at most 2 * half places; rows repeated with the same key fall together
+    blocks = dealt.groupBy(*keys, "block").agg(F.collect_set(F.struct("place", "rank")).alias("places"))
+    blocks = blocks.withColumn("b_words", F.array_sort(F.array_distinct(F.col("places.rank")))).withColumn("b_size", F.size("b_words"))
+    entries = blocks.where(F.col("b_size") >= fewest).select(*keys, "block", "places", "b_words", "b_size", F.posexplode(F.expr(f"slice(b_words, 1, b_size - {fewest} + 1)")).alias("b_pos", "rank"))
     pairs = (
-        entries.join(table, "word")
+        entries.join(table, "rank")
         .where(F.col("b_size") >= F.col("least"))
         .where(F.col("b_pos") <= F.col("b_size") - F.col("least"))
         .where(1 + F.least(F.col("t_size") - F.col("t_pos") - 1, F.col("b_size") - F.col("b_pos") - 1) >= F.col("least"))
         .withColumn("common", F.array_intersect("t_words", "b_words"))
         .where(F.size("common") >= F.col("least"))
-        .where(F.element_at("common", 1) == F.col("word"))  # one row for each pair: its first common word
+        .where(F.element_at("common", 1) == F.col("rank"))  # one row for each pair: its first common word
     )
-    return pairs.select(*keys, "block", "template", "label", (F.size("common") / F.col("t_size")).alias("containment"))
+    mine = F.filter("places", lambda p: F.array_contains("common", p["rank"]))
+    pairs = pairs.withColumn("mine", mine)
+    held = lambda start: F.size(F.array_distinct(F.filter("mine", lambda p: (p["place"] >= start["place"]) & (p["place"] < start["place"] + F.col("width")))["rank"]))
+    pairs = pairs.withColumn("most", F.array_max(F.transform("mine", held))).where(F.col("most") >= F.col("least"))
+    return pairs.select(*keys, "block", "template", "label", (F.col("most") / F.col("t_size")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, templates=None, phrases=None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,23 +204,24 @@ def _quoted(text: str) -> str:
 
 
 def oracle_sql(templates=None, phrases=None, threshold: float = THRESHOLD) -> str:
-    """Brute force over every line and template, without the filters."""
+    """Brute force over every window and template, without the filters."""
     phrases = PHRASES if phrases is None else phrases
     sets = template_sets(TEMPLATES if templates is None else templates)
     array = lambda words: "[" + ", ".join(map(_quoted, words)) + "]"
     lower = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
     words = lambda c: f"regexp_extract_all({lower(c)}, '{WORD}')"
-    values = ", ".join(f"({n}, {_quoted(label)}, {array(w)}, {needed(threshold, len(w))})" for n, label, w in sets)
+    values = ", ".join(f"({n}, {_quoted(label)}, {array(w)}, {needed(threshold, len(w))}, {width})" for n, label, w, width in sets)
     places = " || ".join("list_filter(range(greatest(len(w) - {n} + 1, 0)::BIGINT), lambda i: {test})".format(n=len(p), test=" and ".join(f"w[i + {k + 1}] = {_quoted(x)}" for k, x in enumerate(p))) for p, _ in ((words_of(p), 0) for p in phrases))
     labels = " || ".join("case when len(list_filter(range(greatest(len(w) - {n} + 1, 0)::BIGINT), lambda i: {test})) > 0 then [{label}] else []::varchar[] end".format(n=len(q := words_of(p)), label=_quoted(label), test=" and ".join(f"w[i + {k + 1}] = {_quoted(x)}" for k, x in enumerate(q))) for p, label in phrases.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT r, doc_id, t, {words("t")} AS w FROM d),
 p AS (SELECT r, doc_id, len(w) AS n_words, {places} AS places, list_distinct({labels}) AS base FROM b),
-templates(n, label, tw, least) AS (VALUES {values}),
-lines AS (SELECT r, list_distinct({words("line")}) AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT r, label, len(list_intersect(tw, lw)) AS common, len(tw) AS size, least FROM lines, templates WHERE len(lw) >= least),
-own AS (SELECT r, list(DISTINCT label) AS labels, max(common::DOUBLE / size) AS most FROM m WHERE common >= least GROUP BY r)
+templates(n, label, tw, least, width) AS (VALUES {values}),
+tw AS (SELECT n, unnest(tw) AS word FROM templates),
+held AS (SELECT r, n, place, word FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS place FROM b) JOIN tw USING (word)),
+m AS (SELECT h.r, h.n, h.place, count(DISTINCT o.word) AS common FROM held h JOIN templates USING (n) JOIN held o ON o.r = h.r AND o.n = h.n AND o.place >= h.place AND o.place < h.place + width GROUP BY ALL),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(common::DOUBLE / len(templates.tw)) AS most FROM m JOIN templates USING (n) WHERE common >= least GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(labels, []::varchar[]))), ',') AS labels,
   CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0)::DOUBLE END AS score

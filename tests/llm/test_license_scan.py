@@ -1,7 +1,7 @@
 import random
 
 import duckdb
-from helpers import documents, odd_rows
+from helpers import documents, odd_rows, words
 
 from rasterflow.llm import license_scan as L
 
@@ -18,13 +18,13 @@ def brute(text):
                 places.append(i)
                 base.add(label)
     own, most = set(), 0.0
-    for line in (text or "").split("\n"):
-        block = set(L.words_of(line))
-        for _, label, template in L.template_sets(L.TEMPLATES):
-            share = len(block & set(template)) / len(template)
-            if share >= L.THRESHOLD:
-                own.add(label)
-                most = max(most, share)
+    for _, label, template, width in L.template_sets(L.TEMPLATES):
+        for k, word in enumerate(words):
+            if word in template:
+                held = len(set(words[k : k + width]) & set(template))
+                if held >= L.needed(L.THRESHOLD, len(template)):
+                    own.add(label)
+                    most = max(most, held / len(template))
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if places else most)
 
 
@@ -42,6 +42,12 @@ def rows():
                 del parts[rng.randrange(len(parts))]
             lines.append(rng.choice([" ", "  ", "\t"]).join(parts))
         out.append((k, "\n".join(lines)))
+    notices = [t for _, t in L.TEMPLATES]
+    for k, text in enumerate(notices):  # wrapped, and with the words scattered over a long line
+        parts = text.split()
+        out.append((300 + k, "\n * ".join([" ".join(parts[: len(parts) // 3]), " ".join(parts[len(parts) // 3 : 2 * len(parts) // 3]), " ".join(parts[2 * len(parts) // 3 :])])))
+        out.append((400 + k, words(rng, 40 + k) + " " + " pad pad pad ".join(parts) + " " + words(rng, 50)))
+        out.append((500 + k, words(rng, 20 + 3 * k) + " " + text + ". " + words(rng, 10) + " " + " ".join(reversed(parts))))
     return [*out, (200, "GNU\ngeneral -- Public: LICENSE and mit license MIT License"), (201, "xgnu general public license"), (201, "xgnu general public license")]
 
 
@@ -62,6 +68,21 @@ def test_sql(spark):
     assert sorted(map(str, expected.fetchall())) == sorted(str((i, *brute(t))) for i, t in given)
 
 
+def test_wrapped_scattered_and_short_notices(spark):
+    mit = dict(L.TEMPLATES[::-1])["mit-notice"]
+    grant = [t for n, t in L.TEMPLATES if n == "mit-notice" and t.startswith("Permission")][0].split()
+    given = [
+        (1, "# " + " ".join(grant[:6]) + "\n# " + " ".join(grant[6:12]) + "\n# " + " ".join(grant[12:])),
+        (2, " ".join(f"{w} and then some more words of prose stand here" for w in "This work is in the public domain".split())),
+        (3, "Licensed under CC BY-NC 4.0."),
+        (4, "Released under the Apache License"),
+        (5, mit),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in L.license_scan(documents(spark, given)).collect()}
+    assert got[1] == ("mit-notice", 1.0) and got[2] == ("", 0.0)
+    assert got[3][0] == "cc-by,cc-by-nc-notice" and got[4][0] == "apache" and "mit-notice" in got[5][0]
+
+
 def test_empty(spark):
     assert L.license_scan(documents(spark, [])).columns == COLUMNS
     assert L.license_scan(documents(spark, [])).count() == 0
