@@ -17,7 +17,8 @@ count for each language and n-gram it has seen. The model has LABELS * 2 * 65,53
 most, whatever the input, and is the only thing that the driver gathers; more than MAX_LANGUAGES distinct labels
 is an error, not a cut. Texts, never labels or ids, go into a prediction.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; labels are used as they
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; of languages with
+the same loss the first in the order of their names is taken, and the text is ambiguous; labels are used as they
 are; without any training row every text is ``und``; repeated rows count and are
 predicted each; other columns are ignored; an empty table gives an empty result. Long
 texts are read in slices, never cut.
@@ -26,7 +27,6 @@ texts are read in slices, never cut.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from itertools import combinations
 
@@ -44,7 +44,8 @@ MIN_GAP = 0.25
 #: Rows and bytes of text taken at once.
 ROWS = 500
 SLICE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script (Unicode category L): no digit, fraction or numeral.
+LETTER = r"\p{L}"
 
 PREDICTED = "doc_id bigint, lang_pred string, score double, ambiguous boolean"
 
@@ -180,7 +181,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: i
         return None
     table, place = counted.toArrow(), {x: k for k, x in enumerate(languages)}
     counts = np.zeros((len(languages), FEATURES))
-    counts[[place[x] for x in table["lang"].to_pylist()], table["feature"].to_numpy()] = table["n"].to_numpy()
+    for part in table.to_batches():
+        names = part.column("lang").dictionary_encode()
+        number = np.array([place[x] for x in names.dictionary.to_pylist()], np.int64)
+        counts[number[names.indices.to_numpy()], part.column("feature").to_numpy()] = part.column("n").to_numpy()
     return Model(languages, counts, seed)
 
 
@@ -188,11 +192,13 @@ def _predictor(shared, min_gap: float, keep: list[str], text_col: str) -> Callab
     def predict(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         model = shared.value
         for batch in _parts(batches):
             texts = batch.column(0).to_pylist()
-            known = [k for k, t in enumerate(texts) if model is not None and t is not None and LETTER.search(t)]
+            lettered = pc.match_substring_regex(batch.column(0), LETTER).fill_null(False).to_pylist()
+            known = [k for k, found in enumerate(lettered) if found and model is not None]
             language, score, unsure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if known:
                 best, score[known], unsure[known] = model.decode(model.margins([texts[k] for k in known]), min_gap)

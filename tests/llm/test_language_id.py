@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -84,3 +85,56 @@ def test_too_many_labels(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_LANGUAGES", 1)
     with pytest.raises(ValueError):
         L.fit(documents(spark, corpus()))
+
+
+def plain_margins(rows, texts):
+    """The margins by counts in dictionaries, and the codewords."""
+    grams = lambda t: [raw[k : k + n] for raw in [t.encode().lower()] for n in (2, 3) for k in range(len(raw) - n + 1)]
+    feature = lambda g: g[0] << 8 | g[1] if len(g) == 2 else L.BUCKETS + ((((g[0] << 16 | g[1] << 8 | g[2]) * 0x9E3779B1) & 0xFFFFFFFF) >> 16)
+    languages = sorted({lang for _, _, lang in rows})
+    counts = {lang: {} for lang in languages}
+    for _, t, lang in rows:
+        for g in grams(t):
+            counts[lang][feature(g)] = counts[lang].get(feature(g), 0) + 1
+    code = L.codewords(len(languages))
+    out = []
+    for t in texts:
+        row = []
+        for bit in code.T:
+            sides = [{}, {}]
+            for lang, b in zip(languages, bit):
+                for f, n in counts[lang].items():
+                    sides[b][f] = sides[b].get(f, 0) + n
+            total = [sum(side.values()) for side in sides]
+            weight = lambda f, sides=sides, total=total: math.log((sides[1].get(f, 0) + L.SMOOTHING) / (total[1] + L.SMOOTHING * L.FEATURES)) - math.log((sides[0].get(f, 0) + L.SMOOTHING) / (total[0] + L.SMOOTHING * L.FEATURES))
+            found = [weight(feature(g)) for g in grams(t)]
+            row.append(sum(found) / max(1, len(found)))
+        out.append(row)
+    return languages, code, out
+
+
+def plain_decode(languages, code, margins):
+    losses = [sum(math.log1p(math.exp(-L.SHARPNESS * m * (1 if b else -1))) for m, b in zip(margins, bits)) for bits in code.tolist()]
+    best = min(range(len(losses)), key=losses.__getitem__)
+    rest = sorted(losses)
+    return languages[best], 1 / sum(math.exp(rest[0] - x) for x in losses), len(rest) > 1 and rest[1] - rest[0] < L.MIN_GAP
+
+
+def test_against_a_plain_version(spark):
+    rows = [(k, t[:80], lang) for k, t, lang in corpus()[:40]]
+    docs = documents(spark, rows)
+    rng = random.Random(9)
+    texts = [t for _, t, _ in rows[:8]] + [text(rng, "aa", 4) + " " + text(rng, "bb", 4) for _ in range(6)] + ["x", "éé", "ab", "ka 12 que"]
+    languages, code, margins = plain_margins(rows, texts)
+    model = L.fit(docs)
+    assert model.languages == languages and np.allclose(model.margins(texts), margins, atol=1e-4)
+    found = {r.doc_id: r for r in L.identify(documents(spark, list(enumerate(texts))), model, ["doc_id"]).collect()}
+    for k, row in enumerate(margins):
+        lang, score, ambiguous = plain_decode(languages, code, row)
+        assert found[k].lang_pred == lang and abs(found[k].score - score) < 1e-3 and found[k].ambiguous == ambiguous
+
+
+@pytest.mark.parametrize(("t", "lettered"), [("12 ½ ² Ⅷ ① _", False), ("٣", False), ("ª", True), ("日", True), ("x1", True), ("\U00010400", True), ("ʰ", True), ("😀 \u0301", False)])
+def test_letters(spark, t, lettered):
+    model = L.fit(documents(spark, corpus()[:10]))
+    assert (L.identify(documents(spark, [(1, t)]), model, ["doc_id"]).first().lang_pred != "und") == lettered
