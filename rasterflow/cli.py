@@ -3,7 +3,7 @@
     python -m rasterflow.cli INPUT OUTPUT [-b 8|16|32] [-p P444|P422|P420] [-t THREADS] [-q TABLE]
 
 INPUT is a file, folder or pattern; OUTPUT a file for one image, else a folder. Nothing is written
-for an image with a fault, and the exit code is then 1.
+for an image with a fault, and the exit code is then 1, as it is where a path can't be read or written.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import logging
 import os
 import sys
 
+from pyspark.errors import PySparkException
+
 from rasterflow.functions.tables import SUBSAMPLING, quantization_name
-from rasterflow.plans.fused import encode_files
-from rasterflow.session import build_session, ship
-from rasterflow.sources.jpeg import file_name
+from rasterflow.plans.convert import convert_file, convert_folder
+from rasterflow.session import build_session
 
 log = logging.getLogger("rasterflow")
 
@@ -38,20 +39,20 @@ def main(arguments: list[str] | None = None) -> int:
     if a.bits_per_channel != 8:
         log.warning("only the precision byte changes; baseline decoders expect 8")
     spark = build_session(a.threads)
-    ship(spark)
-    files = spark.read.format("binaryFile").load(a.input_file)
-    encoded = encode_files(files, a.chroma_subsampling_preset, a.quantization_table, bits_per_channel=a.bits_per_channel, strict_ids=a.strict_table_ids)
-    single = os.path.isfile(a.input_file.removeprefix("file://"))
-    failed = 0
-    for row in encoded.toLocalIterator():  # one image at a time
-        if row["error"]:
+    options = dict(preset=a.chroma_subsampling_preset, table=a.quantization_table, bits_per_channel=a.bits_per_channel, strict_ids=a.strict_table_ids)
+    try:
+        if os.path.isfile(a.input_file.removeprefix("file://")):
+            error = convert_file(spark, a.input_file, a.output_file, **options)
+            found = [(a.input_file, error)] if error else []
+        else:
+            found = ((r["image_id"], r["error"]) for r in convert_folder(spark, a.input_file, a.output_file, **options).toLocalIterator())
+        failed = 0
+        for name, error in found:
             failed += 1
-            print(f"{row['image_id']}: {row['error']}", file=sys.stderr)
-            continue
-        target = a.output_file if single else os.path.join(a.output_file, file_name(row["image_id"]))
-        os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-        with open(target, "wb") as f:
-            f.write(row["content"])
+            print(f"{name}: {error}", file=sys.stderr)
+    except (OSError, PySparkException) as fault:
+        print(str(fault).strip().splitlines()[0], file=sys.stderr)
+        return 1
     return int(failed > 0)
 
 

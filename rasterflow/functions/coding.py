@@ -32,10 +32,11 @@ def hex_bytes(value: Column, n: int) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), 2 * n, "0")
 
 
-
 def segment(marker: str, content: Column) -> Column:
-    """Marker, big-endian length (two bytes more than the content), content: all in hex."""
-    return F.concat(F.lit(marker), hex_bytes((F.length(content) / 2 + 2).cast("int"), 2), content)
+    """Marker, big-endian length (two bytes more than the content), content: all in hex. A longer one is an error."""
+    size = (F.length(content) / 2 + 2).cast("int")
+    checked = F.when(size <= 65535, size).otherwise(F.raise_error(F.lit(f"segment {marker} is longer than 65535 bytes")).cast("int"))
+    return F.concat(F.lit(marker), hex_bytes(checked, 2), content)
 
 
 def stuff(array: Column) -> Column:

@@ -6,16 +6,17 @@ DC, 3 chroma AC.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rasterflow.functions.coding import category, category_bits, token_symbol
+from rasterflow.operators import arrays
 
 LIMIT = 15
 KEYS = ("image_id", "cls")
+MADE = ("tok_idx", "run", "len", "bits", "sym", "cls")
+#: Bytes of a stream that are joined at once.
+CHUNK = 4096
 
 
 def dc_difference(blocks: DataFrame, dc: Column, keys=("image_id", "channel"), order="scan_idx") -> DataFrame:
@@ -24,32 +25,31 @@ def dc_difference(blocks: DataFrame, dc: Column, keys=("image_id", "channel"), o
     return blocks.withColumn("dc_diff", (dc.cast("int") - before.cast("int")))
 
 
-def _token(run: Column, value: Column) -> Column:
-    return F.struct(run.cast("int").alias("run"), category(value).cast("int").alias("len"), category_bits(value).alias("bits"))
-
-
-def run_length(values: Column) -> Column:
-    """Tokens (run, len, bits) of an array: zeros before each other value, 16 at most, and an end token if zeros are last."""
-    zero = F.lit(0)
-    places = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.get(values, i) != 0)
+def tokenize_blocks(blocks: DataFrame, column: str = "zz", keep=()) -> DataFrame:
+    """A row for each token of blocks with dc_diff and zig-zag values: tok_idx 0 is the DC difference's.
 
-    def tokens(place: Column, k: Column) -> Column:
-        run = place - F.when(k > 0, F.get(places, k - 1)).otherwise(-1) - 1
-        value = F.get(values, place).cast("int")
-        return F.concat(F.array_repeat(_token(F.lit(15), zero), (run / 16).cast("int")), F.array(_token(run % 16, value)))
+    One narrow pass of Arrow batches, whole blocks at a time.
+    """
+    names = ["image_id", "channel", "scan_idx", *keep]
 
-    coded = F.flatten(F.transform(places, tokens))
-    last = F.coalesce(F.element_at(F.when(F.size(places) > 0, places), -1), F.lit(-1))
-    end = F.when(last < F.size(values) - 1, F.array(_token(zero, zero))).otherwise(F.filter(F.array(_token(zero, zero)), lambda _: F.lit(False)))
-    return F.concat(coded, end)
+    def tokens(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            zz = batch.column(len(names) + 1).flatten().to_numpy().astype(np.int64).reshape(n, 64)
+            zz[:, 0] = batch.column(len(names)).to_numpy()
+            block, tok_idx, run, size, bits = arrays.block_tokens(zz)
+            cls = np.where(batch.column(1).to_numpy()[block] > 0, 2, 0) + (tok_idx > 0)
+            made = [pa.array(x, pa.int32()) for x in (tok_idx, run, size, bits, run << 4 | size, cls)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(block)) for k in range(len(names))), *made], [*names, *MADE])
 
-def tokenize_blocks(blocks: DataFrame, column: str = "zz", keep=()) -> DataFrame:
-    """A row for each token of blocks with dc_diff and zig-zag values: tok_idx 0 is the DC difference's."""
-    blocks = blocks.withColumn("_dc", F.array(_token(F.lit(0), F.col("dc_diff")))).withColumn("_ac", run_length(F.slice(F.col(column), 2, 63)))
-    rows = blocks.select("image_id", "channel", "scan_idx", *keep, F.posexplode(F.concat("_dc", "_ac")).alias("tok_idx", "t"))
-    cls = F.when(F.col("channel") > 0, 2).otherwise(0) + F.when(F.col("tok_idx") > 0, 1).otherwise(0)
-    return rows.select("image_id", "channel", "scan_idx", *keep, "tok_idx", "t.run", "t.len", "t.bits", token_symbol(F.col("t.run"), F.col("t.len")).alias("sym"), cls.alias("cls"))
+    rows = blocks.select(*names, F.col("dc_diff").cast("int"), F.col(column).cast("array<int>"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*names).schema)
+    return rows.mapInArrow(tokens, f"{kept}, " + ", ".join(f"{c} int" for c in MADE))
 
 
 def symbol_counts(tokens: DataFrame, keys=KEYS) -> DataFrame:
@@ -158,49 +158,117 @@ def byte_arrays(packed: DataFrame, stream=("image_id",)) -> DataFrame:
     return packed.groupBy(*stream).agg(F.array_sort(F.collect_list(F.struct("byte_idx", "b"))).alias("_s")).select(*stream, F.col("_s.b").alias("bytes"))
 
 
+def stuffed_hex(packed: DataFrame, stream=("image_id",)) -> DataFrame:
+    """(stream, scan): the bytes of each stream in hex, with a 0 after each 255; joined CHUNK bytes at a time, then by chunk."""
+    one = F.when(F.col("b") == 255, "FF00").otherwise(F.lpad(F.hex(F.col("b").cast("bigint")), 2, "0"))
+    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("k"), text.alias("t")))), lambda x: x["t"]), "")
+    chunks = packed.withColumn("_chunk", F.expr(f"byte_idx div {CHUNK}")).groupBy(*stream, "_chunk").agg(joined("byte_idx", one).alias("_text"))
+    return chunks.groupBy(*stream).agg(joined("_chunk", F.col("_text")).alias("scan"))
+
+
 def huffman_encode(symbols: DataFrame, codes: DataFrame, pad_ones: bool = True, stream=("image_id",), keys=("image_id",), order="idx") -> DataFrame:
     """(stream, bytes) of symbols (stream, idx, sym)."""
     coded = attach_codes(symbols, codes, keys).withColumn("order_key", F.expr(f"{order} div 4096"))
     return byte_arrays(pack_bits(bit_offsets(coded, stream, ("order_key",), order), pad_ones, stream), stream)
 
 
-def decode_bits(raw: bytes, codes: list[tuple[int, int, int]], limit: int | None = None) -> list[int]:
-    """Symbols of a prefix code (symbol, length, code) in ``raw``; bits that end no code are padding."""
-    table = {(length, code): symbol for symbol, length, code in codes}
-    out, word, n = [], 0, 0
-    for byte in raw:
-        for shift in range(7, -1, -1):
-            word, n = word << 1 | byte >> shift & 1, n + 1
-            if (n, word) in table:
-                out.append(table[n, word])
-                word = n = 0
-                if limit is not None and len(out) == limit:
-                    return out
-            elif n > 16:
-                raise ValueError("bits are no code")
-    return out
+def _tables(codes: DataFrame, keys) -> DataFrame:
+    """(keys, _codes): each group's code as an array of (sym, len, code)."""
+    return codes.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("sym", "len", "code")])).alias("_codes"))
+
+
+def _with_tables(streams: DataFrame, codes: DataFrame, keys, columns, function, schema: str) -> DataFrame:
+    """``function`` of each row's columns and code, in Arrow batches; a group without a code has an empty one."""
+    rows = streams.join(_tables(codes, keys), list(keys), "left").select(*keys, *columns, "_codes")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in streams.select(*keys).schema)
+    width = len(keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):  # a stream at a time
+                code = [(c["sym"], c["len"], c["code"]) for c in batch.column(batch.num_columns - 1)[k].as_py() or []]
+                found = function(code, *(batch.column(j)[k].as_py() for j in range(width, batch.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(k, 1) for j in range(width)), *found], names)
+
+    full = f"{kept}, {schema}"
+    names = [*keys, *(part.split()[0] for part in schema.split(", "))]
+    return rows.mapInArrow(run, full)
+
+
+def byte_counts(streams: DataFrame, column: str = "data", keys=("image_id",)) -> DataFrame:
+    """(keys, sym, freq): how often each byte stands in each stream."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in streams.select(*keys).schema)
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                freq = np.bincount(np.frombuffer(batch.column(len(keys))[k].as_py() or b"", np.uint8), minlength=256)
+                sym = np.flatnonzero(freq)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(np.full(len(sym), k))) for j in range(len(keys))), pa.array(sym, pa.int32()), pa.array(freq[sym], pa.int64())], [*keys, "sym", "freq"])
+
+    found = streams.select(*keys, column).mapInArrow(count, f"{kept}, sym int, freq bigint")
+    return found.groupBy(*keys, "sym").agg(F.sum("freq").alias("freq"))
+
+
+def encode_bytes(streams: DataFrame, codes: DataFrame, column: str = "data", keys=("image_id",), pad_ones: bool = True) -> DataFrame:
+    """(keys, bytes, n): streams of bytes coded by their code tables, a whole stream at a time; n symbols."""
+
+    def encode(code, data):
+        import numpy as np
+        import pyarrow as pa
+
+        symbols, words, sizes = np.frombuffer(data or b"", np.uint8), np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for sym, length, word in code:
+            words[sym], sizes[sym] = word, length
+        missing = symbols[sizes[symbols] == 0]
+        if len(missing):
+            raise ValueError(f"no code for symbol {missing[0]}")
+        return pa.array([arrays.bit_string(words[symbols], sizes[symbols], pad_ones)], pa.binary()), pa.array([len(symbols)], pa.int64())
+
+    return _with_tables(streams, codes, keys, [column], encode, "bytes binary, n bigint")
+
+
+def decode_bytes(streams: DataFrame, codes: DataFrame, keys=("image_id",)) -> DataFrame:
+    """(keys, data): the inverse of ``encode_bytes``."""
+
+    def decode(code, raw, n):
+        import numpy as np
+        import pyarrow as pa
+
+        return (pa.array([arrays.decode_bits(raw, code, n).astype(np.uint8).tobytes()], pa.binary()),)
+
+    return _with_tables(streams, codes, keys, ["bytes", "n"], decode, "data binary")
 
 
 def huffman_decode(streams: DataFrame, codes: DataFrame, keys=("image_id",)) -> DataFrame:
-    """(keys, symbols): streams (keys, bytes, n) decoded by their code tables; n symbols, or all if n is null."""
-    tables = codes.groupBy(*keys).agg(F.collect_list(F.struct(F.col("sym").cast("int").alias("sym"), F.col("len").cast("int").alias("len"), F.col("code").cast("int").alias("code"))).alias("_codes"))
+    """(keys, symbols): streams (keys, bytes as an array, n) decoded by their code tables; n symbols, or all if n is null."""
+
+    def decode(code, raw, n):
+        import pyarrow as pa
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def decode(raw: pd.Series, table: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([decode_bits(bytes(int(x) for x in r), [(c["sym"], c["len"], c["code"]) for c in t], None if pd.isna(k) else int(k)) for r, t, k in zip(raw, table, n)])
+        return (pa.array([arrays.decode_bits(bytes(raw or []), code, n)], pa.list_(pa.int32())),)
 
-    n = F.col("n") if "n" in streams.columns else F.lit(None)
-    return streams.join(tables, list(keys)).select(*keys, decode("bytes", "_codes", n.cast("bigint")).alias("symbols"))
+    n = (F.col("n") if "n" in streams.columns else F.lit(None)).cast("bigint")
+    return _with_tables(streams.withColumn("n", n), codes, keys, ["bytes", "n"], decode, "symbols array<int>")
 
 
-def code_tree(codes: list[tuple[int, int, int]]) -> str:
-    """A prefix code (symbol, length, code) drawn as a tree, one line for each node."""
+def code_tree(codes: list[tuple[int, int, int]], freqs: dict[int, int] | None = None) -> str:
+    """A prefix code (symbol, length, code) drawn as a tree, one line for each node: symbols, and with ``freqs`` the occurrences below."""
     table = {format(code, f"0{length}b") if length else "": symbol for symbol, length, code in codes}
 
+    def label(prefix: str) -> str:
+        name = str(table.get(prefix, "*"))
+        return name if freqs is None else f"{name} ({sum(freqs.get(s, 0) for p, s in table.items() if p.startswith(prefix))})"
+
     def draw(prefix: str) -> list[str]:
         if prefix in table:
-            return [f"{table[prefix]}"]
-        lines = ["*"]
+            return [label(prefix)]
+        lines = [label(prefix)]
         ends = [p for p in ("0", "1") if any(k.startswith(prefix + p) for k in table)]
         for p in ends:
             child, final = draw(prefix + p), p == ends[-1]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.functions.coding import hex_bytes, hex_of, segment, stuff
+from rasterflow.functions.coding import hex_bytes, segment
 from rasterflow.functions.tables import ZIGZAG, quantization_pair, subsampling
 from rasterflow.operators import entropy, spatial, transform
 
@@ -79,8 +79,7 @@ def image_codes(tokens: DataFrame) -> DataFrame:
 def scan_data(tokens: DataFrame, codes: DataFrame) -> DataFrame:
     """(image_id, scan): the coded tokens of each image in hex, with a 0 after each byte of 255."""
     coded = entropy.bit_offsets(entropy.attach_codes(tokens, codes))
-    arrays = entropy.byte_arrays(entropy.pack_bits(coded))
-    return arrays.select("image_id", hex_of(stuff(F.col("bytes"))).alias("scan"))
+    return entropy.stuffed_hex(entropy.pack_bits(coded))
 
 
 def segments(images: DataFrame, codes: DataFrame, scans: DataFrame, preset: str, table: str, bits_per_channel: int = 8, strict_ids: bool = False) -> DataFrame:
@@ -104,10 +103,8 @@ def assemble_jpeg(parts: DataFrame) -> DataFrame:
 def encode(pixels: DataFrame, images: DataFrame, preset: str = "P420", table: str = "Specification", algorithm: str = "fast", bits_per_channel: int = 8, strict_ids: bool = False) -> DataFrame:
     """(image_id, content): pixels of many images as JPEG files.
 
-    Tokens feed both the code tables and the scan, so they are kept, on disk where memory ends.
+    Tokens feed both the code tables and the scan; they are made for each, so nothing stays on executors.
     """
-    from pyspark import StorageLevel
-
-    tokens = image_tokens(quantized_blocks(pixels, images, preset, table, algorithm), preset).persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = image_tokens(quantized_blocks(pixels, images, preset, table, algorithm), preset)
     codes = image_codes(tokens)
     return assemble_jpeg(segments(images, codes, scan_data(tokens, codes), preset, table, bits_per_channel, strict_ids))

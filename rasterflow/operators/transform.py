@@ -87,6 +87,21 @@ def idct_2d(blocks: DataFrame, column: str = "coef") -> DataFrame:
     return blocks.withColumn(column, _on_blocks(idct_blocks)(F.col(column)))
 
 
+def dct_2d_exact(blocks: DataFrame, column: str = "coef", into: str = "exact") -> DataFrame:
+    """Blocks with the transform of ``column``, by its definition in double precision, as ``into``."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(coef: pd.Series) -> pd.Series:
+        import numpy as np
+
+        if not len(coef):
+            return coef
+        a, x = basis_matrix(), np.stack(coef.to_list()).reshape(-1, 8, 8).astype(np.float64)
+        return pd.Series(list(np.einsum("iy,jx,nyx->nij", a, a, x).reshape(-1, 64)))
+
+    return blocks.withColumn(into, apply(F.col(column)))
+
+
 def quantized(value: Column, q: Column) -> Column:
     """value / q, rounded half away from zero, within 16 bits; not-a-number gives 0."""
     ratio = F.nanvl(f32(value / f32(q)), f32(0.0))

@@ -2,22 +2,22 @@
 
 The tables hold no images, so queries derive them (all rows are used):
 
-* blocks: embeddings.embedding has 64 components; a block is 255 times them, an image a label;
+* blocks: embeddings.embedding has 64 components; a block is 255 times them, a plane a hundred consecutive vectors; an
+  image is a plane or, where it has three channels, three consecutive planes;
 * pixels: 119 consecutive events make an image of 7 by 17; an incomplete last image is left out;
-* symbols: the quantities of lineitem, by supplier group; code points of documents.
+* symbols: the quantities of lineitem, by supplier group; bytes of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterflow.functions import tables
-from rasterflow.functions.coding import category, category_bits, hex_of, left_align, stuff
+from rasterflow.functions.coding import category, category_bits, left_align
 from rasterflow.functions.color import f32, in_range, normalize_rgb, ycbcr
 from rasterflow.operators import entropy, jpeg, spatial, transform
 from rasterflow.plans.fused import encode_files
@@ -30,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {}
 WIDTH, HEIGHT = 7, 17
 SIZE = WIDTH * HEIGHT
 MAXIMUM = 255
+PLANE = 100
 
 
 def query(sql: str | None = None):
@@ -46,19 +47,19 @@ def query(sql: str | None = None):
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, channel, block_idx, scan_idx, coef): one block for each vector, numbered within its label."""
-    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    number = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    """(image_id, channel, block_idx, scan_idx, coef): one block for each vector, numbered within its plane."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    number = F.col("vec_id") % PLANE
     coef = F.transform("embedding", lambda x: x * f32(255.0))
-    return vectors.select(F.col("label").alias("image_id"), F.lit(0).alias("channel"), number.cast("bigint").alias("block_idx"), number.cast("bigint").alias("scan_idx"), "vec_id", coef.alias("coef"))
+    return vectors.select(F.expr(f"vec_id div {PLANE}").alias("image_id"), F.lit(0).alias("channel"), number.alias("block_idx"), number.alias("scan_idx"), "vec_id", coef.alias("coef"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, x, y, r, g, b) of whole images."""
     events = read_table(spark, sf_dir, "events").select("event_id")
-    n = events.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    whole = events.agg((F.floor(F.count(F.lit(1)) / SIZE) * SIZE).alias("n")).scalar()
     p = F.col("event_id") % SIZE
-    rows = events.where(F.col("event_id") < n // SIZE * SIZE)
+    rows = events.where(F.col("event_id") < whole)
     rgb = [F.expr(f"cast((event_id * {a} + {b}) % 256 as int)").alias(c) for c, a, b in (("r", 37, 11), ("g", 101, 7), ("b", 13, 200))]
     return rows.select(F.expr(f"event_id div {SIZE}").alias("image_id"), (p % WIDTH).cast("int").alias("x"), F.expr(f"(event_id % {SIZE}) div {WIDTH}").cast("int").alias("y"), *rgb)
 
@@ -98,8 +99,8 @@ grid AS (SELECT image_id, x::INT AS x, y::INT AS y FROM (SELECT DISTINCT image_i
 padded AS (SELECT image_id, x, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM grid LEFT JOIN pixels USING (image_id, x, y))"""
 SAMPLES = f"""{PADDED},
 samples AS (SELECT image_id, 0 AS channel, x, y, r::FLOAT AS v FROM padded UNION ALL SELECT image_id, 1, x, y, g::FLOAT FROM padded UNION ALL SELECT image_id, 2, x, y, b::FLOAT FROM padded)"""
-BLOCKS = """
-blocks AS (SELECT label AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS block_idx, embedding AS e FROM embeddings),
+BLOCKS = f"""
+blocks AS (SELECT vec_id // {PLANE} AS image_id, vec_id % {PLANE} AS block_idx, embedding AS e FROM embeddings),
 vals AS (SELECT image_id, block_idx, unnest(range(64)) AS pos, unnest(e) * 255::FLOAT AS v FROM blocks)"""
 DCT = f"""{BLOCKS},
 basis AS (SELECT i, k, sqrt(CASE WHEN i = 0 THEN 1 ELSE 2 END / 8.0::DOUBLE) * cos((2 * k + 1) * i * pi() / 16) AS a FROM range(8) AS a(i), range(8) AS b(k)),
@@ -227,30 +228,49 @@ def mcu_interleave(spark, sf_dir):
     return spatial.mcu_order(spatial.scan_order(_reblocked(spark, sf_dir), "P422"), "P422").select("image_id", "channel", "scan_idx", "mcu", "slot")
 
 
+@query(f"""WITH {SAMPLES}, b AS (SELECT DISTINCT image_id, channel, (y // 8) * 2 + x // 8 AS scan_idx FROM samples)
+SELECT image_id, channel, scan_idx, scan_idx AS mcu, channel AS slot FROM b""")
+def mcu_interleave_444(spark, sf_dir):
+    return spatial.mcu_order(spatial.scan_order(_reblocked(spark, sf_dir), "P444"), "P444").select("image_id", "channel", "scan_idx", "mcu", "slot")
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT DISTINCT image_id, channel, y // 8 AS yb, x // 8 AS xb FROM samples),
+s AS (SELECT image_id, channel, CASE WHEN channel = 0 THEN (yb // 2) * 4 + (xb // 2) * 4 + (yb % 2) * 2 + xb % 2 ELSE yb * 2 + xb END AS scan_idx FROM b)
+SELECT image_id, channel, scan_idx, CASE WHEN channel = 0 THEN scan_idx // 4 ELSE scan_idx END AS mcu, CASE WHEN channel = 0 THEN scan_idx % 4 ELSE 3 + channel END AS slot FROM s""")
+def mcu_interleave_420(spark, sf_dir):
+    return spatial.mcu_order(spatial.scan_order(_reblocked(spark, sf_dir), "P420"), "P420").select("image_id", "channel", "scan_idx", "mcu", "slot")
+
+
 # --- transforms ---------------------------------------------------------------------------
 
 
-def _steps(df: DataFrame) -> DataFrame:
-    """Coefficients in steps of 16, which single and double precision agree on."""
-    return exploded(df).select("image_id", "block_idx", "pos", F.round(F.col("v").cast("double") / 16).cast("int").alias("v"))
+def _hundredths(df: DataFrame, exact: str = "exact") -> DataFrame:
+    """Values to two decimals. Single precision can't decide a half, so a value within a hundredth of the exact one stands for it."""
+    rows = df.select("image_id", "block_idx", F.posexplode(F.arrays_zip("coef", exact)).alias("pos", "p"))
+    value, sure = F.col("p.coef").cast("double"), F.col(f"p.{exact}").cast("double")
+    return rows.select("image_id", "block_idx", "pos", (F.round(F.when(F.abs(value - sure) < 0.01, sure).otherwise(value), 2) + 0.0).alias("v"))
 
 
-_DCT_SQL = f"WITH {DCT} SELECT image_id, block_idx, pos, round(v / 16)::INT AS v FROM dct"
+def _transformed(spark, sf_dir, algorithm: str) -> DataFrame:
+    return _hundredths(transform.dct_2d(transform.dct_2d_exact(blocks(spark, sf_dir)), algorithm))
+
+
+_DCT_SQL = f"WITH {DCT} SELECT image_id, block_idx, pos, round(v, 2) + 0.0 AS v FROM dct"
 
 
 @query(_DCT_SQL)
 def dct_2d(spark, sf_dir):
-    return _steps(transform.dct_2d(blocks(spark, sf_dir)))
+    return _transformed(spark, sf_dir, "fast")
 
 
 @query(_DCT_SQL)
 def dct_2d_matrix(spark, sf_dir):
-    return _steps(transform.dct_2d(blocks(spark, sf_dir), "matrix"))
+    return _transformed(spark, sf_dir, "matrix")
 
 
 @query(_DCT_SQL)
 def dct_2d_direct(spark, sf_dir):
-    return _steps(transform.dct_2d(blocks(spark, sf_dir), "direct"))
+    return _transformed(spark, sf_dir, "direct")
 
 
 @query(f"WITH {DCT} SELECT image_id, block_idx, pos, round(v, 2) + 0.0 AS v FROM dct")
@@ -263,10 +283,10 @@ def dct_2d_relational(spark, sf_dir):
     return out.select("image_id", "block_idx", (F.col("i") * 8 + F.col("u")).cast("int").alias("pos"), (F.round("v", 2) + 0.0).alias("v"))
 
 
-@query(f"WITH {BLOCKS} SELECT image_id, block_idx, pos, round(v::DOUBLE / 16)::INT AS v FROM vals")
+@query(f"WITH {BLOCKS} SELECT image_id, block_idx, pos, round(v::DOUBLE, 2) + 0.0 AS v FROM vals")
 def idct_2d(spark, sf_dir):
     """Transform and inverse: the blocks again."""
-    return _steps(transform.idct_2d(transform.dct_2d(blocks(spark, sf_dir))))
+    return _hundredths(transform.idct_2d(transform.dct_2d(blocks(spark, sf_dir).withColumn("exact", F.col("coef")))))
 
 
 def _quantized(spark, sf_dir, table: str = "Specification") -> DataFrame:
@@ -395,20 +415,79 @@ def block_codes(spark, sf_dir):
     return jpeg.image_codes(block_tokens(spark, sf_dir)).select("image_id", "cls", "sym", "len", "code")
 
 
-@query(f"""WITH {BLOCK_CODES},
-words AS (SELECT image_id, scan_idx, tok_idx, len2 + t.len AS nbits, (code << t.len) + bits AS word FROM tokens AS t JOIN codes USING (image_id, cls, sym)),
-stream AS (SELECT *, coalesce(sum(nbits) OVER (PARTITION BY image_id ORDER BY scan_idx, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM words),
+def scan_sql(words: str, order: str) -> str:
+    """Tables stream, ends and scans (image_id, scan) of a query for (image_id, order columns, nbits, word)."""
+    return f"""
+words AS ({words}),
+stream AS (SELECT *, coalesce(sum(nbits) OVER (PARTITION BY image_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM words),
 pieces AS (SELECT image_id, o // 8 + k AS byte_idx, ((word::BIGINT << (40 - o % 8 - nbits)::INT) >> (32 - 8 * k)::INT) & 255 AS b FROM stream, range(5) AS r(k) WHERE k <= (o % 8 + nbits - 1) // 8),
 packed AS (SELECT image_id, byte_idx, bit_or(b)::INT AS b FROM pieces GROUP BY ALL),
 ends AS (SELECT image_id, max(o + nbits) AS n FROM stream GROUP BY image_id),
-whole AS (SELECT image_id, byte_idx, CASE WHEN byte_idx = (n - 1) // 8 THEN b | ((1 << ((8 - n % 8) % 8)::INT) - 1) ELSE b END AS b FROM packed JOIN ends USING (image_id))
-SELECT image_id, string_agg(CASE WHEN b = 255 THEN 'FF00' ELSE printf('%02X', b) END, '' ORDER BY byte_idx) AS scan FROM whole GROUP BY image_id""")
+whole AS (SELECT image_id, byte_idx, CASE WHEN byte_idx = (n - 1) // 8 THEN b | ((1 << ((8 - n % 8) % 8)::INT) - 1) ELSE b END AS b FROM packed JOIN ends USING (image_id)),
+scans AS (SELECT image_id, string_agg(CASE WHEN b = 255 THEN 'FF00' ELSE printf('%02X', b) END, '' ORDER BY byte_idx) AS scan FROM whole GROUP BY image_id)"""
+
+
+_WORDS = "SELECT image_id, {0} scan_idx, tok_idx, len2 + t.len AS nbits, (code << t.len) + bits AS word FROM {1} AS t JOIN codes USING (image_id, cls, sym)"
+
+
+@query(f"WITH {BLOCK_CODES}, {scan_sql(_WORDS.format('', 'tokens'), 'scan_idx, tok_idx')} SELECT image_id, scan FROM scans")
 def block_scan(spark, sf_dir):
     """The whole scan of each image of blocks: tokens, code tables, offsets, packing, stuffing."""
-    tokens = block_tokens(spark, sf_dir).withColumn("order_key", F.col("scan_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = block_tokens(spark, sf_dir).withColumn("order_key", F.col("scan_idx"))
     return jpeg.scan_data(tokens, jpeg.image_codes(tokens))
 
 
+def three_channel_tokens(spark, sf_dir) -> DataFrame:
+    """Tokens of images of three channels, each a plane of blocks; both chroma channels share classes."""
+    channel = (F.col("image_id") % 3).cast("int")
+    planes = _quantized(spark, sf_dir).withColumn("channel", channel).withColumn("image_id", F.expr("image_id div 3"))
+    ordered = entropy.dc_difference(planes.withColumn("zz", transform.zigzag_block(F.col("coef"))), F.col("zz")[0])
+    return entropy.tokenize_blocks(ordered.withColumn("order_key", F.col("scan_idx") * 3 + F.col("channel")), keep=("order_key",))
+
+
+THREE = f"{TOKENS}, colour AS (SELECT image_id // 3 AS image_id, image_id % 3 AS channel, scan_idx, tok_idx, len, bits, sym, cls + CASE WHEN image_id % 3 > 0 THEN 2 ELSE 0 END AS cls FROM tokens)"
+THREE_CODES = f"{THREE}, {lengths_sql('SELECT image_id, cls, sym, count(*) AS freq FROM colour GROUP BY ALL')}"
+THREE_SCANS = f"{THREE_CODES}, {scan_sql(_WORDS.format('channel,', 'colour'), 'scan_idx, channel, tok_idx')}"
+
+
+@query(f"WITH {THREE} SELECT image_id, cls, sym, count(*) AS freq FROM colour GROUP BY ALL")
+def chroma_symbol_counts(spark, sf_dir):
+    """Symbols of three channels: the first chroma plane's and the second's are counted together."""
+    return entropy.symbol_counts(three_channel_tokens(spark, sf_dir))
+
+
+@query(f"WITH {THREE_CODES} SELECT image_id, cls, sym, len2 AS len, code FROM codes")
+def chroma_codes(spark, sf_dir):
+    return jpeg.image_codes(three_channel_tokens(spark, sf_dir)).select("image_id", "cls", "sym", "len", "code")
+
+
+@query(f"WITH {THREE_SCANS} SELECT image_id, scan FROM scans")
+def interleaved_scan(spark, sf_dir):
+    """The whole scan of each image of three channels: a block of each in turn."""
+    tokens = three_channel_tokens(spark, sf_dir)
+    return jpeg.scan_data(tokens, jpeg.image_codes(tokens))
+
+
+def _three_images(spark, sf_dir) -> DataFrame:
+    planes = blocks(spark, sf_dir).groupBy(F.expr("image_id div 3").alias("image_id")).agg(F.countDistinct("image_id").alias("planes"))
+    return planes.select("image_id", F.lit(80).alias("width"), F.lit(80).alias("height"))
+
+
+def _three_segments(spark, sf_dir) -> DataFrame:
+    tokens = three_channel_tokens(spark, sf_dir)
+    codes = jpeg.image_codes(tokens)
+    return jpeg.segments(_three_images(spark, sf_dir), codes, jpeg.scan_data(tokens, codes), "P444", "Spec")
+
+
+@query(f"""WITH {THREE_SCANS}, dht AS (SELECT image_id, sum(2 + 2 + 1 + 16 + n) AS tables FROM (SELECT image_id, cls, count(*) AS n FROM codes GROUP BY ALL) GROUP BY image_id)
+SELECT image_id, (2 + 18 + 2 * 69 + 19 + tables + 14 + length(scan) // 2 + 2)::BIGINT AS n_bytes, (length(scan) // 2)::BIGINT AS scan_bytes, tables::BIGINT AS table_bytes FROM scans JOIN dht USING (image_id)""")
+def encoded_size(spark, sf_dir):
+    """The bytes of each image's file, of its scan and of its code tables."""
+    size = F.length("content") / 2
+    of = lambda name: F.sum(F.when(F.col("name") == name, size).otherwise(0)).cast("bigint")
+    return _three_segments(spark, sf_dir).groupBy("image_id").agg(F.sum(size).cast("bigint").alias("n_bytes"), of("SCAN").alias("scan_bytes"), of("DHT").alias("table_bytes"))
+
+
 @query(f"""WITH {LENGTHS},
 sizes AS (SELECT image_id, string_agg(printf('%02X', n), '' ORDER BY k) AS counts, sum(n) AS total FROM (SELECT image_id, r.k, count(len2) AS n FROM (SELECT DISTINCT image_id FROM codes) CROSS JOIN range(1, 17) AS r(k) LEFT JOIN (SELECT image_id AS im, len2 FROM codes) ON im = image_id AND len2 = r.k GROUP BY image_id, r.k) GROUP BY image_id),
 syms AS (SELECT image_id, string_agg(printf('%02X', sym), '' ORDER BY rank DESC) AS symbols FROM codes GROUP BY image_id)
@@ -417,15 +496,12 @@ def code_table_segments(spark, sf_dir):
     return jpeg.dht(_codes(spark, sf_dir)).select("image_id", "tables")
 
 
-@query(f"""SELECT image_id, idx, name, content FROM (SELECT DISTINCT event_id // {SIZE} AS image_id FROM events, (SELECT count(*) // {SIZE} * {SIZE} AS n FROM events) WHERE event_id < n),
-(VALUES (1, 'APP0', 'FFE000104A46494600010200004800480000'), (2, 'DQT0', 'FFDB004300{"".join(f"{tables.SPECIFICATION_LUMA[p]:02X}" for p in tables.ZIGZAG)}'), (3, 'DQT1', 'FFDB004301{"".join(f"{tables.SPECIFICATION_CHROMA[p]:02X}" for p in tables.ZIGZAG)}'),
-  (4, 'SOF0', 'FFC00011080011000703012200021101031101'), (6, 'SOS', 'FFDA000C03010102230323003F00')) AS t(idx, name, content)""")
+@query(f"""SELECT image_id, idx, name, content FROM (SELECT DISTINCT vec_id // {3 * PLANE} AS image_id FROM embeddings),
+(VALUES (0, 'SOI', 'FFD8'), (1, 'APP0', 'FFE000104A46494600010200004800480000'), (2, 'DQT0', 'FFDB004300{"".join(f"{tables.SPECIFICATION_LUMA[p]:02X}" for p in tables.ZIGZAG)}'), (3, 'DQT1', 'FFDB004301{"".join(f"{tables.SPECIFICATION_CHROMA[p]:02X}" for p in tables.ZIGZAG)}'),
+  (4, 'SOF0', 'FFC00011080050005003011100021101031101'), (6, 'SOS', 'FFDA000C03010102230323003F00'), (8, 'EOI', 'FFD9')) AS t(idx, name, content)""")
 def header_segments(spark, sf_dir):
-    """The segments of each file but for its code tables and scan."""
-    codes = images(spark, sf_dir).select("image_id", F.lit(0).alias("cls"), F.lit(0).alias("sym"), F.lit(0).alias("rank"), F.lit(1).alias("len"))
-    scans = images(spark, sf_dir).select("image_id", F.lit("").alias("scan"))
-    parts = jpeg.segments(images(spark, sf_dir), codes, scans, "P420", "Spec")
-    return parts.where(F.col("name").isin("APP0", "DQT0", "DQT1", "SOF0", "SOS"))
+    """The segments of each whole file but for its code tables and scan, in order."""
+    return _three_segments(spark, sf_dir).where(~F.col("name").isin("DHT", "SCAN"))
 
 
 def _symbols(spark, sf_dir) -> DataFrame:
@@ -463,22 +539,22 @@ def packed_bytes_zero_padding(spark, sf_dir):
 
 @query(f"WITH {PACKED} SELECT image_id, string_agg(CASE WHEN b = 255 THEN 'FF00' ELSE printf('%02X', b) END, '' ORDER BY byte_idx) AS scan FROM padded_bytes GROUP BY image_id")
 def stuffed_bytes(spark, sf_dir):
-    return entropy.byte_arrays(entropy.pack_bits(_symbols(spark, sf_dir))).select("image_id", hex_of(stuff(F.col("bytes"))).alias("scan"))
+    return entropy.stuffed_hex(entropy.pack_bits(_symbols(spark, sf_dir)))
 
 
-def _texts(spark, sf_dir) -> DataFrame:
-    """(image_id, idx, sym): the low seven bits of each character of the documents."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) > 0")
-    return docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("idx", "c")).where("c <> ''").select("image_id", "idx", (F.ascii("c") % 128).alias("sym"))
+_BYTES = "SELECT doc_id AS image_id, 0 AS cls, byte AS sym, count(*) AS freq FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY ALL"
 
 
-@query("SELECT doc_id AS image_id, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c) % 128), ',') AS symbols FROM documents WHERE length(text) > 0")
+@query(f"""WITH {lengths_sql(_BYTES)}, sizes AS (SELECT image_id, sum(freq * len2) AS bits FROM codes GROUP BY image_id)
+SELECT doc_id AS image_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS md5, ((coalesce(bits, 0) + 7) // 8)::BIGINT AS n_coded FROM documents LEFT JOIN sizes ON image_id = doc_id""")
 def huffman_roundtrip(spark, sf_dir):
-    """Each document's characters coded with a code of their own and decoded again."""
-    symbols = _texts(spark, sf_dir)
-    codes = entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(entropy.symbol_counts(symbols, ("image_id",)), keys=("image_id",))), keys=("image_id",))
-    coded = entropy.huffman_encode(symbols, codes).join(symbols.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")), "image_id")
-    return entropy.huffman_decode(coded, codes).select("image_id", F.array_join("symbols", ",").alias("symbols"))
+    """Each document's bytes coded with a code of their own and decoded again; an empty one has no code."""
+    streams = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    keys = ("image_id",)
+    codes = entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(entropy.byte_counts(streams), keys=keys)), keys=keys)
+    coded = entropy.encode_bytes(streams, codes)
+    again = entropy.decode_bytes(coded, codes).select("image_id", F.octet_length("data").cast("bigint").alias("n_bytes"), F.md5("data").alias("md5"))
+    return again.join(coded.select("image_id", F.octet_length("bytes").cast("bigint").alias("n_coded")), "image_id")
 
 
 @query("SELECT min(v)::BIGINT AS min, max(v)::BIGINT AS max, (sum(v) // count(v))::BIGINT AS average, round(sqrt(((sum(v * v) - 2 * (sum(v) // count(v)) * sum(v) + count(v) * (sum(v) // count(v)) * (sum(v) // count(v))) // count(v))::DOUBLE))::BIGINT AS deviation FROM (SELECT (l_quantity::BIGINT * 1000 + l_linenumber)::BIGINT AS v FROM lineitem)")
@@ -533,10 +609,3 @@ def jpeg_files_relational(spark, sf_dir):
     """The same files by the relational operators."""
     files = jpeg.encode(pixels(spark, sf_dir), images(spark, sf_dir))
     return files.select(F.col("image_id").cast("string").alias("image_id"), F.length("content").alias("n_bytes"), F.md5("content").alias("md5"), F.lit(None).cast("string").alias("error"))
-
-
-@query("SELECT count(*) // 119 AS n_images, 119 * (count(*) // 119) AS n_pixels FROM events")
-def encoded_size(spark, sf_dir):
-    """Images and pixels that reach a file."""
-    done = encode_files(ppm_files(spark, sf_dir)).where("error is null and length(content) > 0")
-    return done.agg(F.count(F.lit(1)).alias("n_images"), (F.count(F.lit(1)) * SIZE).alias("n_pixels"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterflow.functions.tables import ZIGZAG, quantization_pair, subsampling
+from rasterflow.operators.arrays import bit_string, block_tokens
 from rasterflow.operators.jpeg import STRICT_ORDER, TABLE_ORDER
 from rasterflow.operators.transform import dct_blocks
 from rasterflow.sources.ppm import parse_bytes
@@ -47,24 +48,6 @@ def code_table(counts: Counter, limit: int = 15) -> list[tuple[int, int, int]]:
     return table
 
 
-def _tokens(zz, before: int) -> list[tuple[int, int, int]]:
-    """(symbol, bits, number of bits) of a block in zig-zag order."""
-
-    def coded(run: int, value: int) -> tuple[int, int, int]:
-        size = abs(value).bit_length()
-        return run << 4 | size, value if value >= 0 else value + (1 << size) - 1, size
-
-    out, last = [coded(0, int(zz[0]) - before)], 0
-    for place in zz[1:].nonzero()[0] + 1:
-        zeros = int(place) - last - 1
-        out += [(0xF0, 0, 0)] * (zeros // 16)
-        out.append(coded(zeros % 16, int(zz[place])))
-        last = int(place)
-    if last < 63:
-        out.append((0, 0, 0))
-    return out
-
-
 def encode_pixels(width: int, height: int, maximum: int, values, preset: str = "P420", table: str = "Specification", algorithm: str = "fast", bits_per_channel: int = 8, strict_ids: bool = False) -> bytes:
     """One image's components, pixel by pixel, as a JPEG file."""
     import numpy as np
@@ -79,7 +62,7 @@ def encode_pixels(width: int, height: int, maximum: int, values, preset: str = "
     from rasterflow.functions.color import CHROMA_BLUE, CHROMA_RED, LUMA
 
     planes = [(weigh(LUMA) - f(128) / f(255)) * f(255), weigh(CHROMA_BLUE) * f(255), weigh(CHROMA_RED) * f(255)]
-    tokens, counts = [], [Counter() for _ in range(4)]
+    parts, k = [], h * v
     for channel, plane in enumerate(planes):
         if channel and method == "average":
             total = None
@@ -95,30 +78,21 @@ def encode_pixels(width: int, height: int, maximum: int, values, preset: str = "
         levels = (np.sign(ratio) * np.floor(np.abs(ratio.astype(np.float64)) + 0.5)).astype(np.int64).reshape(-1, 64)
         if not channel and v == 2:
             levels = levels.reshape(rows // 2, 2, columns // 2, 2, 64).swapaxes(1, 2).reshape(-1, 64)
-        before, coded = 0, []
-        for zz in levels[:, ZIGZAG]:
-            some = _tokens(zz, before)
-            before = int(zz[0])
-            counts[2 * (channel > 0)][some[0][0]] += 1
-            counts[2 * (channel > 0) + 1].update(t[0] for t in some[1:])
-            coded.append(some)
-        tokens.append(coded)
-    tables = [code_table(c) for c in counts]
-    codes = [{s: (n, c) for s, n, c in t} for t in tables]
-    k, word, n_bits = h * v, 0, 0
-    parts: list[int] = []
-    for unit in range(len(tokens[1])):
-        for channel, block in [*((0, unit * k + i) for i in range(k)), (1, unit), (2, unit)]:
-            for place, (symbol, bits, size) in enumerate(tokens[channel][block]):
-                length, code = codes[2 * (channel > 0) + (place > 0)][symbol]
-                word, n_bits = (word << length | code) << size | bits, n_bits + length + size
-                while n_bits >= 8:
-                    n_bits -= 8
-                    parts.append(word >> n_bits & 0xFF)
-                word &= (1 << n_bits) - 1
-    if n_bits:
-        parts.append((word << (8 - n_bits) | (1 << (8 - n_bits)) - 1) & 0xFF)
-    scan = bytes(parts).replace(b"\xff", b"\xff\x00")
+        zz = levels[:, ZIGZAG]
+        zz[:, 0] = np.diff(zz[:, 0], prepend=0)
+        block, at, run, size, bits = block_tokens(zz)
+        place = block + block // k * 2 if not channel else block * (k + 2) + k + channel - 1  # of the block in the scan
+        parts.append((place, np.where(at > 0, 1, 0) + (2 if channel else 0), run << 4 | size, size, bits))
+    place, cls, symbol, size, bits = (np.concatenate(x) for x in zip(*parts))
+    counts = np.bincount(cls << 8 | symbol, minlength=1024).reshape(4, 256)
+    tables = [code_table(Counter({int(s): int(c[s]) for s in np.flatnonzero(c)})) for c in counts]
+    words, lengths = np.zeros((2, 4, 256), np.int64)
+    for c, made in enumerate(tables):
+        for s, n, code in made:
+            words[c, s], lengths[c, s] = code, n
+    order = np.argsort(place, kind="stable")
+    cls, symbol, size, bits = cls[order], symbol[order], size[order], bits[order]
+    scan = bit_string(words[cls, symbol] << size | bits, lengths[cls, symbol] + size).replace(b"\xff", b"\xff\x00")
     part = lambda marker, content: bytes([0xFF, marker]) + (len(content) + 2).to_bytes(2, "big") + content
     luma, chroma = quantization_pair(table)
     out = [b"\xff\xd8", part(0xE0, b"JFIF\0\x01\x02\0\0\x48\0\x48\0\0")]

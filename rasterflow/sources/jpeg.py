@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 import re
+import uuid
+from collections import Counter
 from dataclasses import dataclass
 from urllib.parse import quote
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+PARTS = "_parts"
+
 
 @dataclass
 class Written(WriterCommitMessage):
-    paths: list[str]
+    names: list[tuple[str, str]]
 
 
 def file_name(image_id) -> str:
-    """A name for an image: its id, without folder and extension where it is a path."""
-    name = re.sub(r"\.[A-Za-z0-9]+$", "", str(image_id).rstrip("/").rsplit("/", 1)[-1])
-    return quote(name or "image", safe="") + ".jpeg"
+    """A name for an image: its id, without folder and extension where it is a path.
+
+    Where the id has more than the name tells, a hash of the whole id follows, so different ids have different files.
+    """
+    whole = str(image_id)
+    name = re.sub(r"\.[A-Za-z0-9]+$", "", whole.rstrip("/").rsplit("/", 1)[-1]) or "image"
+    mark = "" if name == whole else "-" + hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    return quote(name, safe="") + mark + ".jpeg"
+
+
+def store(path: str):
+    """(file system, path in it): a local path, or a URI of a store that Arrow knows."""
+    from pyarrow import fs
+
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
 class JPEGDataSource(DataSource):
-    """``df.write.format("jpeg").mode("append").save(path)``; ``path`` must be a folder that executors share.
+    """``df.write.format("jpeg").mode("append" | "overwrite").save(path)``; ``path`` must be a folder that executors share.
 
-    Files are written under temporary names and renamed, so a lost task leaves no half file.
+    Tasks write under a folder ``_parts``; files get their names when all tasks are done, so a failed job leaves
+    nothing and replaces nothing. Two rows with the same id are an error. ``overwrite`` removes the other JPEG files of the folder.
     """
 
     @classmethod
@@ -35,33 +54,61 @@ class JPEGDataSource(DataSource):
         names = [f.name for f in schema]
         if not {"image_id", "content"} <= set(names):
             raise ValueError("rows need image_id and content")
-        return JPEGWriter(self.options["path"].removeprefix("file://"), names.index("image_id"), names.index("content"))
+        return JPEGWriter(self.options["path"], names.index("image_id"), names.index("content"), overwrite)
 
 
 class JPEGWriter(DataSourceWriter):
-    def __init__(self, path: str, id_at: int, content_at: int):
-        self.path, self.id_at, self.content_at = path, id_at, content_at
+    def __init__(self, path: str, id_at: int, content_at: int, overwrite: bool = False):
+        self.path, self.id_at, self.content_at, self.overwrite, self.job = path, id_at, content_at, overwrite, uuid.uuid4().hex
+
+    def _parts(self, path: str) -> str:
+        return f"{path}/{PARTS}/{self.job}"
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        paths = []
-        for row in rows:
-            target = os.path.join(self.path, file_name(row[self.id_at]))
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(row[self.content_at]))
-            os.replace(part, target)
-            paths.append(target)
-        return Written(paths)
+        system, path = store(self.path)
+        folder, attempt, names = self._parts(path), uuid.uuid4().hex, []
+        system.create_dir(folder, recursive=True)
+        for number, row in enumerate(rows):
+            if row[self.content_at] is None:
+                raise ValueError(f"image {row[self.id_at]} has no content")
+            part = f"{folder}/{attempt}-{number}"
+            try:
+                with system.open_output_stream(part) as f:
+                    f.write(bytes(row[self.content_at]))
+            except OSError as fault:
+                raise OSError(f"can't write image {row[self.id_at]} to {self.path}: {fault}") from fault
+            names.append((part, file_name(row[self.id_at])))
+        return Written(names)
 
     def commit(self, messages):
-        pass
+        from pyarrow import fs
+
+        system, path = store(self.path)
+        names = [n for m in messages if m for n in m.names]
+        twice = [n for n, count in Counter(n for _, n in names).items() if count > 1]
+        if twice:
+            self._clear(system, path)
+            raise ValueError(f"several rows for one file: {', '.join(sorted(twice)[:5])}")
+        system.create_dir(path, recursive=True)
+        if self.overwrite:
+            kept = {n for _, n in names}
+            for found in system.get_file_info(fs.FileSelector(path)):
+                if found.type == fs.FileType.File and found.base_name.endswith(".jpeg") and found.base_name not in kept:
+                    system.delete_file(found.path)
+        for part, name in names:
+            system.move(part, f"{path}/{name}")
+        self._clear(system, path)
 
     def abort(self, messages):
-        for m in messages:
-            for p in m.paths if m else []:
-                if os.path.exists(p):
-                    os.remove(p)
+        self._clear(*store(self.path))
+
+    def _clear(self, system, path: str) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(self._parts(path)).type == fs.FileType.Directory:
+            system.delete_dir(self._parts(path))
+        if system.get_file_info(f"{path}/{PARTS}").type == fs.FileType.Directory and not system.get_file_info(fs.FileSelector(f"{path}/{PARTS}")):
+            system.delete_dir(f"{path}/{PARTS}")
 
 
 def register(spark) -> None:

@@ -1,36 +1,47 @@
+import functools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterflow.operators import entropy
+from rasterflow.operators import arrays, entropy
 from rasterflow.plans import fused
 
-# fixed values: frequencies and the code lengths and bytes they give
-LENGTH_VECTORS = [
-    ([1, 2, 5, 8, 10, 11, 14, 14, 15, 18, 20], 4, [4, 4, 4, 4, 4, 4, 3, 3, 3, 3, 3]),
-    ([1, 1, 1, 2, 2, 2, 3, 6, 17, 20], 5, [5, 5, 4, 4, 4, 4, 4, 3, 2, 2]),
-    ([1, 1, 1, 2, 2, 2, 3, 6, 17, 20], 4, [4, 4, 4, 4, 4, 4, 4, 4, 2, 2]),
-]
-FREQUENCIES = {
-    1: 14, 2: 30, 3: 4, 4: 7, 5: 9, 6: 4, 7: 42, 8: 1, 9: 14, 10: 5, 11: 14, 12: 30, 13: 4, 14: 7, 15: 9, 16: 4, 17: 42, 18: 1,
-    19: 14, 20: 5, 21: 14, 22: 30, 23: 4, 24: 7, 25: 9, 26: 4, 27: 42, 28: 1, 29: 14, 30: 12, 31: 32, 32: 1,
-}
-SEQUENCE = [27, 17, 7, 31, 22, 12, 2, 29, 21, 19, 11, 9, 1, 30, 25, 15, 5, 24, 14, 4, 20, 10, 26, 23, 16, 13, 6, 3, 32, 28, 18, 8]
-ENCODED = [
-    0b00000100, 0b01101000, 0b10101100, 0b11110000, 0b10001100, 0b10100111, 0b01001010, 0b11011010, 0b11101011, 0b11110000, 0b11000111,
-    0b00101100, 0b11110100, 0b11010111, 0b01101101, 0b11111000, 0b11100111, 0b10101110, 0b11111100, 0b11110111, 0b11101111, 0b11000000,
-]
+
+
+def best_lengths_cost(freqs, limit):
+    """The least sum of frequency times length of a code whose lengths are at most ``limit``, by trying all."""
+    n = len(freqs)
+    ordered = sorted(freqs, reverse=True)
+
+    @functools.cache
+    def least(k, depth, free):
+        # codes for symbols k.. by falling frequency, lengths rising from depth, with ``free`` nodes open there
+        if k == n:
+            return 0
+        if depth > limit or not free:
+            return math.inf
+        return min(sum(ordered[k : k + used]) * depth + least(k + used, depth + 1, 2 * (free - used)) for used in range(min(free, n - k) + 1))
+
+    return least(0, 1, 2)
 
 
 def frequency_table(spark, freqs, start=0):
     return spark.createDataFrame([(0, 0, start + k, f) for k, f in enumerate(freqs)], "image_id int, cls int, sym int, freq long")
 
 
-@pytest.mark.parametrize(("freqs", "limit", "expected"), LENGTH_VECTORS)
-def test_code_lengths(spark, freqs, limit, expected):
-    rows = entropy.code_lengths(frequency_table(spark, freqs), limit).orderBy("rank").collect()
-    assert [r.len for r in rows] == expected == fused.package_lengths(freqs, limit)
+@pytest.mark.parametrize("limit", [3, 4, 5, 15])
+def test_code_lengths_are_the_best(spark, limit):
+    rng = random.Random(limit)
+    for size in (2, 5, 8):
+        freqs = sorted(rng.choice((1, 2, 3, 40, 900)) * rng.randint(1, 7) for _ in range(size))
+        rows = entropy.code_lengths(frequency_table(spark, freqs), limit).orderBy("rank").collect()
+        lengths = [r.len for r in rows]
+        assert lengths == fused.package_lengths(freqs, limit) == sorted(lengths, reverse=True)
+        assert max(lengths) <= limit and sum(2.0**-n for n in lengths) <= 1
+        assert sum(f * n for f, n in zip(freqs, lengths)) == best_lengths_cost(tuple(freqs), limit)
 
 
 def test_too_many_symbols(spark):
@@ -45,12 +56,34 @@ def codes_of(spark, freqs: dict, limit):
     return entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(table, limit, ("image_id",))), ("image_id",))
 
 
-def test_encode_and_decode_vector(spark):
-    codes = codes_of(spark, FREQUENCIES, 6)
-    symbols = spark.createDataFrame([(0, k, s) for k, s in enumerate(SEQUENCE)], "image_id int, idx int, sym int")
+def test_encode_and_decode(spark):
+    rng = random.Random(12)
+    freqs = {s: rng.randint(1, 60) for s in rng.sample(range(256), 40)}
+    sequence = [rng.choice(list(freqs)) for _ in range(300)]
+    codes = codes_of(spark, freqs, 9)
+    words = {r.sym: format(r.code, f"0{r.len}b") for r in codes.collect()}
+    bits = "".join(words[s] for s in sequence)
+    bits += "0" * (-len(bits) % 8)
+    symbols = spark.createDataFrame([(0, k, s) for k, s in enumerate(sequence)], "image_id int, idx int, sym int")
     coded = entropy.huffman_encode(symbols, codes, pad_ones=False)
-    assert coded.first()["bytes"] == ENCODED
-    assert entropy.huffman_decode(coded.withColumn("n", F.lit(len(SEQUENCE))), codes).first()["symbols"] == SEQUENCE
+    assert coded.first()["bytes"] == [int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)]
+    assert entropy.huffman_decode(coded.withColumn("n", F.lit(len(sequence))), codes).first()["symbols"] == sequence
+
+
+def test_streams_of_bytes(spark):
+    rng = random.Random(13)
+    data = {"empty": b"", "null": None, "one": b"a", "same": b"z" * 1000, "all": bytes(range(256)) * 3, "text": "é日🙂 text \0".encode() * 50, "noise": rng.randbytes(5000)}
+    streams = spark.createDataFrame(list(data.items()), "image_id string, data binary")
+    keys = ("image_id",)
+    codes = entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(entropy.byte_counts(streams), keys=keys)), keys=keys)
+    coded = entropy.encode_bytes(streams, codes)
+    assert {r.image_id: bytes(r.data) for r in entropy.decode_bytes(coded, codes).collect()} == {k: v or b"" for k, v in data.items()}
+    assert {r.image_id: (len(r.bytes), r.n) for r in coded.collect() if r.image_id in ("empty", "same")} == {"empty": (0, 0), "same": (125, 1000)}
+    relational = spark.createDataFrame([("text", k, b) for k, b in enumerate(data["text"])], "image_id string, idx int, sym int")
+    same = entropy.huffman_encode(relational, codes.where("image_id = 'text'")).first()["bytes"]
+    assert bytes(same) == next(bytes(r.bytes) for r in coded.collect() if r.image_id == "text")
+    with pytest.raises(Exception, match="no code for symbol"):
+        entropy.encode_bytes(streams, codes.where("sym <> 97")).collect()
 
 
 def test_missing_symbol(spark):
@@ -85,14 +118,35 @@ def test_spark_codes_equal_plain_ones(spark):
         assert sorted((r.sym, r.len, r.code) for r in got if r.image_id == g) == sorted(fused.code_table(x))
 
 
-def test_run_length_vector(spark):
-    values = [57, 45, 0, 0, 0, 0, 23, 0, -30, -16] + [0] * 19 + [1, 0]
-    df = spark.createDataFrame([(values,), ([0] * 63,), ([0] * 62 + [5],), ([1] * 63,)], "v array<int>")
-    got = [[(t["run"], t["len"], t["bits"]) for t in r[0]] for r in df.select(entropy.run_length(F.col("v"))).collect()]
-    assert got[0] == [(0, 6, 57), (0, 6, 45), (4, 5, 23), (1, 5, 1), (0, 5, 15), (15, 0, 0), (3, 1, 1), (0, 0, 0)]
-    assert got[1] == [(0, 0, 0)]
-    assert got[2] == [(15, 0, 0)] * 3 + [(14, 3, 5)]
-    assert got[3] == [(0, 1, 1)] * 63
+def plain_tokens(zz):
+    """(run, size, bits) of a block, by the rules: zeros before each value, sixteens apart, an end where zeros are last."""
+    out, zeros = [], 0
+    for k, value in enumerate(zz):
+        if k and value == 0:
+            zeros += 1
+            continue
+        out += [(15, 0, 0)] * (zeros // 16)
+        size = abs(value).bit_length()
+        out.append((zeros % 16, size, value if value >= 0 else (1 << size) - 1 + value))
+        zeros = 0
+    return out + [(0, 0, 0)] * (zeros > 0)
+
+
+def some_blocks():
+    rng = random.Random(14)
+    blocks = [[0] * 64, [1] * 64, [0] * 63 + [-9], [5] + [0] * 63, [0] * 17 + [3] + [0] * 46, [-32767] * 2 + [32767] * 62]
+    return blocks + [[rng.choice([0] * rng.randint(1, 30) + [rng.randint(-300, 300)]) for _ in range(64)] for _ in range(60)]
+
+
+def test_tokens_of_blocks(spark):
+    blocks = some_blocks()
+    df = spark.createDataFrame([("i", k % 3, k, "kept", zz[0], [99, *zz[1:]]) for k, zz in enumerate(blocks)], "image_id string, channel int, scan_idx bigint, more string, dc_diff int, zz array<smallint>")
+    got = entropy.tokenize_blocks(df, keep=("more",)).collect()
+    for k, zz in enumerate(blocks):
+        mine = sorted((r for r in got if r.scan_idx == k), key=lambda r: r.tok_idx)
+        assert [(r.run, r.len, r.bits) for r in mine] == plain_tokens(zz) and [r.tok_idx for r in mine] == list(range(len(mine)))
+        assert all(r.more == "kept" and r.sym == r.run * 16 + r.len and r.cls == 2 * (k % 3 > 0) + (r.tok_idx > 0) for r in mine)
+    assert entropy.tokenize_blocks(df.limit(0), keep=("more",)).count() == 0
 
 
 def test_dc_difference(spark):
@@ -140,6 +194,34 @@ def test_timing(spark):
     assert row["deviation"] == round(((121 + 1 + 144) // 3) ** 0.5)
 
 
+def test_tree_drawing_with_occurrences():
+    drawn = entropy.code_tree([(65, 1, 0), (66, 2, 0b10), (67, 3, 0b110)], {65: 9, 66: 3, 67: 1}).splitlines()
+    assert drawn == ["* (13)", "├0 65 (9)", "└1 * (4)", "   ├0 66 (3)", "   └1 * (1)", "      └0 67 (1)"]
+
+
+def test_bit_string():
+    rng = random.Random(15)
+    words = [(rng.getrandbits(n) if n else 0, n) for n in (rng.randint(0, 32) for _ in range(500))]
+    bits = "".join(format(w, f"0{n}b") for w, n in words if n)
+    for pad in "01":
+        full = bits + pad * (-len(bits) % 8)
+        w, n = np.array(words, np.int64).T
+        assert arrays.bit_string(w, n, pad == "1") == int(full, 2).to_bytes(len(full) // 8, "big")
+    assert arrays.bit_string(np.zeros(0, np.int64), np.zeros(0, np.int64)) == b""
+
+
+def test_stuffed_hex(spark, monkeypatch):
+    monkeypatch.setattr(entropy, "CHUNK", 3)
+    rng = random.Random(16)
+    raw = bytes(rng.choice((0, 7, 255)) for _ in range(40))
+    packed = spark.createDataFrame([(s, k, b) for s in (1, 2) for k, b in enumerate(raw[s:])], "image_id int, byte_idx bigint, b int")
+    got = {r.image_id: r.scan for r in entropy.stuffed_hex(packed).collect()}
+    assert got == {s: raw[s:].replace(b"\xff", b"\xff\x00").hex().upper() for s in (1, 2)}
+
+
 def test_decode_rejects_noise():
     with pytest.raises(ValueError):
-        entropy.decode_bits(b"\xff\xff\xff\xff", [(1, 1, 0), (2, 2, 2)])
+        arrays.decode_bits(b"\xff\xff\xff\xff", [(1, 1, 0), (2, 2, 2)])
+    assert arrays.decode_bits(b"\x7f", [(1, 1, 0), (2, 2, 2)]).tolist() == [1]
+    assert len(arrays.decode_bits(b"", [(1, 1, 0)])) == len(arrays.decode_bits(b"\0", [])) == 0
+    assert arrays.decode_bits(b"\0", [(1, 1, 0)], 3).tolist() == [1, 1, 1]

@@ -1,12 +1,14 @@
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
 from jpeg_decoder import decode
 
+import rasterflow
 from rasterflow import cli
 from rasterflow.functions.tables import ZIGZAG
 from rasterflow.operators import jpeg
@@ -58,7 +60,8 @@ def test_parse_tokens_and_comments(spark):
     assert got["b"].max_value == 100 and got["b"].width == 1 and got["b"]["values"] == [1, 2, 3]
     assert got["c"]["values"] == [1, 2, 3]
     for k, raw in files.items():
-        assert fused.parse_bytes(raw) == (got[k].width, got[k].height, got[k].max_value, got[k]["values"], None)
+        *head, values, error = fused.parse_bytes(raw)
+        assert (*head, values.tolist(), error) == (got[k].width, got[k].height, got[k].max_value, got[k]["values"], None)
 
 
 def test_parse_faults(spark):
@@ -70,6 +73,24 @@ def test_parse_faults(spark):
     assert ppm.pixels_of(ppm.parse(table(spark, files))).count() == 0
 
 
+@pytest.mark.parametrize("raw", [b"P3 1 1 65535 65535 0 65536", b"P3 1 1 9 1 2 99999999999999999999", b"P3 1 1 9 1 2 -1", b"P3 1 1 9 1 2 \x0b3", "P3 1 1 9 1 2 ٣".encode()])
+def test_values_that_are_no_numbers(raw):
+    assert ppm.parse_bytes(raw)[3:] == (None, "token can't be parsed: color value")
+
+
+def test_numbers_with_signs_and_zeros():
+    assert ppm.parse_bytes(b"P3 1 1 65535 +1 000000000000000000000000000065535 " + b"0" * 5000)[3].tolist() == [1, 65535, 0]
+
+
+def test_a_large_file_takes_time_in_proportion(spark):
+    side = 1000
+    raw = b"P3\n%d %d\n255\n" % (side, side) + b"1 20 255\n" * (side * side)
+    start = time.perf_counter()
+    rows = ppm.pixels_of(ppm.parse(table(spark, {"big": raw}))).selectExpr("count(*)", "sum(x)", "sum(y)", "sum(r + g + b)").first()
+    assert tuple(rows) == (side**2, side**2 * (side - 1) // 2, side**2 * (side - 1) // 2, 276 * side**2)
+    assert time.perf_counter() - start < 60
+
+
 def test_ppm_round_trip(spark):
     parsed = ppm.parse(table(spark, FILES))
     again = ppm.parse(ppm.to_ppm(ppm.pixels_of(parsed), parsed).withColumnRenamed("image_id", "path"))
@@ -111,7 +132,9 @@ def test_segments(spark):
 
 
 def test_names():
-    assert file_name("file:/a/b/c.ppm") == "c.jpeg" and file_name("7") == "7.jpeg" and "/" not in file_name("a b/ü?")
+    assert file_name("7") == "7.jpeg" and file_name("file:/a/b/c.ppm").startswith("c-") and "/" not in file_name("a b/ü?")
+    ids = ["/a/x.ppm", "/b/x.ppm", "x", "x.ppm", "x.txt", "/a/x", "", "/", "é", "e"]
+    assert len({file_name(i) for i in ids}) == len(ids)
 
 
 def test_ppm_format_and_jpeg_sink(spark, tmp_path):
@@ -122,8 +145,51 @@ def test_ppm_format_and_jpeg_sink(spark, tmp_path):
     out = tmp_path / "out"
     encoded = fused.encode_files(spark.read.format("binaryFile").load(str(tmp_path / "*.ppm")))
     encoded.select("image_id", "content").write.format("jpeg").mode("append").save(str(out))
-    assert sorted(p.name for p in out.iterdir()) == sorted(f"{n}.jpeg" for n in FILES)
-    assert (out / "small.jpeg").read_bytes() == fused.encode_pixels(*ppm.parse_bytes(SMALL)[:4])
+    assert sorted(p.name.rpartition("-")[0] for p in out.iterdir()) == sorted(FILES)
+    assert next(out.glob("small-*.jpeg")).read_bytes() == fused.encode_pixels(*ppm.parse_bytes(SMALL)[:4])
+
+
+def test_sink_keeps_images_apart(spark, tmp_path):
+    out = tmp_path / "out"
+    rows = lambda *r: spark.createDataFrame([(i, c) for i, c in r], "image_id string, content binary").repartition(2)
+    save = lambda df, mode: df.write.format("jpeg").mode(mode).save(str(out))
+    files = lambda: {p.name: p.read_bytes() for p in out.iterdir()}
+    save(rows(("/a/x.ppm", b"1"), ("/b/x.ppm", b"2"), ("x", b"3")), "append")
+    first = {file_name("/a/x.ppm"): b"1", file_name("/b/x.ppm"): b"2", "x.jpeg": b"3"}
+    assert files() == first
+    for bad in (rows(("y", b"4"), ("x", b"5"), ("y", b"6")), rows(("x", b"7"), ("z", None))):
+        with pytest.raises(Exception, match="several rows|no content"):
+            save(bad, "append")
+        assert files() == first
+    (out / "kept.txt").write_text("kept")
+    save(rows(("x", b"8"), ("w", b"9")), "overwrite")
+    assert files() == {"x.jpeg": b"8", "w.jpeg": b"9", "kept.txt": b"kept"}
+
+
+def test_source_by_folder_pattern_and_uri(spark, tmp_path):
+    for name, raw in FILES.items():
+        (tmp_path / f"{name}.ppm").write_bytes(raw)
+    load = lambda path: sorted(Path(r.image_id).stem for r in spark.read.format("ppm").load(path).collect())
+    assert load(str(tmp_path)) == load(f"file://{tmp_path}") == load(f"{tmp_path}/*.ppm") == load(f"file://{tmp_path}/*.ppm") == sorted(FILES)
+    assert load(f"{tmp_path}/s*.ppm") == ["slope", "small"] and load(f"{tmp_path}/one.ppm") == ["one"]
+    with pytest.raises(Exception, match="nothing"):
+        load(f"{tmp_path}/nothing*")
+
+
+def test_convert_files_and_folders(spark, tmp_path):
+    for name, raw in {**FILES, "bad": b"P3 1"}.items():
+        (tmp_path / f"{name}.ppm").write_bytes(raw)
+    assert rasterflow.convert_file(spark, str(tmp_path / "small.ppm"), str(tmp_path / "deep" / "x.jpeg")) is None
+    assert (tmp_path / "deep" / "x.jpeg").read_bytes() == fused.encode_pixels(*ppm.parse_bytes(SMALL)[:4])
+    assert rasterflow.convert_file(spark, str(tmp_path / "bad.ppm"), str(tmp_path / "y.jpeg")) == "missing token: height"
+    assert not (tmp_path / "y.jpeg").exists()
+    with pytest.raises(OSError, match="can't open"):
+        rasterflow.convert_file(spark, str(tmp_path / "none.ppm"), str(tmp_path / "y.jpeg"))
+    with pytest.raises(OSError, match="can't write"):
+        rasterflow.convert_file(spark, str(tmp_path / "small.ppm"), str(tmp_path / "small.ppm" / "y.jpeg"))
+    found = rasterflow.convert_folder(spark, str(tmp_path / "*.ppm"), str(tmp_path / "all"), "P444").collect()
+    assert [(Path(r.image_id).name, r.error) for r in found] == [("bad.ppm", "missing token: height")]
+    assert sorted(p.name.rpartition("-")[0] for p in (tmp_path / "all").iterdir()) == sorted(FILES)
 
 
 def test_stream(spark, tmp_path):
@@ -156,3 +222,7 @@ def test_command_line(tmp_path):
     assert (tmp_path / "x.jpeg").read_bytes() == fused.encode_pixels(*ppm.parse_bytes(SMALL)[:4])
     assert run(str(tmp_path / "bad.ppm"), str(tmp_path / "y.jpeg"), "-t", "2").returncode == 1
     assert not (tmp_path / "y.jpeg").exists()
+    gone = run(str(tmp_path / "none.ppm"), str(tmp_path / "z.jpeg"), "-t", "2")
+    assert gone.returncode == 1 and b"can't open" in gone.stderr and b"Traceback" not in gone.stderr
+    both = run(str(tmp_path / "*.ppm"), str(tmp_path / "out"), "-t", "2")
+    assert both.returncode == 1 and b"missing token: height" in both.stderr and len(list((tmp_path / "out").iterdir())) == 1

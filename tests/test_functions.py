@@ -11,14 +11,14 @@ def values(spark, column, *rows, schema="v int"):
     return [r[0] for r in df.select(column).collect()]
 
 
-def test_category_vectors(spark):
-    given = [57, 45, 1, -30, 32767, -32767, 0]
-    assert values(spark, coding.category(F.col("v")), *given) == [6, 6, 1, 5, 15, 15, 0]
-    assert values(spark, coding.category_bits(F.col("v")), *given) == [57, 45, 1, 1, 32767, 0, 0]
+def test_categories(spark):
+    given = [0, 1, -1, 2, -2, 3, -3, 4, 63, 64, -64, 1000, -1000, 32767, -32767]
+    assert values(spark, coding.category(F.col("v")), *given) == [abs(v).bit_length() for v in given]
+    assert values(spark, coding.category_bits(F.col("v")), *given) == [v if v >= 0 else v + (1 << abs(v).bit_length()) - 1 for v in given]
 
 
 def test_left_align(spark):
-    assert values(spark, coding.left_align(coding.category_bits(F.col("v")), coding.category(F.col("v"))), 57, 1, 0) == [0b1110010000000000, 0b1000000000000000, 0]
+    assert values(spark, coding.left_align(coding.category_bits(F.col("v")), coding.category(F.col("v"))), 5, -5, 1, 0) == [0b101 << 13, 0b010 << 13, 1 << 15, 0]
 
 
 def test_token_symbol(spark):
@@ -26,17 +26,19 @@ def test_token_symbol(spark):
 
 
 def test_segment_and_stuffing(spark):
-    df = spark.createDataFrame([([1, 2, 255, 0, 3],)], "b array<int>")
+    df = spark.createDataFrame([([255, 9, 255, 255, 16],)], "b array<int>")
     row = df.select(coding.hex_of(coding.stuff(F.col("b"))).alias("s"), coding.segment("FFE0", F.lit("0102")).alias("g")).first()
-    assert row["s"] == "0102FF000003"
+    assert row["s"] == "FF0009FF00FF0010"
     assert row["g"] == "FFE000040102"
 
 
-@pytest.mark.parametrize(("rgb", "expected"), [((0.25, 0.75, 0.333), (13.0, -31.6, -55.1)), ((0.0, 0.0, 0.0), (-128.0, 0.0, 0.0)), ((1.0, 1.0, 1.0), (127.0, 0.0255, 0.0255))])
-def test_ycbcr(spark, rgb, expected):
+@pytest.mark.parametrize("rgb", [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.1, 0.6, 0.9)])
+def test_ycbcr(spark, rgb):
     df = spark.createDataFrame([rgb], "r float, g float, b float")
     got = df.select(*color.ycbcr(F.col("r"), F.col("g"), F.col("b"))).first()
-    assert all(math.isclose(a, b, abs_tol=0.05) for a, b in zip(got, expected))
+    weigh = lambda w: sum(x * y for x, y in zip(rgb, w)) * 255
+    expected = (weigh(color.LUMA) - 128, weigh(color.CHROMA_BLUE), weigh(color.CHROMA_RED))
+    assert all(math.isclose(a, b, abs_tol=0.01) for a, b in zip(got, expected))
 
 
 def test_normalize_and_range(spark):
@@ -64,3 +66,9 @@ def test_names_and_aliases():
 
 def test_tables_are_whole():
     assert all(len(t) == 64 and all(0 < q < 256 for q in t) for pair in tables.QUANTIZATION.values() for t in pair)
+
+
+def test_a_segment_that_is_too_long(spark):
+    with pytest.raises(Exception, match="longer than 65535"):
+        spark.range(1).select(coding.segment("FFE0", F.repeat(F.lit("00"), 65534))).collect()
+    assert len(spark.range(1).select(coding.segment("FFE0", F.repeat(F.lit("00"), 65533))).first()[0]) == 2 * 65537
