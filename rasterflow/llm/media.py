@@ -8,13 +8,16 @@ place make one 32-bit integer.
 
 Recordings align where their integers agree: equal integers of a query and another recording vote
 for an offset; each offset with enough votes is checked by the share of unequal bits over the whole
-overlap, and of those that pass the one with the most votes is kept. ``align`` takes a stated set of queries against all recordings. Equal fingerprints are
+overlap, and of those that pass the one with the most votes is kept, of equal ones that nearest to 0, then the larger. ``align`` takes
+a stated set of queries against all recordings, in blocks: queries go to all tasks in chunks of at most QUERY_CODES integers, sorted, and each
+task finds those of its recordings there. Votes are summed where they arise, for whole recordings, and only alignments leave
+a task, so an integer that very many recordings share costs time where it stands and is never a join's hot key. Equal fingerprints are
 one class, represented by its smallest id with the number of its rows, so
-copies aren't expanded; a class aligns with itself at offset 0, without voting; integers that very many classes share make skewed joins, which
-adaptive execution splits, and votes are summed before they are shuffled.
+copies aren't expanded; a class aligns with itself at offset 0, without voting.
 
 Defined cases: null audio, or too short for one integer, has an empty fingerprint and aligns with
-nothing; equal fingerprints of repeated rows are one class; other columns are ignored; an
+nothing, as does one with a null id; equal fingerprints of repeated rows are one class, and rows of one id with other
+fingerprints are recordings of their own; ties are settled as said above; other columns are ignored, whatever their names; an
 empty table gives an empty result. Odd trailing bytes are dropped; audio is never cut otherwise.
 """
 
@@ -39,6 +42,10 @@ LEVELS = (-0.25, 0.0, 0.25)
 #: Equal integers that an offset needs, and the share of unequal bits that it may have.
 MIN_VOTES = 4
 MAX_ERROR = 0.3
+#: Integers, and rows, of the queries that are broadcast at once.
+QUERY_CODES, QUERY_ROWS = 1 << 20, 1 << 14
+#: Pairs of equal integers, or places compared, that a task holds at once.
+MATCHES = 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -125,12 +132,105 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col).cast("bigint").alias("id"), media_col).mapInArrow(run, "id bigint, codes array<bigint>")
 
 
-def bit_error(a: Column, b: Column, offset: Column) -> Column:
-    """The share of unequal bits of two code arrays where place p of ``a`` meets p + offset of ``b``."""
-    start = F.greatest(F.lit(0), -offset)
-    n = F.least(F.size(a) - start, F.size(b) - start - offset)
-    unequal = F.aggregate(F.zip_with(F.slice(a, start + 1, n), F.slice(b, start + offset + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return unequal / (32 * n)
+class _Asked:
+    """A chunk of queries: keys, all their codes in order, and the places of the codes by code."""
+
+    def __init__(self, keys: list[str], codes):
+        import numpy as np
+
+        self.keys, self.sizes = keys, np.array([len(c) for c in codes])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.concatenate(codes).astype(np.uint32)
+        self.order = np.argsort(self.codes, kind="stable")
+        self.sorted = self.codes[self.order]
+        self.owner = np.repeat(np.arange(len(keys)), self.sizes)
+        self.number = {k: n for n, k in enumerate(keys)}
+
+    def votes(self, codes, min_votes: int):
+        """(query, offset, votes) of a recording's codes."""
+        import numpy as np
+
+        low, high = np.searchsorted(self.sorted, codes, "left"), np.searchsorted(self.sorted, codes, "right")
+        n, held = high - low, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        ends, at, span = np.cumsum(n), 0, len(codes) + int(self.sizes.max())
+        while at < len(codes):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + MATCHES, "right")))
+            some = n[at:stop]
+            here = np.repeat(np.arange(at, stop), some)
+            there = self.order[np.repeat(low[at:stop] - (np.cumsum(some) - some), some) + np.arange(some.sum())]
+            query = self.owner[there]
+            offset = here - (there - self.first[query])
+            held.append(np.unique(query * (2 * span) + offset + span, return_counts=True))
+            at = stop
+        pair, votes = (np.concatenate(x) for x in zip(*held))
+        if len(held) > 2:
+            pair, number = np.unique(pair, return_inverse=True)
+            votes = np.bincount(number, votes).astype(np.int64)
+        enough = votes >= min_votes
+        return pair[enough] // (2 * span), pair[enough] % (2 * span) - span, votes[enough]
+
+    def errors(self, codes, query, offset):
+        """The share of unequal bits of each query where its place p meets p + offset of ``codes``."""
+        import numpy as np
+
+        out = np.ones(len(query))
+        start = np.maximum(0, -offset)
+        n = np.minimum(self.sizes[query] - start, len(codes) - start - offset)
+        ends, at = np.cumsum(n), 0
+        while at < len(query):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + MATCHES, "right")))
+            some = n[at:stop]
+            nth = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            mine = self.codes[np.repeat((self.first[query] + start)[at:stop], some) + nth]
+            other = codes[np.repeat((start + offset)[at:stop], some) + nth]
+            out[at:stop] = np.add.reduceat(np.bitwise_count(mine ^ other), np.cumsum(some) - some, dtype=np.int64) / (32 * some)
+            at = stop
+        return out
+
+
+def _aligner(shared, min_votes: int, max_error: float):
+    """The best alignment of each query of a chunk with each class (key, codes) of a batch."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked = shared.value
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for k in range(batch.num_rows):
+                key, codes = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_numpy().astype(np.uint32)
+                query, offset, votes = asked.votes(codes, min_votes)
+                other = query != asked.number.get(key, -1)
+                query, offset, votes = query[other], offset[other], votes[other]
+                if not len(query):
+                    continue
+                error = asked.errors(codes, query, offset)
+                fine = np.flatnonzero(error <= max_error)
+                fine = fine[np.lexsort((-offset[fine], np.abs(offset[fine]), -votes[fine], query[fine]))]
+                fine = fine[np.concatenate([np.ones(min(1, len(fine)), bool), query[fine][1:] != query[fine][:-1]])]
+                for column, values in zip(out, ([asked.keys[q] for q in query[fine].tolist()], [key] * len(fine), offset[fine].tolist(), votes[fine].tolist(), error[fine].tolist())):
+                    column += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64()))], ["q", "r", "offset", "votes", "bit_error"])
+
+    return run
+
+
+def _chunks(asked: DataFrame):
+    """The queries (key, codes) in chunks, in order of their keys; one with more than QUERY_CODES integers is alone."""
+    import numpy as np
+
+    low = None
+    while True:
+        left = asked if low is None else asked.where(F.col("key") > low)
+        # no fingerprint is empty, so a chunk has at most QUERY_CODES rows; the running sum is over these alone
+        before = F.sum(F.size("codes")).over(W.orderBy("key").rowsBetween(W.unboundedPreceding, -1))
+        some = left.orderBy("key").limit(QUERY_ROWS).withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < QUERY_CODES)).select("key", "codes").toArrow()
+        if not some.num_rows:
+            return
+        keys = some["key"].to_pylist()
+        yield _Asked(keys, [c.values.to_numpy() for c in some["codes"]])
+        low = max(keys)
 
 
 def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
@@ -139,31 +239,26 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_e
     A row for each query and class of equal fingerprints: query_id, match_id (the class's
     smallest id but the query's own), n_rows (of the class, without the query's own), offset, votes, bit_error.
     """
-    rows = materialize(prints.where(F.col("id").isNotNull() & (F.size("codes") > 0)).withColumn("key", F.md5(F.array_join("codes", ","))), "prints")
+    spark = prints.sparkSession
+    rows = prints.select("id", "codes", is_query.alias("asks")).where(F.col("id").isNotNull() & (F.size("codes") > 0))
+    rows = materialize(rows.withColumn("key", F.md5(F.array_join("codes", ","))), "prints")
     # the two smallest ids stand for a class: a query isn't its own match
-    classes = rows.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n_rows"), F.first("codes").alias("codes"))
-    asked = rows.where(is_query).select("key", "id")
-    asked_keys = materialize(asked.select("key").distinct().join(classes, "key").select("key", "codes"), "asked")
-    q = asked_keys.select(F.col("key").alias("q"), F.posexplode("codes").alias("q_at", "code"))
-    r = classes.select(F.col("key").alias("r"), F.posexplode("codes").alias("r_at", "code"))
-    votes = q.join(r, "code").where(F.col("q") != F.col("r")).groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
-    votes = votes.groupBy("q", "r").agg(F.collect_list(F.struct("votes", "offset")).alias("votes"))
-    paired = votes.join(asked_keys.select(F.col("key").alias("q"), F.col("codes").alias("q_codes")), "q").join(classes.select(F.col("key").alias("r"), F.col("codes").alias("r_codes"), "low", "n_rows"), "r")
-    tried = F.transform("votes", lambda v: F.struct(v["votes"].alias("votes"), (-F.abs(v["offset"])).alias("near"), v["offset"].alias("offset"), bit_error(F.col("q_codes"), F.col("r_codes"), v["offset"]).alias("bit_error")))
-    checked = paired.withColumn("b", F.array_max(F.filter(tried, lambda t: t["bit_error"] <= max_error))).where(F.col("b").isNotNull())
-    checked = checked.select("q", "r", "low", "n_rows", "b.offset", "b.votes", "b.bit_error")
-    same = asked_keys.select("key").join(classes, "key").where(F.col("n_rows") > 1)
-    same = same.select(F.col("key").alias("q"), F.col("key").alias("r"), "low", "n_rows", F.lit(0).alias("offset"), F.size("codes").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
-    checked = checked.unionByName(same)
-    matched = checked.select("q", "r", "low", "n_rows", "offset", "votes", "bit_error").join(asked.select(F.col("key").alias("q"), F.col("id").alias("query_id")), "q")
+    second = rows.select("key", "id").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("n") <= 2).groupBy("key").agg(F.max("id").alias("next"))
+    classes = rows.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n_rows"), F.first("codes").alias("codes"), F.max("asks").alias("asks"))
+    classes = materialize(classes.join(second, "key"), "classes")
+    found = spark.createDataFrame([], "q string, r string, offset int, votes bigint, bit_error double")
+    for chunk in _chunks(classes.where("asks").select("key", "codes")):
+        some = classes.select("key", "codes").mapInArrow(_aligner(spark.sparkContext.broadcast(chunk), min_votes, max_error), found.schema)
+        found = found.unionAll(materialize(some, "alignments"))
+    same = classes.where(F.col("asks") & (F.col("n_rows") > 1)).select(F.col("key").alias("q"), F.col("key").alias("r"), F.lit(0).alias("offset"), F.size("codes").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    asked = rows.where("asks").select(F.col("key").alias("q"), F.col("id").alias("query_id"))
+    matched = found.unionAll(same).join(asked, "q").join(classes.select(F.col("key").alias("r"), "low", "next", "n_rows"), "r")
     own = F.col("q") == F.col("r")
-    second = rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("n") == 2).select(F.col("key").alias("r"), F.col("id").alias("next"))
-    matched = matched.join(second, "r", "left")
     return matched.select(
         "query_id",
         F.when(F.col("low") == F.col("query_id"), F.col("next")).otherwise(F.col("low")).alias("match_id"),
         (F.col("n_rows") - own.cast("long")).alias("n_rows"),
-        F.col("offset").cast("int").alias("offset"),
+        "offset",
         "votes",
         "bit_error",
     )

@@ -124,6 +124,73 @@ def test_align_short_copies_without_votes(spark):
     assert got == [(2, 3, 1, 0, 2, 0.0), (3, 2, 1, 0, 2, 0.0)]
 
 
+def plain_alignments(prints, queries):
+    """All offsets of all pairs, place by place."""
+    classes = {}
+    for i, codes in prints:
+        if i is not None and codes:
+            classes.setdefault(tuple(codes), []).append(i)
+    out = []
+    for q, ids in classes.items():
+        for i in ids:
+            if i not in queries:
+                continue
+            for r, others in classes.items():
+                name = sorted(others)[0] if sorted(others)[0] != i else sorted(others)[1] if len(others) > 1 else None
+                if q == r:
+                    if len(others) > 1:
+                        out.append((i, name, len(others) - 1, 0, len(q), 0.0))
+                    continue
+                tried = []
+                for offset in range(1 - len(q), len(r)):
+                    met = [(q[p], r[p + offset]) for p in range(len(q)) if 0 <= p + offset < len(r)]
+                    votes, error = sum(a == b for a, b in met), sum((a ^ b).bit_count() for a, b in met) / (32 * len(met))
+                    if votes >= M.MIN_VOTES and error <= M.MAX_ERROR:
+                        tried.append((votes, -abs(offset), offset, error))
+                if tried:
+                    votes, _, offset, error = max(tried)
+                    out.append((i, name, len(others), offset, votes, error))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("codes", "rows", "matches"), [(M.QUERY_CODES, M.QUERY_ROWS, M.MATCHES), (60, 3, 7), (1, 1, 1)])
+def test_align_against_all_offsets(spark, monkeypatch, codes, rows, matches):
+    for name, value in (("QUERY_CODES", codes), ("QUERY_ROWS", rows), ("MATCHES", matches)):
+        monkeypatch.setattr(M, name, value)
+    rng = random.Random(17)
+    silence, base = 0xFFFFFFFF, [rng.getrandbits(32) for _ in range(30)]
+    prints = [(k, [silence] * rng.randint(1, 12)) for k in range(8)]  # one common integer in all
+    for k in range(10, 30):
+        cut = base[rng.randint(0, 12) : rng.randint(14, 30)]
+        noisy = [c if rng.random() < 0.6 else c ^ (1 << rng.randrange(32)) for c in cut]
+        prints.append((k, [silence] * rng.randint(0, 6) + noisy + [rng.getrandbits(32) for _ in range(rng.randint(0, 5))]))
+    prints += [(40, base), (41, base), (42, base), (10, base[:9]), (43, []), (44, None), (None, base), (45, base * 2)]
+    queries = {0, 3, 10, 11, 12, 20, 40, 41, 43, 45}
+    df = spark.createDataFrame(prints, "id long, codes array<long>").withColumn("key", F.lit(1)).withColumn("q", F.lit(2)).withColumn("low", F.lit(3))
+    got = sorted(map(tuple, M.align(df, F.col("id").isin(*queries)).collect()))
+    expected = plain_alignments(prints, queries)
+    assert len(expected) > 30 and [g[:5] for g in got] == [e[:5] for e in expected] and np.allclose([g[5] for g in got], [e[5] for e in expected])
+
+
+def test_fingerprint_equals_plain_sums():
+    rng = np.random.default_rng(18)
+    for pcm in (M.play(TUNES[0]), rng.normal(0, 4000, 9000).astype("<i2").tobytes(), bytes(20000)):
+        image, out = M.chroma(np.frombuffer(pcm, "<i2") / 32768.0), []
+        for at in range(len(image) - M.SPAN + 1):
+            code = 0
+            for kind, y, height, width in M.filters():
+                part = image[at : at + width, y : y + height]
+                w, h = width // 2, height // 2
+                one = (part[:w], part[:, :h], (part[:w, :h], part[w:, h:]), part[width // 4 : width - width // 4])[kind]
+                a = sum(x.sum() for x in one) if isinstance(one, tuple) else one.sum()
+                value = math.log((1 + a) / (1 + part.sum() - a))
+                level = sum(value > x + 1e-9 for x in M.LEVELS)
+                code = code << 2 | level ^ level >> 1
+            out.append(code)
+        got = M.fingerprint(pcm)
+        assert len(got) == len(out) and sum((int(a) ^ b).bit_count() for a, b in zip(got, out)) <= len(out) // 50
+
+
 def test_align_empty(spark):
     df = spark.createDataFrame([], "k long, audio binary")
     assert M.align(M.fingerprints(df, "k", "audio"), F.lit(True)).count() == 0
