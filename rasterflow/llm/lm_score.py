@@ -11,16 +11,17 @@ shorter ones, and what is excluded depends only on the context escaped from.
 
 How it is spread out, without a table that all tasks hold:
 
-1. Documents are dealt by a hash of their id to buckets of about BUCKET_BYTES. Each bucket's task
+1. Documents are dealt by a hash of their id and text to buckets of about BUCKET_BYTES. Each bucket's task
    counts its n-grams of ORDER + 1 bytes, packed in one row for each shard, and its words, in rows.
-   A shard has all n-grams of a hash of the two bytes before the last, hence all
+   A shard has all n-grams of a hash of the SHALLOW + 1 bytes before the last, hence all
    longer contexts of each of its n-grams; there are MAX_SHARDS at most.
 2. Counts are merged shard by shard, GROUP buckets at a time, then FAN_IN merged parts at a
    time, until a shard is one row: its part of the trie, which grows with the kinds of n-grams, not with the text.
-   Contexts of one byte or none are one table of at most 65,536 counts, which is broadcast. Each
-   shard's log probabilities are worked out.
-3. A shard's part meets what the buckets ask of it, GROUP buckets at a time; words are summed and joined as rows.
-4. Each bucket meets its answers and adds up its documents.
+   Contexts of SHALLOW bytes or fewer are one table, of three-byte strings and their counts, which is broadcast: 2^24 rows, 200 MB, at the
+   very most, and some hundred thousand in texts. Each shard's log probabilities are worked out.
+3. A shard's part goes once to a task for each COPY buckets, which holds it while what the buckets ask of it streams by;
+   words are summed and joined as rows.
+4. Each bucket meets its answers and adds up its documents. Log probabilities travel in single precision, sums are in double.
 
 So what is gathered grows with the corpus, a task holds a bucket or a part of
 a shard, and there are more of them for more text. ``adaptive_bits`` scores one text by a model that learns as it reads.
@@ -30,7 +31,7 @@ seen c times among N training tokens of V kinds has log10((c + 1) / (N + V + 1))
 
 Defined cases: a null or empty text is its end alone; a null id counts as an empty text
 for its remainder; repeated rows count and are scored each; without training rows all
-counts are 0; other columns are ignored; an empty table gives an empty result. Texts are never cut.
+counts are 0; nothing depends on the order of documents, so there are no ties; other columns are ignored; an empty table gives an empty result. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ MARK = 255
 MAX_SHARDS = 4096
 #: Buckets whose rows of a shard one task takes, and merged parts that the next step takes.
 GROUP, FAN_IN = 4096, 16
+#: Buckets that one copy of a shard's part answers.
+COPY = 1 << 18
+#: Bytes of the contexts that are counted apart from the shards.
+SHALLOW = 2
 
 COUNTED = "bucket int, shard int, grams binary, n binary, word binary, c bigint"
 MERGED = "shard int, part int, grams binary, n binary"
@@ -123,7 +128,7 @@ def _chunks(texts):
 def _shard_of(grams, shards: int):
     import numpy as np
 
-    return (((((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B1)) >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+    return (((((grams >> np.uint64(8)) & np.uint64((1 << 8 * (SHALLOW + 1)) - 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
 def _counter(shards: int):
@@ -181,36 +186,30 @@ def _grams(packed):
     return np.cumsum(_unpack(packed.as_py(), np.uint64), dtype=np.uint64)
 
 
-def _pairs(batches):
-    """The training counts of (last byte, byte), from packed rows."""
+def _shallow(batches):
+    """The training counts of the last SHALLOW + 1 bytes, from packed rows."""
     import numpy as np
     import pyarrow as pa
 
-    total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for grams, n in zip(batch.column(0), batch.column(1)):
             g, n = _grams(grams), _unpack(n.as_py(), np.int64)
-            np.add.at(total, (g & np.uint64(0xFFFF)).astype(np.int64), n)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["pair", "n"])
+            g, n = _merged((g & np.uint64((1 << 8 * (SHALLOW + 1)) - 1))[n > 0], n[n > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(n, pa.int64())], ["gram", "n"])
 
 
 class Trie:
-    """Counts of all contexts of the given n-grams; ``pairs`` has those of one byte before."""
+    """Counts of all contexts of the given n-grams; ``shallow`` has those of SHALLOW bytes before, (sorted strings, counts)."""
 
-    def __init__(self, grams, counts, pairs):
+    def __init__(self, grams, counts, shallow):
         import numpy as np
 
         seen = counts > 0
         grams, counts = grams[seen], counts[seen]
         self.keys, self.counts, self.contexts, self.total, self.kinds = {}, {}, {}, {}, {}
         for k in range(ORDER, -1, -1):
-            if k > 1:
-                self.keys[k], self.counts[k] = _merged(grams & np.uint64((1 << 8 * (k + 1)) - 1), counts)
-            else:
-                table = pairs if k else pairs.reshape(256, 256).sum(axis=0)
-                at = np.flatnonzero(table)
-                self.keys[k], self.counts[k] = at.astype(np.uint64), table[at]
+            some, n = (grams, counts) if k > SHALLOW else shallow
+            self.keys[k], self.counts[k] = _merged(some & np.uint64((1 << 8 * (k + 1)) - 1), n)
             contexts, first = np.unique(self.keys[k] >> np.uint64(8), return_index=True)
             self.contexts[k] = contexts
             self.total[k] = np.add.reduceat(self.counts[k], first) if len(first) else np.zeros(0, np.int64)
@@ -271,14 +270,21 @@ def _resolver(shared):
     return resolve
 
 
-def _answer(asked, model):
-    """The log probabilities of each bucket's n-grams in a shard."""
+def _answer(batches):
+    """The log probabilities of each bucket's n-grams in a shard: rows (kind, bucket, grams, logs), a shard's part before what is asked of it."""
     import numpy as np
     import pyarrow as pa
 
-    every, logs = _grams(model["grams"][0]), _unpack(model["logs"][0].as_py(), np.float32)
-    found = [_pack(logs[np.searchsorted(every, _grams(x))]) for x in asked["grams"]]
-    return pa.table({"bucket": asked["bucket"], "grams": asked["grams"], "logs": pa.array(found, pa.binary())})
+    every = logs = None
+    for batch in batches:
+        kind, found = batch.column(0).to_pylist(), []
+        for k, asks in enumerate(kind):
+            if asks:
+                found.append(_pack(logs[np.searchsorted(every, _grams(batch.column(2)[k]))]))
+            else:
+                every, logs = _grams(batch.column(2)[k]), _unpack(batch.column(3)[k].as_py(), np.float32)
+        some = batch.filter(pa.array([bool(x) for x in kind]))
+        yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(found, pa.binary())], ["bucket", "grams", "logs"])
 
 
 class _Look:
@@ -345,7 +351,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
     parts = max(1, math.ceil(text_bytes(rows, "text") / bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     ends = rows.where("train").count()
     shards, groups = min(parts, MAX_SHARDS), math.ceil(parts / GROUP)
     counted = materialize(rows.groupBy("bucket").applyInArrow(_counter(shards), COUNTED), "counts")
@@ -356,18 +362,18 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     while left > 1:
         merged = materialize(merged.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("shard", "part").applyInArrow(_merge, MERGED), "merged")
         left = math.ceil(left / FAN_IN)
-    found = merged.select("grams", "n").mapInArrow(_pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(1 << 16, np.int64)  # at most so many rows
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(pairs)
+    found = merged.select("grams", "n").mapInArrow(_shallow, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    shared = spark.sparkContext.broadcast((found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()))  # bounded: see above
+    no, copies = F.lit(None), math.ceil(parts / COPY)
     model = merged.select("shard", "grams", "n").mapInArrow(_resolver(shared), "shard int, grams binary, logs binary")
-    model = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    answers = asked.drop("n").groupBy("shard", "part").cogroup(model.groupBy("shard", "part")).applyInArrow(_answer, ANSWERED)
+    model = model.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), no.cast("int").alias("bucket"), "grams", "logs")
+    asks = asked.select("shard", F.expr(f"cast(bucket div {COPY} as int)").alias("copy"), F.lit(1).alias("kind"), "bucket", "grams", no.cast("binary").alias("logs"))
+    stream = model.unionAll(asks).repartition(shards * copies, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    answers = stream.select("kind", "bucket", "grams", "logs").mapInArrow(_answer, ANSWERED)
     words = counted.where("word is not null").select("bucket", "word", "c")
     totals = materialize(words.groupBy("word").agg(F.sum("c").alias("c")), "words")
     total = totals.agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
     tokens, kinds = (total["tokens"] or 0) + ends, (total["kinds"] or 0) + (ends > 0)
-    no = F.lit(None)
     by_word = words.select("bucket", "word").join(totals, "word").select("bucket", no.cast("binary").alias("grams"), no.cast("binary").alias("logs"), "word", "c")
     by_gram = answers.select("bucket", "grams", "logs", no.cast("binary").alias("word"), no.cast("bigint").alias("c"))
     return rows.groupBy("bucket").cogroup(by_gram.unionAll(by_word).groupBy("bucket")).applyInArrow(_scorer(tokens, kinds, ends), SCORED)

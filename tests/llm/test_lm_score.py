@@ -62,6 +62,7 @@ def test_against_brute_force(spark, monkeypatch, bucket, group):
     monkeypatch.setattr(L, "GROUP", group)
     monkeypatch.setattr(L, "FAN_IN", 2)
     monkeypatch.setattr(L, "MAX_SHARDS", 3)
+    monkeypatch.setattr(L, "COPY", 2 if group == 1 else 1 << 18)
     rows = corpus()
     train = language_id.remainder(by=7) != 2
     found = L.lm_scores(documents(spark, rows), train, bucket_bytes=bucket).collect()
@@ -75,14 +76,22 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 101, 200).astype(np.uint8)) for _ in range(5)]
     grams, counts = np.unique(L.grams_of(texts)[0], return_counts=True)
-    pairs = np.zeros(1 << 16, np.int64)
-    np.add.at(pairs, (grams & np.uint64(0xFFFF)).astype(np.int64), counts)
-    trie = L.Trie(grams, counts, pairs)
+    trie = L.Trie(grams, counts, L._merged(grams & np.uint64((1 << 8 * (L.SHALLOW + 1)) - 1), counts))
     for context in (b"abcda", b"zzzzz", b"zzzab", b"zabcd", b"\xff" * 5):
         base = np.uint64(int.from_bytes(context, "big")) << np.uint64(8)
         assert (10 ** trie.log10(base + np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
 
 
+def test_one_id_and_very_common_bytes(spark):
+    """All rows of one id, most of them of one byte: buckets and shards go by texts and longer contexts too."""
+    rng = random.Random(8)
+    rows = [(7, "a" * rng.randint(0, 300)) for _ in range(60)] + [(None, "ab" * rng.randint(0, 90) + f" {k}") for k in range(40)]
+    found = L.lm_scores(documents(spark, rows), language_id.remainder(by=7) != 2, bucket_bytes=2000).collect()
+    key = lambda r: (r[0] is not None, r[2], r[6])
+    for got, expected in zip(sorted(map(tuple, found), key=key), sorted(brute(rows), key=key), strict=True):
+        assert got[:5] == expected[:5] and got[6] == pytest.approx(expected[6], rel=1e-5)
+
+
 def test_no_training_rows_and_empty(spark):
     rows = L.lm_scores(documents(spark, [(1, "ab"), (2, None)]), F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.held_out for r in rows)
