@@ -8,11 +8,11 @@ one rank in each of at most four levels, and nothing else is decoded.
 A file of segments: Parquet rows, written and committed by Spark on whatever store the
 shared folder is in, each with one segment's bytes (layout: see ``pack``), its documents
 and their lengths. Documents are range-partitioned by id, so segments stand in ascending
-order of (part, seq), and a document's place follows from a sum over parts - one row for
-each range partition - and the running count that the writer keeps within a part.
+order of (part, seq), and a document's place follows from a sum over parts, in two steps - blocks of parts, then parts within
+their block - and the running count that the writer keeps within a part.
 
 Defined cases: a null or empty text is its end id alone; a null document id sorts first;
-repeated ids each get their own entry; other columns are ignored; an empty table gives an
+rows of one id stand in the order of a hash of their texts, and repeated rows each get their own entry; other columns are ignored; an empty table gives an
 empty result. A text is never cut: a long one makes a long segment.
 """
 
@@ -24,6 +24,7 @@ import zlib
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterflow.llm.common import materialize, text_bytes
@@ -37,6 +38,8 @@ PART_BYTES = 16 << 20
 END_ID = 0
 #: Range partitions up to which their offsets are broadcast.
 BROADCAST_PARTS = 100_000
+#: Range partitions whose counts are summed first.
+BLOCK_PARTS = 4096
 
 SEGMENTS = "part int, seq int, first long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 ENTRIES = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint"
@@ -152,7 +155,8 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
     """Tokenize, write the segment files in ascending id order, and return the written table."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(1, math.ceil(text_bytes(rows, "text") / part_bytes))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text"))  # texts of one id are spread as well
+    rows = rows.repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     return materialize(rows.mapInArrow(_writer(tokenizer, end_id, segment_ids), SEGMENTS), "token-files")
 
 
@@ -178,11 +182,13 @@ def read_token_files(segments: DataFrame) -> DataFrame:
 
     ``last_id`` is fetched by random access.
     """
-    spark = segments.sparkSession
-    totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each range partition
-    bases = list(zip((p for p, _ in totals), accumulate([0, *(n for _, n in totals)])))
-    base = spark.createDataFrame(bases, "part int, base bigint")
-    if len(bases) <= BROADCAST_PARTS:
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.expr(f"part div {BLOCK_PARTS}"))
+    totals = materialize(totals, "token-counts")
+    earlier = lambda over: F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n"))  # a row for each BLOCK_PARTS parts: these are summed in one task
+    blocks = blocks.select("block", earlier(W.orderBy("block")).alias("before"))
+    base = totals.withColumn("inside", earlier(W.partitionBy("block").orderBy("part"))).join(blocks, "block").select("part", (F.col("before") + F.col("inside")).alias("base"))
+    if totals.count() <= BROADCAST_PARTS:
         base = F.broadcast(base)
     rows = segments.join(base, "part").select("first", "base", "doc_ids", "lengths", "payload")
     return rows.mapInArrow(_entries, ENTRIES)
