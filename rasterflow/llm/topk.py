@@ -1,20 +1,20 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A vector's dimensions are dealt over SITES sites: a site's table has, for each vector, its part of the
-dimensions, and a site's list, for a query, the partial score of every candidate. A score is the sum over sites.
+Candidates are dealt over tasks, and a vector's dimensions over SITES sites: a task has, for each site, the list of
+its candidates' partial scores for a query. A score is the sum over sites.
 
-1. Every task sends its local lists: for each query and site the k best by partial score. The k
-   best of each site are resolved, and the k-th best score so found is a cutoff that no answer is below.
+1. Every task sends, for each query, the k best scores among the k best entries of each of its local lists. The k-th
+   best of all these is a cutoff that no answer is below.
 2. The cutoffs go to all tasks with the queries. A candidate that reaches a query's cutoff has, at some
-   site, a partial score of at least cutoff / SITES; such entries are collected, but for those
-   that the lengths of the other parts rule out: no score is over the partial one plus
-   the product of the two other parts' lengths.
-3. Entries are summed by query and candidate. With cutoff / SITES for each site that
-   sent none, the sum bounds the score; where the bound is below the cutoff, the candidate is dropped. Sums of all sites
-   are exact already; the scores of the others are resolved from the whole vectors.
+   site, a partial score of at least cutoff / SITES; only such entries are collected. Candidates lie by length, longest
+   first, and a query leaves out a batch of them of which the longest, by length alone, can't reach its cutoff.
+3. The scores of the entries are resolved exactly; those that reach the cutoff, the k best of each task, are ranked.
 
-Queries are broadcast with their cutoffs in chunks of at most QUERY_BYTES, one chunk after the other; all
-else is rows. A task holds a chunk, a batch of parts and SLICE cells of partial scores.
+Queries are broadcast with their cutoffs in chunks of at most QUERY_BYTES, one chunk after the other; candidates never
+move. A task holds a chunk, a batch of candidates, SLICE partial scores of each site, and k entries for each query.
+
+The sites' lists are in one task as they are dense: with a table for each site, summed by query and candidate,
+a third of all pairs had an entry in some site.
 
 Defined cases: vectors that are null or hold a null or a component that isn't finite take no part, nor do rows
 without an id; shorter vectors end in zeros; repeated rows are candidates each, and as queries have answers
@@ -40,7 +40,7 @@ SITES = 4
 QUERY_BYTES = 16 << 20
 SLICE = 1 << 21
 
-ENTRIES = "query int, row bigint, vec_id bigint, partial bigint"
+ENTRIES = "query int, vec_id bigint, score bigint"
 MOST = 2**63 - 1
 
 
@@ -58,21 +58,12 @@ def _top(matrix) -> int:
     return max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)))
 
 
-def _product(a, b):
-    """a @ b.T, exact: floats where sums stay below 2^53, else Python integers."""
-    kind = object if a.shape[1] * _top(a) * _top(b) >= 2**53 else float
-    out = a.astype(kind) @ b.astype(kind).T
-    if kind is object and out.size and max(map(abs, out.ravel())) > MOST:
-        raise ValueError("a score is beyond 64 bits")
-    return out
-
-
-def _whole(values) -> list[int]:
-    return [int(x) for x in values]
-
-
-def edges(width: int) -> list[int]:
-    return [round(k * width / SITES) for k in range(SITES + 1)]
+def _partials(queries, rows):
+    """The partial scores [site][query, row], exact: floats where sums stay below 2^53, else Python integers."""
+    width = queries.shape[1]
+    kind = object if width * _top(queries) * _top(rows) >= 2**53 else float
+    at = [round(k * width / SITES) for k in range(SITES + 1)]
+    return [queries[:, a:b].astype(kind) @ rows[:, a:b].astype(kind).T for a, b in zip(at, at[1:])]
 
 
 def _lengths(matrix):
@@ -82,122 +73,66 @@ def _lengths(matrix):
     return np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
 
 
-class _Chunk:
-    """Queries that go to all tasks: their ids, vectors, and cutoffs once these are known."""
-
-    def __init__(self, ids, vectors, cutoffs=None):
-        self.ids, self.vectors, self.cutoffs = ids, vectors, cutoffs
-
-    def parts(self, site: int):
-        at = edges(self.vectors.shape[1])
-        return self.vectors[:, at[site] : at[site + 1]]
-
-    def rest(self, site: int):
-        import numpy as np
-
-        at = edges(self.vectors.shape[1])
-        return _lengths(np.delete(self.vectors, np.s_[at[site] : at[site + 1]], axis=1))
-
-
-def _heads(shared, k: int):
-    """Phase 1: the k best of every query in a task's list of each site."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        chunk, best = shared.value, {}
-        for batch in batches:
-            sites = batch.column(0).to_numpy()
-            for site in np.unique(sites).tolist():
-                some = batch.filter(pa.array(sites == site))
-                queries = chunk.parts(site)
-                ids, rows, parts = some.column(1).to_numpy(), some.column(2).to_numpy(), _matrix(some.column(3), queries.shape[1])
-                step = max(1, SLICE // len(chunk.ids))
-                for at in range(0, len(rows), step):
-                    scores = _product(queries, parts[at : at + step])
-                    scores = np.where(chunk.ids[:, None] == ids[None, at : at + step], -np.inf, scores)
-                    number = np.broadcast_to(np.arange(at, min(at + step, len(rows))), scores.shape)
-                    held = best.get(site)
-                    score, row, vec = scores, rows[number], ids[number]
-                    if held is not None:
-                        score, row, vec = (np.concatenate(x, axis=1) for x in ((held[0], score), (held[1], row), (held[2], vec)))
-                    if score.shape[1] > k:
-                        pick = np.argsort(-score, axis=1, kind="stable")[:, :k] if score.dtype == object else np.argpartition(-score, k - 1, axis=1)[:, :k]
-                        score, row, vec = (np.take_along_axis(x, pick, axis=1) for x in (score, row, vec))
-                    best[site] = score, row, vec
-        for site, (score, row, vec) in best.items():
-            query, column = np.nonzero(score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array([site] * len(query), pa.int32()), pa.array(query, pa.int32()), pa.array(row[query, column]), pa.array(vec[query, column]), pa.array(_whole(score[query, column]), pa.int64())], ["site", "query", "row", "vec_id", "partial"])
-
-    return run
-
-
-def _sufficient(shared):
-    """Phase 2: entries of a site that may reach the cutoff."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        chunk = shared.value
-        cutoff = np.array([-np.inf if c is None else c for c in chunk.cutoffs], object if any(c is not None and abs(c) >= 2**53 for c in chunk.cutoffs) else float)[:, None]
-        # far above the rounding of the lengths' product, and of the sum
-        slack = 1 + 1e-9 * np.array([0 if c is None else abs(float(c)) for c in chunk.cutoffs])[:, None]
-        for batch in batches:
-            sites = batch.column(0).to_numpy()
-            for site in np.unique(sites).tolist():
-                some = batch.filter(pa.array(sites == site))
-                queries, others = chunk.parts(site), chunk.rest(site)[:, None]
-                ids, rows, parts, rest = some.column(1).to_numpy(), some.column(2).to_numpy(), _matrix(some.column(3), queries.shape[1]), some.column(4).to_numpy()
-                step = max(1, SLICE // len(chunk.ids))
-                for at in range(0, len(rows), step):
-                    scores = _product(queries, parts[at : at + step])
-                    fits = (chunk.ids[:, None] != ids[None, at : at + step]) & (scores * SITES >= cutoff)
-                    fits &= (scores.astype(np.float64) + others * rest[None, at : at + step]) * (1 + 1e-9) + slack >= cutoff.astype(np.float64)
-                    query, column = np.nonzero(fits)
-                    if len(query):
-                        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(rows[at + column]), pa.array(ids[at + column]), pa.array(_whole(scores[query, column]) if scores.dtype == object else scores[query, column].astype(np.int64))], ["query", "row", "vec_id", "partial"])
+def _best(k: int, *parts):
+    """The k best entries of each query, of arrays (query, vec_id, score)."""
+    import numpy as np
 
-    return run
+    query, vec, score = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((vec, -score, query)) if score.dtype != object else np.array(sorted(range(len(score)), key=lambda n: (query[n], -score[n], vec[n])), np.int64)
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(query)), bool), query[1:] != query[:-1]]))
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[rank < k], vec[rank < k], score[rank < k]
 
 
-def _resolve(shared):
-    """Whole scores of rows (query, row, vec_id, vector)."""
+def _entries(shared, k: int):
+    """Phase 1, or, where the chunk (ids, vectors, cutoffs) has cutoffs, phases 2 and 3, over (vec_id, vector)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        chunk = shared.value
+        ids, vectors, cutoffs = shared.value
+        lengths, found = _lengths(vectors), []
+        if cutoffs is not None:
+            limit = np.array([-np.inf if c is None else c for c in cutoffs], object if any(c is not None and abs(c) >= 2**53 for c in cutoffs) else float)
+            least = np.array([-np.inf if c is None else c - 1e-9 * abs(c) - 1 for c in cutoffs], float)
         for batch in batches:
-            query = batch.column(0).to_numpy()
-            a, b = chunk.vectors[query], _matrix(batch.column(3), chunk.vectors.shape[1])
-            kind = object if a.shape[1] * _top(a) * _top(b) >= 2**53 else float
-            score = (a.astype(kind) * b.astype(kind)).sum(axis=1)
-            if kind is object and len(score) and max(map(abs, score)) > MOST:
+            vec, rows, step = batch.column(0).to_numpy(), _matrix(batch.column(1), vectors.shape[1]), max(1, SLICE // len(ids))
+            for at in range(0, len(rows), step):
+                some, own = rows[at : at + step], vec[at : at + step]
+                asks = np.arange(len(ids)) if cutoffs is None else np.flatnonzero(lengths * _lengths(some).max() >= least)
+                parts = _partials(vectors[asks], some)
+                other = ids[asks][:, None] != own[None]
+                if cutoffs is None:
+                    if len(own) > k:
+                        lists = [np.where(other, p, -np.inf) for p in parts]
+                        near = [np.argsort(-p, axis=1, kind="stable")[:, :k] if p.dtype == object else np.argpartition(-p, k - 1, axis=1)[:, :k] for p in lists]
+                        chosen = np.zeros(other.shape, bool)
+                        np.put_along_axis(chosen, np.concatenate(near, axis=1), True, axis=1)
+                        chosen &= other
+                    else:
+                        chosen = other
+                else:
+                    chosen = np.zeros(other.shape, bool)
+                    for p in parts:
+                        chosen |= p * SITES >= limit[asks][:, None]
+                    chosen &= other
+                query, column = np.nonzero(chosen)
+                score = sum(p[query, column] for p in parts)
+                if cutoffs is not None:
+                    reach = np.flatnonzero(score >= limit[asks][query])
+                    query, column, score = query[reach], column[reach], score[reach]
+                if len(query):
+                    found.append((asks[query], own[column], score))
+            if sum(len(f[0]) for f in found) > 4 * k * len(ids):
+                found = [_best(k, *found)]
+        if found:
+            query, vec, score = _best(k, *found)
+            score = [int(x) for x in score]
+            if score and max(map(abs, score)) > MOST:
                 raise ValueError("a score is beyond 64 bits")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(_whole(score), pa.int64())], ["query", "row", "vec_id", "score"])
-
-    return run
-
-
-def _apart(width: int):
-    """A row for each vector and site: its part, and the length of its other parts."""
-    at = edges(width)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            whole, n = _matrix(batch.column(2), width), batch.num_rows
-            for site in range(SITES):
-                part = np.ascontiguousarray(whole[:, at[site] : at[site + 1]])
-                offsets = pa.array(np.arange(n + 1) * part.shape[1], pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1)))
-                rest = _lengths(np.delete(whole, np.s_[at[site] : at[site + 1]], axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([site] * n, pa.int32()), batch.column(1), batch.column(0), lists, pa.array(rest)], ["site", "vec_id", "row", "part", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(vec), pa.array(score, pa.int64())], ["query", "vec_id", "score"])
 
     return run
 
@@ -214,53 +149,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): each query's k best other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), whole_components(F.col(vector_col)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = materialize(rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    length = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+    rows = rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows.sortWithinPartitions(length.desc()), "vectors")
     facts = rows.agg(F.count_if("asks").alias("q"), F.max(F.size("vector")).alias("width")).first()
     width = max(1, facts["width"] or 0)
     most = max(1, QUERY_BYTES // (8 * width))  # queries of a chunk
-    found = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    sites = materialize(rows.select("row", "vec_id", "vector").mapInArrow(_apart(width), "site int, vec_id bigint, row bigint, part array<bigint>, rest double"), "sites") if facts["q"] else None
-    whole = rows.select(F.col("row").alias("_row"), "vector")
-    low = None
+    found, low = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint"), None
     for _ in range(math.ceil((facts["q"] or 0) / most)):
         asking = rows.where("asks") if low is None else rows.where(F.col("asks") & (F.col("row") > low))
         some = asking.select("row", "vec_id", "vector").orderBy("row").limit(most).toArrow().combine_chunks()
         low = some["row"][-1].as_py()
-        ids, matrix = some["vec_id"].to_numpy(), _matrix(some["vector"].combine_chunks() if some["vector"].num_chunks != 1 else some["vector"].chunk(0), width)
-        found = found.unionAll(_of_chunk(rows, sites, whole, ids, matrix, k))
+        found = found.unionAll(_of_chunk(rows.select("vec_id", "vector"), some["vec_id"].to_numpy(), _matrix(some["vector"].chunk(0), width), k))
     return found
 
 
-def _of_chunk(rows: DataFrame, sites: DataFrame, whole: DataFrame, ids, matrix, k: int) -> DataFrame:
+def _of_chunk(rows: DataFrame, ids, matrix, k: int) -> DataFrame:
     """The answers of one chunk of queries."""
     spark, context = rows.sparkSession, rows.sparkSession.sparkContext
-    shared = context.broadcast(_Chunk(ids, matrix))
-    resolved = "query int, row bigint, vec_id bigint, score bigint"
-
-    def resolve(entries: DataFrame) -> DataFrame:
-        return entries.join(whole, F.col("row") == F.col("_row")).select("query", "row", "vec_id", "vector").mapInArrow(_resolve(shared), resolved)
-
-    table = sites.select("site", "vec_id", "row", "part", "rest")
-    of_site = W.partitionBy("query", "site").orderBy(F.desc("partial"), "vec_id", "row")
-    lists = table.mapInArrow(_heads(shared, k), "site int, " + ENTRIES).withColumn("rank", F.row_number().over(of_site)).where(F.col("rank") <= k)
-    some = lists.select("query", "row", "vec_id").distinct()
-    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
-    heads = resolve(some).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    heads = rows.mapInArrow(_entries(context.broadcast((ids, matrix, None)), k), ENTRIES)
     cutoffs = [None] * len(ids)
-    for r in heads.where(F.col("rank") == k).select("query", "score").collect():  # one row for each query of the chunk
+    for r in heads.withColumn("rank", best).where(F.col("rank") <= k).where(F.col("rank") == k).select("query", "score").collect():  # a row for each query of the chunk
         cutoffs[r["query"]] = r["score"]
-    bounded = context.broadcast(_Chunk(ids, matrix, cutoffs))
-    entries = table.mapInArrow(_sufficient(bounded), ENTRIES)
-    summed = entries.groupBy("query", "row", "vec_id").agg(F.sum(F.col("partial").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
-    known = spark.createDataFrame([(n, int(i), c) for n, (i, c) in enumerate(zip(ids, cutoffs))], "_query int, query_id bigint, cutoff bigint")
-    summed = summed.join(F.broadcast(known), F.col("query") == F.col("_query"))
-    # a site that sent nothing holds less than cutoff / SITES, or was ruled out by lengths with the whole candidate
-    bound = F.col("sum") * SITES + (SITES - F.col("n")) * F.col("cutoff").cast("decimal(38,0)")
-    left = materialize(summed.where(F.col("cutoff").isNull() | (bound >= F.col("cutoff").cast("decimal(38,0)") * SITES)).select("query", "row", "vec_id", "sum", "n"), "entries")
-    done = left.where(F.col("n") == SITES).select("query", "row", "vec_id", F.col("sum").cast("bigint").alias("score"))
-    final = done.unionAll(resolve(left.where(F.col("n") < SITES)))
-    ranked = final.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return materialize(ranked.join(F.broadcast(known), F.col("query") == F.col("_query")).select("query_id", "rank", "vec_id", "score"), "answers")
+    found = rows.mapInArrow(_entries(context.broadcast((ids, matrix, cutoffs)), k), ENTRIES).withColumn("rank", best).where(F.col("rank") <= k)
+    names = spark.createDataFrame([(n, i) for n, i in enumerate(ids.tolist())], "query int, query_id bigint")
+    return materialize(found.join(F.broadcast(names), "query").select("query_id", "rank", "vec_id", "score"), "answers")
 
 
 ORACLE_SQL = f"""
