@@ -4,7 +4,8 @@ A block is a run of consecutive words of a document, over line ends: for a templ
 ``window(m)`` words, half as many again, so a notice may be wrapped and have some words more, but words scattered over a
 long text are none. Blocks and templates are sets of words. A block
 matches a template T when it holds at least ``needed(threshold, |T|)`` of T's words: the share ``threshold``, but
-all words of a template of up to WHOLE words, as there any one of them may tell licenses apart.
+all words of a template of up to WHOLE words, as there any one of them may tell licenses apart; and, at any size, the words
+that the template says must be there.
 The join is the prefix-filtering one for sets whose elements are ordered by global
 frequency, rarest first:
 
@@ -45,20 +46,28 @@ PHRASES = {
     "mit license": "mit",
 }
 
+#: (label, text, words that a block must hold in any case, as they tell the license apart)
 TEMPLATES = [
-    ("gpl-notice", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("apache-notice", "Licensed under the Apache License, Version 2.0"),
-    ("mit-notice", "Released under the MIT License"),
-    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc-notice", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-notice", "Licensed under CC BY-SA 4.0"),
-    ("cc0-notice", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
-    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("all-rights-reserved", "All rights reserved"),
-    ("public-domain", "This work is in the public domain"),
+    ("gpl-notice", "This work is licensed under the GNU General Public License, version 3", "gnu"),
+    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu"),
+    ("lgpl-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lesser"),
+    ("agpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "affero"),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("apache-notice", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS", ""),
+    ("mit-notice", "Released under the MIT License", "mit"),
+    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("isc-notice", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "fee"),
+    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
+    ("cc-by-nc-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "noncommercial"),
+    ("cc-by-sa-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "sharealike"),
+    ("cc-by-nc-notice", "Licensed under CC BY-NC 4.0", "nc"),
+    ("cc-by-sa-notice", "Licensed under CC BY-SA 4.0", "sa"),
+    ("cc0-notice", "To the extent possible under law, the author has waived all copyright and related rights to this work", "waived"),
+    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
+    ("unlicense-notice", "This is free and unencumbered software released into the public domain", "unencumbered"),
+    ("all-rights-reserved", "All rights reserved", ""),
+    ("public-domain", "This work is in the public domain", ""),
 ]
 
 THRESHOLD = 0.8
@@ -88,9 +97,15 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def template_sets(templates) -> list[tuple[int, str, list[str], int]]:
-    """(number, label, distinct words, words of a window) of each template."""
-    found = [(number, label, sorted(set(words_of(text))), window(len(words_of(text)))) for number, (label, text) in enumerate(templates)]
+def template_sets(templates) -> list[tuple[int, str, list[str], int, list[str]]]:
+    """(number, label, distinct words, words of a window, words that must be there) of each template."""
+    found = []
+    for number, (label, text, *must) in enumerate(templates):
+        words = words_of(text)
+        obliged = sorted(set(words_of(" ".join(must))))
+        if not set(obliged) <= set(words):
+            raise ValueError(f"template {number} ({label}) must hold words that it hasn't: {obliged}")
+        found.append((number, label, sorted(set(words)), window(len(words)), obliged))
     return [t for t in found if t[2]]
 
 
@@ -105,7 +120,7 @@ def needed(threshold: float, size: int) -> int:
 
 def word_order(docs: DataFrame, sets) -> list[str]:
     """The templates' words, rarest first by the number of documents that hold them."""
-    vocabulary = sorted({w for _, _, words, _ in sets for w in words})
+    vocabulary = sorted({w for _, _, words, _, _ in sets for w in words})
     if not vocabulary:
         return []
     held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), F.split(F.translate("_text", UPPER, LOWER), GAP))).alias("word"))
@@ -125,11 +140,11 @@ def license_matches(docs: DataFrame, templates=None, threshold: float = THRESHOL
     order, half = word_order(docs, sets), max(t[3] for t in sets)
     rank = {w: k for k, w in enumerate(order)}
     prefix = []
-    for number, label, words, width in sets:
+    for number, label, words, width, must in sets:
         ranks = sorted(rank[w] for w in words)
         least = needed(threshold, len(ranks))
-        prefix += [(ranks[k], number, label, ranks, len(ranks), least, k, width) for k in range(len(ranks) - least + 1)]
-    table = spark.createDataFrame(prefix, "rank int, template int, label string, t_words array<int>, t_size int, least int, t_pos int, width int")
+        prefix += [(ranks[k], number, label, ranks, len(ranks), least, k, width, sorted(rank[w] for w in must)) for k in range(len(ranks) - least + 1)]
+    table = spark.createDataFrame(prefix, "rank int, template int, label string, t_words array<int>, t_size int, least int, t_pos int, width int, must array<int>")
     vocabulary = spark.createDataFrame(list(rank.items()), "word string, rank int")
     if len(prefix) + len(rank) <= BROADCAST_ROWS:
         table, vocabulary = F.broadcast(table), F.broadcast(vocabulary)
@@ -153,8 +168,9 @@ def license_matches(docs: DataFrame, templates=None, threshold: float = THRESHOL
     )
     mine = F.filter("places", lambda p: F.array_contains("common", p["rank"]))
     pairs = pairs.withColumn("mine", mine)
-    held = lambda start: F.size(F.array_distinct(F.filter("mine", lambda p: (p["place"] >= start["place"]) & (p["place"] < start["place"] + F.col("width")))["rank"]))
-    pairs = pairs.withColumn("most", F.array_max(F.transform("mine", held))).where(F.col("most") >= F.col("least"))
+    inside = lambda start: F.array_distinct(F.filter("mine", lambda p: (p["place"] >= start["place"]) & (p["place"] < start["place"] + F.col("width")))["rank"])
+    held = F.transform(F.transform("mine", inside), lambda w: F.when(F.size(F.array_except("must", w)) == 0, F.size(w)).otherwise(0))
+    pairs = pairs.withColumn("most", F.array_max(held)).where(F.col("most") >= F.col("least"))
     return pairs.select(*keys, "block", "template", "label", (F.col("most") / F.col("t_size")).alias("containment"))
 
 
@@ -210,18 +226,18 @@ def oracle_sql(templates=None, phrases=None, threshold: float = THRESHOLD) -> st
     array = lambda words: "[" + ", ".join(map(_quoted, words)) + "]"
     lower = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
     words = lambda c: f"regexp_extract_all({lower(c)}, '{WORD}')"
-    values = ", ".join(f"({n}, {_quoted(label)}, {array(w)}, {needed(threshold, len(w))}, {width})" for n, label, w, width in sets)
+    values = ", ".join(f"({n}, {_quoted(label)}, {array(w)}, {needed(threshold, len(w))}, {width}, {array(must) if must else "[]::VARCHAR[]"})" for n, label, w, width, must in sets)
     places = " || ".join("list_filter(range(greatest(len(w) - {n} + 1, 0)::BIGINT), lambda i: {test})".format(n=len(p), test=" and ".join(f"w[i + {k + 1}] = {_quoted(x)}" for k, x in enumerate(p))) for p, _ in ((words_of(p), 0) for p in phrases))
     labels = " || ".join("case when len(list_filter(range(greatest(len(w) - {n} + 1, 0)::BIGINT), lambda i: {test})) > 0 then [{label}] else []::varchar[] end".format(n=len(q := words_of(p)), label=_quoted(label), test=" and ".join(f"w[i + {k + 1}] = {_quoted(x)}" for k, x in enumerate(q))) for p, label in phrases.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT r, doc_id, t, {words("t")} AS w FROM d),
 p AS (SELECT r, doc_id, len(w) AS n_words, {places} AS places, list_distinct({labels}) AS base FROM b),
-templates(n, label, tw, least, width) AS (VALUES {values}),
+templates(n, label, tw, least, width, must) AS (VALUES {values}),
 tw AS (SELECT n, unnest(tw) AS word FROM templates),
 held AS (SELECT r, n, place, word FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS place FROM b) JOIN tw USING (word)),
-m AS (SELECT h.r, h.n, h.place, count(DISTINCT o.word) AS common FROM held h JOIN templates USING (n) JOIN held o ON o.r = h.r AND o.n = h.n AND o.place >= h.place AND o.place < h.place + width GROUP BY ALL),
-own AS (SELECT r, list(DISTINCT label) AS labels, max(common::DOUBLE / len(templates.tw)) AS most FROM m JOIN templates USING (n) WHERE common >= least GROUP BY r)
+m AS (SELECT h.r, h.n, h.place, count(DISTINCT o.word) AS common, count(DISTINCT CASE WHEN list_contains(must, o.word) THEN o.word END) AS obliged FROM held h JOIN templates USING (n) JOIN held o ON o.r = h.r AND o.n = h.n AND o.place >= h.place AND o.place < h.place + width GROUP BY ALL),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(common::DOUBLE / len(templates.tw)) AS most FROM m JOIN templates USING (n) WHERE common >= least AND obliged = len(must) GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(labels, []::varchar[]))), ',') AS labels,
   CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0)::DOUBLE END AS score
