@@ -34,6 +34,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def is_single(source: str, target: str) -> bool:
+    """Is the input one file? On stores that aren't local, the output's name tells."""
+    local = source.removeprefix("file://")
+    named = target.lower().endswith((".jpeg", ".jpg")) and not os.path.isdir(local) and not set("*?[{") & set(source)
+    return os.path.isfile(local) or named
+
+
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
     if a.bits_per_channel != 8:
@@ -41,7 +48,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = build_session(a.threads)
     options = dict(preset=a.chroma_subsampling_preset, table=a.quantization_table, bits_per_channel=a.bits_per_channel, strict_ids=a.strict_table_ids)
     try:
-        if os.path.isfile(a.input_file.removeprefix("file://")):
+        if is_single(a.input_file, a.output_file):
             error = convert_file(spark, a.input_file, a.output_file, **options)
             found = [(a.input_file, error)] if error else []
         else:

@@ -214,6 +214,13 @@ def test_command_line_options():
             cli.parser().parse_args(bad)
 
 
+def test_single_files_and_folders(tmp_path):
+    (tmp_path / "a.ppm").write_bytes(SMALL)
+    single = cli.is_single
+    assert single(str(tmp_path / "a.ppm"), "out") and single(f"file://{tmp_path}/a.ppm", "out") and single("s3://bucket/a.ppm", "s3://bucket/a.JPG")
+    assert not single(str(tmp_path), "a.jpeg") and not single("s3://bucket/*.ppm", "a.jpeg") and not single("s3://bucket/folder", "s3://bucket/out")
+
+
 def test_command_line(tmp_path):
     (tmp_path / "small.ppm").write_bytes(SMALL)
     (tmp_path / "bad.ppm").write_bytes(b"P3 1")
