@@ -13,7 +13,9 @@ about PACKER_DOCS documents each. A packer leaves at most some partly filled seq
 at its end, a vanishing share of what it has packed.
 
 Defined cases: a null or empty text is its end id alone; null and repeated document ids
-are packed like others; other columns are ignored; an empty table gives an empty result.
+are packed like others; pieces of the same length are placed in order of document, piece and ids, and of sequences
+with the same free space the one that came to it last is taken; very long texts are cut into pieces, nothing of them is left out;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
