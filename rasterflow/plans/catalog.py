@@ -504,6 +504,23 @@ def header_segments(spark, sf_dir):
     return _three_segments(spark, sf_dir).where(~F.col("name").isin("DHT", "SCAN"))
 
 
+_HEAD = "FFD8" + "FFE000104A46494600010200004800480000" + "".join(f"FFDB00430{n}" + "".join(f"{t[p]:02X}" for p in tables.ZIGZAG) for n, t in enumerate((tables.SPECIFICATION_LUMA, tables.SPECIFICATION_CHROMA))) + "FFC00011080050005003011100021101031101"
+
+
+@query(f"""WITH {THREE_SCANS},
+kinds(cls, k, number) AS (VALUES {", ".join(f"({cls}, {k}, '{number:02X}')" for k, (cls, number) in enumerate(jpeg.TABLE_ORDER))}),
+sizes AS (SELECT image_id, cls, string_agg(printf('%02X', n), '' ORDER BY len) AS counts, sum(n) AS total
+  FROM (SELECT image_id, cls, r.len, count(len2) AS n FROM (SELECT DISTINCT image_id, cls FROM codes) CROSS JOIN range(1, 17) AS r(len) LEFT JOIN (SELECT image_id AS im, cls AS c, len2 FROM codes) ON im = image_id AND c = cls AND len2 = r.len GROUP BY ALL) GROUP BY ALL),
+syms AS (SELECT image_id, cls, string_agg(printf('%02X', sym), '' ORDER BY rank DESC) AS symbols FROM codes GROUP BY ALL),
+dht AS (SELECT image_id, string_agg('FFC4' || printf('%04X', (19 + total)::INT) || number || counts || symbols, '' ORDER BY k) AS tables FROM sizes JOIN syms USING (image_id, cls) JOIN kinds USING (cls) GROUP BY image_id),
+files AS (SELECT image_id, unhex('{_HEAD}' || tables || 'FFDA000C03010102230323003F00' || scan || 'FFD9') AS content FROM scans JOIN dht USING (image_id))
+SELECT image_id, octet_length(content)::BIGINT AS n_bytes, md5(content) AS md5 FROM files""")
+def whole_files(spark, sf_dir):
+    """The file of each image of three channels, byte for byte."""
+    files = jpeg.assemble_jpeg(_three_segments(spark, sf_dir))
+    return files.select("image_id", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("md5"))
+
+
 def _symbols(spark, sf_dir) -> DataFrame:
     """(image_id, cls, idx, sym, nbits, word, offset): each order's items as a fixed code of 6 bits, in a stream by order group."""
     items = read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("image_id"), "l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("q"))
