@@ -39,13 +39,13 @@ SEED = 1
 #: Words up to this length are kept with the candidates that they meet; longer ones are taken in parts.
 SHORT = 48
 #: Parts up to this length go through their agendas in step, longer ones by a heap.
-LONG = 512
+LONG = 4096
 #: Words that a worker keeps, up to a batch's more.
 CACHE_WORDS = 400_000
 #: Occurrences that are gone through at once.
 OCCURRENCES = 1 << 17
-#: Cells of a matrix whose words go in step.
-CELLS = 1 << 17
+#: Cells of a matrix whose words go in step; more for long words, so that a step is of ROWS words; at most MOST_CELLS.
+CELLS, ROWS, MOST_CELLS = 1 << 17, 512, 1 << 21
 #: Bytes of text whose words are numbered together.
 BATCH_BYTES = 8 << 20
 TABLE_BITS = 19
@@ -259,7 +259,8 @@ class Encoder:
         order, counts, parts, met = np.argsort(sizes, kind="stable"), np.zeros(len(sizes), np.int64), [], []
         sorted_sizes, at = sizes[order], 0
         while at < len(order):
-            end = at + 1 + int(np.searchsorted(sorted_sizes[at + 1 :] * np.arange(2, len(order) - at + 1), CELLS, "right"))
+            cells = sorted_sizes[at + 1 :] * np.arange(2, len(order) - at + 1)
+            end = at + 1 + int((cells <= np.minimum(np.maximum(CELLS, ROWS * sorted_sizes[at + 1 :]), MOST_CELLS)).sum())
             some = order[at:end]
             ids, counts[some], seen = self._step(codes, first[some], sizes[some], None if key is None else key[some], offset[some])
             parts.append(ids)
