@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -54,7 +55,10 @@ class JPEGDataSource(DataSource):
         names = [f.name for f in schema]
         if not {"image_id", "content"} <= set(names):
             raise ValueError("rows need image_id and content")
-        return JPEGWriter(self.options["path"], names.index("image_id"), names.index("content"), overwrite)
+        made = JPEGWriter(self.options["path"], names.index("image_id"), names.index("content"), overwrite)
+        system, path = store(made.path)
+        system.create_dir(made._parts(path), recursive=True)  # tasks don't make it: one that outlives its job finds it gone
+        return made
 
 
 class JPEGWriter(DataSourceWriter):
@@ -67,7 +71,6 @@ class JPEGWriter(DataSourceWriter):
     def write(self, rows):
         system, path = store(self.path)
         folder, attempt, names = self._parts(path), uuid.uuid4().hex, []
-        system.create_dir(folder, recursive=True)
         for number, row in enumerate(rows):
             if row[self.content_at] is None:
                 raise ValueError(f"image {row[self.id_at]} has no content")
@@ -105,10 +108,17 @@ class JPEGWriter(DataSourceWriter):
     def _clear(self, system, path: str) -> None:
         from pyarrow import fs
 
-        if system.get_file_info(self._parts(path)).type == fs.FileType.Directory:
-            system.delete_dir(self._parts(path))
-        if system.get_file_info(f"{path}/{PARTS}").type == fs.FileType.Directory and not system.get_file_info(fs.FileSelector(f"{path}/{PARTS}")):
-            system.delete_dir(f"{path}/{PARTS}")
+        parts = f"{path}/{PARTS}"
+        for wait in (0, 0.1, 0.5, 2):  # a task that is being stopped may still write
+            time.sleep(wait)
+            try:
+                if system.get_file_info(self._parts(path)).type == fs.FileType.Directory:
+                    system.delete_dir(self._parts(path))
+                break
+            except OSError:
+                continue
+        if system.get_file_info(parts).type == fs.FileType.Directory and not system.get_file_info(fs.FileSelector(parts)):
+            system.delete_dir(parts)
 
 
 def register(spark) -> None:
