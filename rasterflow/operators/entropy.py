@@ -234,15 +234,15 @@ def encode_bytes(streams: DataFrame, codes: DataFrame, column: str = "data", key
 
 
 def decode_bytes(streams: DataFrame, codes: DataFrame, keys=("image_id",)) -> DataFrame:
-    """(keys, data): the inverse of ``encode_bytes``."""
+    """(keys, data, n_coded): the inverse of ``encode_bytes``, and the number of coded bytes."""
 
     def decode(code, raw, n):
         import numpy as np
         import pyarrow as pa
 
-        return (pa.array([arrays.decode_bits(raw, code, n).astype(np.uint8).tobytes()], pa.binary()),)
+        return pa.array([arrays.decode_bits(raw, code, n).astype(np.uint8).tobytes()], pa.binary()), pa.array([len(raw)], pa.int64())
 
-    return _with_tables(streams, codes, keys, ["bytes", "n"], decode, "data binary")
+    return _with_tables(streams, codes, keys, ["bytes", "n"], decode, "data binary, n_coded bigint")
 
 
 def huffman_decode(streams: DataFrame, codes: DataFrame, keys=("image_id",)) -> DataFrame:

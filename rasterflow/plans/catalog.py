@@ -569,9 +569,8 @@ def huffman_roundtrip(spark, sf_dir):
     streams = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     keys = ("image_id",)
     codes = entropy.canonical_codes(entropy.reserve_all_ones(entropy.code_lengths(entropy.byte_counts(streams), keys=keys)), keys=keys)
-    coded = entropy.encode_bytes(streams, codes)
-    again = entropy.decode_bytes(coded, codes).select("image_id", F.octet_length("data").cast("bigint").alias("n_bytes"), F.md5("data").alias("md5"))
-    return again.join(coded.select("image_id", F.octet_length("bytes").cast("bigint").alias("n_coded")), "image_id")
+    again = entropy.decode_bytes(entropy.encode_bytes(streams, codes), codes)
+    return again.select("image_id", F.octet_length("data").cast("bigint").alias("n_bytes"), F.md5("data").alias("md5"), "n_coded")
 
 
 @query("SELECT min(v)::BIGINT AS min, max(v)::BIGINT AS max, (sum(v) // count(v))::BIGINT AS average, round(sqrt(((sum(v * v) - 2 * (sum(v) // count(v)) * sum(v) + count(v) * (sum(v) // count(v)) * (sum(v) // count(v))) // count(v))::DOUBLE))::BIGINT AS deviation FROM (SELECT (l_quantity::BIGINT * 1000 + l_linenumber)::BIGINT AS v FROM lineitem)")
